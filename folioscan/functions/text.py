@@ -1,0 +1,194 @@
+"""Column expressions over text. All of them run in the JVM except for rare characters.
+
+Two different "compact" forms exist on purpose: `compact` (NFKC, then only
+a-z, 0-9 and unified ideographs) is used for search and markers,
+`compact_letters` (case folded, every letter and digit, no NFKC) for the
+content keys of structured pages. They must not be mixed.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Text built only from these characters is unchanged by NFKC, and its case fold
+# is `lower` plus ß -> ss, so it never has to leave the JVM.
+_PLAIN = (
+    r"^[\x{0000}-\x{007E}\x{00C0}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}"
+    r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{201F}\x{2020}-\x{2022}"
+    r"\x{3001}-\x{3011}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]*$"
+)
+# Of those, İ folds to two characters, which `lower` also does, so no exception is needed.
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_casefold_any(values: pd.Series) -> pd.Series:
+    return values.map(
+        lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold()
+    )
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_any(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+@F.pandas_udf(T.StringType())
+def _casefold_any(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else v.casefold())
+
+
+def _plain_fold(col: Column) -> Column:
+    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+
+
+def nfkc_casefold(col: Column) -> Column:
+    """NFKC then full case folding; only rows with unusual characters reach Python."""
+    plain = F.regexp_like(col, F.lit(_PLAIN))
+    return F.coalesce(F.when(plain, _plain_fold(col)), _nfkc_casefold_any(F.when(~plain, col)))
+
+
+def nfkc(col: Column) -> Column:
+    plain = F.regexp_like(col, F.lit(_PLAIN))
+    return F.coalesce(F.when(plain, col), _nfkc_any(F.when(~plain, col)))
+
+
+def casefold(col: Column) -> Column:
+    plain = F.regexp_like(col, F.lit(_PLAIN))
+    return F.coalesce(F.when(plain, _plain_fold(col)), _casefold_any(F.when(~plain, col)))
+
+
+def compact(col: Column) -> Column:
+    return F.regexp_replace(nfkc_casefold(col), r"[^a-z0-9\x{4e00}-\x{9fff}]+", "")
+
+
+def compact_folded(folded: Column) -> Column:
+    """`compact` for text that is already NFKC-folded."""
+    return F.regexp_replace(folded, r"[^a-z0-9\x{4e00}-\x{9fff}]+", "")
+
+
+def compact_letters(col: Column) -> Column:
+    return F.regexp_replace(casefold(col), r"[^\p{L}\p{N}]+", "")
+
+
+def strip(col: Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+def collapse_spaces(col: Column) -> Column:
+    """Runs of white space become one blank, ends trimmed."""
+    return strip(F.regexp_replace(col, r"(?U)\s+", " "))
+
+
+def non_empty_lines(col: Column) -> Column:
+    lines = F.transform(
+        F.split(F.regexp_replace(col, r"\r", "\n"), "\n"),
+        lambda line: strip(F.regexp_replace(line, r"[ \t\f\x0B]+", " ")),
+    )
+    return F.filter(lines, lambda line: line != "")
+
+
+def normalise_lines(col: Column) -> Column:
+    """Blanks collapsed per line, empty lines dropped."""
+    return F.array_join(non_empty_lines(col), "\n")
+
+
+def ngrams(col: Column, size: int) -> Column:
+    """Every substring of `size` code points in order, duplicates kept; empty if too short."""
+    starts = F.when(
+        F.length(col) >= size, F.sequence(F.lit(1), F.length(col) - (size - 1))
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(col, i, F.lit(size)))
+
+
+def tokens(col: Column) -> Column:
+    """Search tokens with repetition.
+
+    ASCII words, plus for each ideograph run: the run itself when it has at
+    most 8 characters, each character, each bigram.
+    """
+    low = F.lower(col)
+    words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))
+    units = F.flatten(
+        F.transform(
+            runs,
+            lambda run: F.concat(
+                F.when(F.length(run) <= 8, F.array(run)).otherwise(F.array().cast("array<string>")),
+                ngrams(run, 1),
+                ngrams(run, 2),
+            ),
+        )
+    )
+    has_runs = F.regexp_like(low, F.lit(r"[\x{4e00}-\x{9fff}]"))
+    return F.when(has_runs, F.concat(words, units)).otherwise(words)
+
+
+def shingles(col: Column, size: int = 3) -> Column:
+    """Distinct shingles: character n-grams when any ideograph occurs, else word n-grams.
+
+    A text shorter than `size` gives one short shingle; an empty text gives
+    the single shingle ''.
+    """
+    folded = nfkc_casefold(col)
+    return shingles_of_folded(folded, size)
+
+
+def shingles_of_folded(folded: Column, size: int = 3) -> Column:
+    norm = F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+    is_cjk = F.regexp_like(norm, F.lit(r"[\x{3400}-\x{9fff}]"))
+    words = F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+    chars = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(norm) - (size - 1), F.lit(1))),
+        lambda i: F.substring(norm, i, F.lit(size)),
+    )
+    grams = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))),
+        lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "),
+    )
+    return F.array_distinct(F.when(is_cjk, chars).otherwise(grams))
+
+
+def jaccard(left: Column, right: Column) -> Column:
+    """Jaccard of two arrays of distinct values without building the union."""
+    both = F.size(F.array_intersect(left, right)).cast("double")
+    return both / (F.size(left) + F.size(right) - both)
+
+
+def token_estimate(col: Column) -> Column:
+    """0 for empty text, else at least 1: half the count of visible or ideograph characters."""
+    seen = F.length(F.regexp_replace(col, r"(?U)\s+", ""))
+    return F.when(F.coalesce(F.length(col), F.lit(0)) == 0, F.lit(0)).otherwise(
+        F.greatest(F.lit(1), F.floor(seen / 2).cast("int"))
+    )
+
+
+def contains_any(haystack: Column, needles: list[str]) -> Column:
+    """True when any of a fixed list of literals occurs."""
+    hit = F.lit(False)
+    for needle in needles:
+        hit = hit | F.contains(haystack, F.lit(needle))
+    return hit
+
+
+def compact_each(values: Column) -> Column:
+    """`compact` of every element of an array, through one fold of the joined text."""
+    joined = nfkc_casefold(F.array_join(values, "\u0001"))
+    kept = F.regexp_replace(joined, r"[^a-z0-9\x{4e00}-\x{9fff}\x{0001}]+", "")
+    return F.when(F.size(values) > 0, F.split(kept, "\u0001")).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def compact_letters_each(values: Column) -> Column:
+    """`compact_letters` of every element of an array."""
+    joined = casefold(F.array_join(values, "\u0001"))
+    kept = F.regexp_replace(joined, r"[^\p{L}\p{N}\x{0001}]+", "")
+    return F.when(F.size(values) > 0, F.split(kept, "\u0001")).otherwise(
+        F.array().cast("array<string>")
+    )
