@@ -9,6 +9,7 @@ content keys of structured pages. They must not be mixed.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,12 +99,25 @@ def normalise_lines(col: Column) -> Column:
     return F.array_join(non_empty_lines(col), "\n")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once.
+
+    A column used inside a lambda may be inlined there by the optimizer and
+    then run once per array element; a lambda variable cannot.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(col: Column, size: int) -> Column:
     """Every substring of `size` code points in order, duplicates kept; empty if too short."""
-    starts = F.when(
-        F.length(col) >= size, F.sequence(F.lit(1), F.length(col) - (size - 1))
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(col, i, F.lit(size)))
+
+    def grams(text: Column) -> Column:
+        starts = F.when(
+            F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return let(col, grams)
 
 
 def tokens(col: Column) -> Column:
@@ -141,17 +155,21 @@ def shingles(col: Column, size: int = 3) -> Column:
 
 def shingles_of_folded(folded: Column, size: int = 3) -> Column:
     norm = F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
-    is_cjk = F.regexp_like(norm, F.lit(r"[\x{3400}-\x{9fff}]"))
-    words = F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
-    chars = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(norm) - (size - 1), F.lit(1))),
-        lambda i: F.substring(norm, i, F.lit(size)),
-    )
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "),
-    )
-    return F.array_distinct(F.when(is_cjk, chars).otherwise(grams))
+
+    def chars(text: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    def grams(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+
+    def either(text: Column) -> Column:
+        words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+        is_cjk = F.regexp_like(text, F.lit(r"[\x{3400}-\x{9fff}]"))
+        return F.when(is_cjk, chars(text)).otherwise(let(words, grams))
+
+    return F.array_distinct(let(norm, either))
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import RerankRules
-from folioscan.functions.text import compact, compact_each, contains_any, ngrams, nfkc, strip
+from folioscan.functions.text import compact, compact_each, contains_any, let, ngrams, nfkc, strip
 from folioscan.schemas import conform
 
 HEADING_BONUS = 0.012
@@ -167,12 +167,15 @@ def heading_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame, rules:
 
 def bigram_coverage(compact_query: Column, compact_text: Column) -> Column:
     """Share of the query's distinct bigrams (single characters if short) found in a text."""
-    grams = F.array_distinct(
-        F.when(F.length(compact_query) >= 4, ngrams(compact_query, 2)).otherwise(ngrams(compact_query, 1))
-    )
-    found = F.size(F.filter(grams, lambda g: F.contains(compact_text, g)))
+
+    def share(text: Column) -> Column:
+        grams = F.array_distinct(
+            F.when(F.length(compact_query) >= 4, ngrams(compact_query, 2)).otherwise(ngrams(compact_query, 1))
+        )
+        return F.size(F.filter(grams, lambda g: F.contains(text, g))) / F.size(grams)
+
     return F.when(
-        (F.length(compact_query) > 0) & (F.length(compact_text) > 0), found / F.size(grams)
+        (F.length(compact_query) > 0) & (F.length(compact_text) > 0), let(compact_text, share)
     ).otherwise(F.lit(0.0))
 
 
