@@ -194,9 +194,10 @@ def near_duplicate_pairs(hits: DataFrame, docs: DataFrame, threshold: float = 0.
     before any shingle is compared, a pair shared by several queries is
     compared once, and each document's shingles are computed once.
     """
-    listed = hits.where(F.col("rank") <= top_n).select("query_id", "doc_id", "rank")
+    # The hit list is small but costs a whole search, and it feeds several branches.
+    listed = hits.where(F.col("rank") <= top_n).select("query_id", "doc_id", "rank").persist()
     used = docs.join(listed.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
-    signatures = document_signatures(used)
+    signatures = document_signatures(used).persist()
     facts = semantic_key(used).join(
         signatures.select("doc_id", F.size("shingles").alias("n")), "doc_id"
     )
@@ -215,6 +216,7 @@ def near_duplicate_pairs(hits: DataFrame, docs: DataFrame, threshold: float = 0.
         .withColumn("jaccard", jaccard(F.col("l_shingles"), F.col("r_shingles")))
         .where(F.col("jaccard") >= threshold)
         .select("l_doc_id", "r_doc_id", "jaccard", safety_signals("l_safety", "r_safety").alias("signals"))
+        .persist()  # a later filter on jaccard must not compute it again
     )
     return pairs.join(compared, ["l_doc_id", "r_doc_id"]).select(
         "query_id",

@@ -86,7 +86,7 @@ def _gate(spark, sf):
 SHINGLES = """norm AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS n FROM documents),
 words AS (SELECT doc_id, text, CASE WHEN n = '' THEN [] ELSE string_split(n, ' ') END AS w FROM norm),
-sets AS (
+sets AS MATERIALIZED (
   SELECT doc_id, text, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s
   FROM words)"""
 
@@ -121,9 +121,9 @@ def _key(spark, sf):
 
 
 AUDIT = LEXICAL + ",\n" + SHINGLES + """,
-hits AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50),
+hits AS MATERIALIZED (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 50),
 keys AS (SELECT id AS doc_id, CASE WHEN trim(title) <> '' THEN 'title:' || regexp_replace(title, '^\\s+|\\s+$', '', 'g') END AS k FROM lib),
-sig AS (
+sig AS MATERIALIZED (
   SELECT doc_id, s, list_sort(list_distinct(regexp_extract_all(t, '\\b\\d+d\\d+(?:[+-]\\d+)?\\b'))) AS dice,
          list_sort(list_distinct(regexp_extract_all(regexp_replace(t, '\\b\\d+d\\d+(?:[+-]\\d+)?\\b', '', 'g'), '\\d+(?:\\.\\d+)?'))) AS numbers
   FROM (SELECT *, replace(lower(text), 'ß', 'ss') AS t FROM sets)),
