@@ -1,4 +1,4 @@
 """Jobs over the driver's tables, by area."""
 
-from folioscan.registry import audits, retrieval, turns  # noqa: F401
+from folioscan.registry import asking, audits, retrieval, turns  # noqa: F401
 from folioscan.registry.common import ORACLES, QUERIES  # noqa: F401
