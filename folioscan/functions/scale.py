@@ -31,3 +31,14 @@ def running_sum(
         .withColumn(name, F.col("_offset") + F.sum("_value").over(inside))
         .drop("_block", "_value", "_offset")
     )
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute the columns of `df` exactly once.
+
+    The optimizer merges projections, and a costly column that later
+    expressions use inside lambdas, filters or several branches would be
+    evaluated again at each use. Passing the row through a one-row generator
+    keeps the projections apart, without a shuffle.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

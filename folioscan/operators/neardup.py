@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.functions.scale import settle
 from folioscan.functions.text import (
     casefold, collapse_spaces, compact_letters, contains_any, jaccard, nfkc_casefold, shingles, strip,
 )
@@ -208,16 +209,18 @@ def near_duplicate_pairs(hits: DataFrame, docs: DataFrame, threshold: float = 0.
         (F.col("l_rank") < F.col("r_rank"))
         & (F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9)
     )
-    compared = (
+    compared = settle(
         pairs.select("l_doc_id", "r_doc_id")
         .distinct()
         .join(signatures.select(*[F.col(c).alias(f"l_{c}") for c in ("doc_id", "shingles", "safety")]), "l_doc_id")
         .join(signatures.select(*[F.col(c).alias(f"r_{c}") for c in ("doc_id", "shingles", "safety")]), "r_doc_id")
-        .withColumn("jaccard", jaccard(F.col("l_shingles"), F.col("r_shingles")))
-        .where(F.col("jaccard") >= threshold)
-        .select("l_doc_id", "r_doc_id", "jaccard", safety_signals("l_safety", "r_safety").alias("signals"))
-        .persist()  # a later filter on jaccard must not compute it again
-    )
+        .select(
+            "l_doc_id",
+            "r_doc_id",
+            jaccard(F.col("l_shingles"), F.col("r_shingles")).alias("jaccard"),
+            safety_signals("l_safety", "r_safety").alias("signals"),
+        )
+    ).where(F.col("jaccard") >= threshold)
     return pairs.join(compared, ["l_doc_id", "r_doc_id"]).select(
         "query_id",
         F.col("l_doc_id").alias("left_id"),
@@ -316,11 +319,9 @@ def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_f
         .select("left_id", "right_id")
         .distinct()
     )
-    pairs = (
+    pairs = settle(
         candidates.join(reps.select(F.col("doc_id").alias("left_id"), F.col("shingles").alias("ls")), "left_id")
         .join(reps.select(F.col("doc_id").alias("right_id"), F.col("shingles").alias("rs")), "right_id")
-        .withColumn("jaccard", jaccard(F.col("ls"), F.col("rs")))
-        .where(F.col("jaccard") >= threshold)
-        .select("left_id", "right_id", "jaccard", F.lit(False).alias("same_set"))
-    )
+        .select("left_id", "right_id", jaccard(F.col("ls"), F.col("rs")).alias("jaccard"), F.lit(False).alias("same_set"))
+    ).where(F.col("jaccard") >= threshold)
     return copies.unionByName(pairs)

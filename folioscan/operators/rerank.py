@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import RerankRules
+from folioscan.functions.scale import settle
 from folioscan.functions.text import compact, compact_each, contains_any, let, ngrams, nfkc, strip
 from folioscan.schemas import conform
 
@@ -121,7 +122,7 @@ def heading_features(docs: DataFrame) -> DataFrame:
         ),
         "\u0001",
     )
-    return with_text.select(
+    return settle(with_text).select(
         "doc_id",
         compact_each(F.col("components")).alias("components"),
         F.when(F.col("block_paths").isNotNull(), F.transform(compacted, lambda p: F.split(p, "\u0002"))).alias(
@@ -160,9 +161,8 @@ def heading_scores(pairs: DataFrame, docs: DataFrame, queries: DataFrame, rules:
     creation = F.when(
         F.col("creation") & F.exists("components", lambda c: contains_any(c, verbs)), F.lit(2.0)
     ).otherwise(F.lit(0.0))
-    return rows.withColumn("structure", F.least(match, F.lit(5.0))).withColumn("creation_heading", creation).drop(
-        "compact_expanded", "creation", "components", "block_components", "block_lengths"
-    )
+    scored = rows.withColumn("structure", F.least(match, F.lit(5.0))).withColumn("creation_heading", creation)
+    return settle(scored.drop("compact_expanded", "creation", "components", "block_components", "block_lengths"))
 
 
 def bigram_coverage(compact_query: Column, compact_text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioscan.functions.query_rules import (
     FORBIDDEN_QUERY, GENERIC_ALIASES, OPTION_TERMS, PLAN_SELECTION, SURVIVAL, TASK_ID, QueryRules,
 )
+from folioscan.functions.scale import settle
 from folioscan.functions.text import collapse_spaces, contains_any, let, ngrams, nfkc_casefold, strip
 
 MAX_QUESTIONS = 4
@@ -166,11 +167,13 @@ def route_queries(queries: DataFrame, rules: QueryRules = QueryRules()) -> DataF
     is_complex = (
         _like(value, rules.goal) & _like(value, rules.constraint) & _like(value, progression) & (others >= 2)
     )
-    routed = (
+    read = settle(
         queries.withColumn("intent", classify_intent(value, rules))
         .withColumn("domains", domains_of(value, rules))
         .withColumn("segments", segments_of(F.col("query"), rules))
-        .withColumn(
+    )
+    routed = settle(
+        read.withColumn(
             "complexity",
             F.when(is_complex, "complex").when(F.size("segments") >= 2, "compound").otherwise("simple"),
         )
@@ -313,11 +316,13 @@ def decompose(routes: DataFrame, rules: QueryRules = QueryRules()) -> DataFrame:
         )
     )
     pairs = F.when(F.col("complexity") == "complex", by_domain).otherwise(by_segment)
-    return routes.withColumn(
-        "questions",
-        F.when(F.col("need_decomposition"), F.slice(_first_by_key(pairs), 1, MAX_QUESTIONS)).otherwise(
-            F.array().cast(PAIR)
-        ),
+    return settle(
+        routes.withColumn(
+            "questions",
+            F.when(F.col("need_decomposition"), F.slice(_first_by_key(pairs), 1, MAX_QUESTIONS)).otherwise(
+                F.array().cast(PAIR)
+            ),
+        )
     )
 
 
@@ -426,9 +431,11 @@ def build_plans(decomposed: DataFrame, rules: QueryRules = QueryRules()) -> Data
         )
         return F.concat(first, second, last)
 
-    return decomposed.where(F.col("need_planner")).select(
-        F.col("query_id").alias("plan_id"), goal.alias("goal"), F.lit(PLANNER_VERSION).alias("planner_version"),
-        let(evidence, arrange).alias("tasks"),
+    return settle(
+        decomposed.where(F.col("need_planner")).select(
+            F.col("query_id").alias("plan_id"), goal.alias("goal"), F.lit(PLANNER_VERSION).alias("planner_version"),
+            let(evidence, arrange).alias("tasks"),
+        )
     )
 
 
