@@ -139,32 +139,40 @@ def label_count(folded: Column, labels: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for label in labels:
         pattern = rf"(?U)(?<![\w-])\Q{label}\E(?=\s*(?::|：|[-—]|\s|$))"
-        total = total + F.when(F.regexp_like(folded, F.lit(pattern)), 1).otherwise(0)
+        # The plain test is cheap and rules most texts out before the pattern runs.
+        hit = F.contains(folded, F.lit(label)) & F.regexp_like(folded, F.lit(pattern))
+        total = total + F.when(hit, 1).otherwise(0)
     return total
 
 
 def classify_entry(context: Column, title: Column, body: Column) -> Column:
     """Entry type from the folded path context, the title and the folded body; null if none fits."""
-    title_folded = F.lower(title)
-    listed = contains_any(title_folded, list(rules.CATALOG_LABELS))
-    counts = {t: label_count(body, labels) for t, labels in rules.FIELD_LABELS.items()}
-    chain = F.when(F.trim(body) == "", F.lit(None).cast("string"))
-    for kind in rules.ENTRY_ORDER:
-        fits = label_count(body, rules.STRONG_LABELS[kind]) >= 1
-        if kind == "archetype":
-            fits = ~listed | fits
-        if kind not in ("spell", "class_ability"):
-            fits = fits | (counts[kind] >= 2)
-        chain = chain.when(contains_any(context, list(rules.CATEGORY_MARKERS[kind])) & fits, F.lit(kind))
-    return (
-        chain.when(counts["spell"] >= 2, "spell")
-        .when(counts["magic_item"] >= 2, "magic_item")
-        .when((counts["archetype"] >= 1) & (counts["class_ability"] >= 1), "archetype")
-        .when(contains_any(context, list(rules.CLASS_WORDS)), "class_ability")
-        .when(counts["feat"] >= 1, "feat")
-        .when(counts["class_ability"] >= 2, "class_ability")
+    listed = contains_any(F.lower(title), list(rules.CATALOG_LABELS))
+    counts = F.struct(
+        *[label_count(body, labels).alias(t) for t, labels in rules.FIELD_LABELS.items()],
+        *[(label_count(body, labels) >= 1).alias(f"strong_{t}") for t, labels in rules.STRONG_LABELS.items()],
     )
 
+    def decide(c: Column) -> Column:
+        chain = F
+        for kind in rules.ENTRY_ORDER:
+            fits = c[f"strong_{kind}"]
+            if kind == "archetype":
+                fits = ~listed | fits
+            if kind not in ("spell", "class_ability"):
+                fits = fits | (c[kind] >= 2)
+            chain = chain.when(contains_any(context, list(rules.CATEGORY_MARKERS[kind])) & fits, F.lit(kind))
+        return (
+            chain.when(c["spell"] >= 2, "spell")
+            .when(c["magic_item"] >= 2, "magic_item")
+            .when((c["archetype"] >= 1) & (c["class_ability"] >= 1), "archetype")
+            .when(contains_any(context, list(rules.CLASS_WORDS)), "class_ability")
+            .when(c["feat"] >= 1, "feat")
+            .when(c["class_ability"] >= 2, "class_ability")
+        )
+
+    return F.when(F.trim(body) != "", let(counts, decide))
+
 
 CJK = r"[\x{3400}-\x{9fff}]"
 
@@ -574,7 +582,8 @@ def transform_corpus(docs: DataFrame, blocks: DataFrame, audit: DataFrame) -> Da
     split_ids = plan.where(F.col("strategy").isin(*SPLIT_STRATEGIES)).select("doc_id", "_length")
     entry_docs = docs.join(entry_ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     entry_blocks = blocks.join(entry_ids, "doc_id", "left_semi")
-    spans = entry_spans(entry_docs, entry_blocks)
+    # Three branches read the spans, and finding them walks every page.
+    spans = entry_spans(entry_docs, entry_blocks).persist()
     pieces = (
         entry_documents(entry_docs, split_oversized_entries(spans, entry_blocks))
         .unionByName(table_documents(entry_docs, entry_blocks, spans))
