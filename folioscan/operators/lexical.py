@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import tokens
+from folioscan.functions.text import let, tokens
 from folioscan.operators.chunks import chunk
 
 K1 = 1.5
@@ -42,7 +42,20 @@ def tokenize_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """Term frequency per chunk. Keeps the document partitioning of its input."""
+    """Term frequency per chunk, counted inside the chunk's own short token list.
+
+    Neither a shuffle nor a hash table is needed, and the document
+    partitioning of the input stays.
+    """
+
+    def counted(terms):
+        return F.transform(
+            F.array_distinct(terms),
+            lambda t: F.struct(
+                t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).cast("bigint").alias("tf")
+            ),
+        )
+
     return (
         tokenize_chunks(chunks)
         .select(
@@ -52,11 +65,9 @@ def postings(chunks: DataFrame) -> DataFrame:
             "chunk_index",
             "length",
             # The outer form keeps the optimizer from repeating the tokenizer in a size filter.
-            F.explode_outer("terms").alias("term"),
+            F.inline_outer(let(F.col("terms"), counted)),
         )
         .where(F.col("term").isNotNull())
-        .groupBy("ruleset_id", "source_id", "doc_id", "chunk_index", "length", "term")
-        .agg(F.count("*").alias("tf"))
     )
 
 

@@ -86,51 +86,63 @@ TURN_METRICS = (
 )
 
 
-def _at(path: str, df: DataFrame) -> Column:
+def _raw(path: str, df: DataFrame) -> tuple[Column, str] | None:
+    """The column at a path and its type, or None when the records have no such path."""
     head, _, leaf = path.partition(".")
-    if head not in df.columns:
-        return F.lit(None).cast("string")
+    kinds = dict(df.dtypes)
+    if head not in kinds:
+        return None
     if not leaf:
-        return F.col(head).cast("string")
-    kind = dict(df.dtypes)[head]
-    if kind.startswith("struct"):
-        return F.col(path).cast("string") if f"{leaf}:" in kind else F.lit(None).cast("string")
-    return F.element_at(F.col(head), F.lit(leaf)).cast("string")
-
-
-def _number(text: Column) -> Column:
-    """Numbers and booleans as doubles; anything else, and non-finite numbers, as null."""
-    value = F.coalesce(
-        F.when(F.lower(text) == "true", F.lit(1.0)).when(F.lower(text) == "false", F.lit(0.0)),
-        text.try_cast("double"),
-    )
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(None)).otherwise(value)
+        return F.col(head), kinds[head]
+    if kinds[head].startswith("struct"):
+        field = {f.name: f.dataType.simpleString() for f in df.schema[head].dataType.fields}
+        return (F.col(path), field[leaf]) if leaf in field else None
+    return F.element_at(F.col(head), F.lit(leaf)), "string"
+
+
+def _at(path: str, df: DataFrame) -> Column:
+    found = _raw(path, df)
+    return F.lit(None).cast("string") if found is None else found[0].cast("string")
+
+
+def _number(col: Column, kind: str) -> Column:
+    """Numbers and booleans as doubles; anything else as null."""
+    if kind != "string":
+        return col.cast("double")
+    return F.coalesce(col.try_cast("double"), col.try_cast("boolean").cast("double"))
 
 
 def _long_form(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    cells = [
-        F.struct(F.lit(name).alias("metric"), _number(_at(path, records)).alias("value"))
-        for name, path in METRIC_PATHS.items()
-    ]
-    return records.select(*(keys or []), F.explode(F.array(*cells)).alias("m")).select(*(keys or []), "m.*")
+    """(keys, metric, value) of every finite value that is present; absent metrics give no rows."""
+    cells = []
+    for name, path in METRIC_PATHS.items():
+        found = _raw(path, records)
+        if found is not None:
+            cells.append(F.struct(F.lit(name).alias("metric"), _number(*found).alias("value")))
+    present = F.filter(
+        F.array(*cells),
+        lambda m: m["value"].isNotNull() & ~F.isnan(m["value"]) & (F.abs(m["value"]) < float("inf")),
+    )
+    return records.select(*(keys or []), F.inline_outer(present)).where(F.col("metric").isNotNull())
 
 
 def rollup_turn_metrics(records: DataFrame) -> DataFrame:
     """count, mean, p50, p95, max per metric; zeros for a metric nobody reported."""
     values = _long_form(records)
+    names = records.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(m) for m in METRIC_PATHS])).alias("metric")
+    )
     basics = values.groupBy("metric").agg(
         F.count("value").alias("count"),
-        F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 4).alias("mean"),
-        F.round(F.coalesce(F.max("value"), F.lit(0.0)), 4).alias("max"),
+        F.avg("value").alias("mean"),
+        F.max("value").alias("max"),
     )
     ranks = exact_percentiles(values, ["metric"], "value", {"p50": 0.50, "p95": 0.95})
-    return basics.join(ranks, "metric", "left").select(
+    found = names.join(basics, "metric", "left").join(ranks, "metric", "left")
+    return found.select(
         "metric",
-        "count",
-        "mean",
-        F.round(F.coalesce("p50", F.lit(0.0)), 4).alias("p50"),
-        F.round(F.coalesce("p95", F.lit(0.0)), 4).alias("p95"),
-        "max",
+        F.coalesce("count", F.lit(0)).alias("count"),
+        *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("mean", "p50", "p95", "max")],
     )
 
 

@@ -280,7 +280,9 @@ def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_f
        bounded by shingles / floor.
     3. Candidates of fitting size are compared by their real shingles.
     """
-    sets = docs.select(F.col("id").alias("doc_id"), shingles(F.coalesce("content", F.lit(""))).alias("shingles"))
+    sets = settle(
+        docs.select(F.col("id").alias("doc_id"), shingles(F.coalesce("content", F.lit(""))).alias("shingles"))
+    )
     keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.array_sort("shingles"), "\u0001"), 256))
     groups = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = (
@@ -296,7 +298,7 @@ def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_f
     hashed = reps.select(
         "doc_id",
         F.size("shingles").alias("n"),
-        F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"),
+        F.explode_outer(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"),
     )
     counted = hashed.groupBy("h").agg(F.count("*").alias("df"))
     hot = counted.where(F.col("df") > frequency_floor)

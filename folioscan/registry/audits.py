@@ -206,10 +206,10 @@ def _slots(spark, sf):
     shared AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS both_
                FROM inv a JOIN inv b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
     SELECT left_id, right_id, round(jaccard, 6) AS jaccard, same_set FROM copies
-    UNION ALL SELECT l, r, round(both_ / (ln + rn - both_), 6), false FROM shared WHERE both_ / (ln + rn - both_) >= 0.7""",
+    UNION ALL SELECT l, r, round(both_ / (ln + rn - both_), 6), false FROM shared WHERE both_ / (ln + rn - both_) >= 0.9""",
 )
 def _corpus(spark, sf):
-    return neardup.corpus_near_duplicates(library(spark, sf), 0.7).withColumn("jaccard", F.round("jaccard", 6))
+    return neardup.corpus_near_duplicates(library(spark, sf), 0.9).withColumn("jaccard", F.round("jaccard", 6))
 
 
 # --- metric rollups -----------------------------------------------------------------------------

@@ -33,7 +33,7 @@ def requests(events):
 
 @query(
     "rate_limit",
-    f"""WITH RECURSIVE r AS (SELECT 'u' || user_id AS key, epoch_ms(ts) AS ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+    f"""WITH RECURSIVE r AS (SELECT 'u' || user_id AS key, (epoch_us(ts) // 1000) AS ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
     w AS (SELECT key, ms, seq, n, ms AS start, 1 AS c, true AS allowed FROM r WHERE n = 1
       UNION ALL SELECT r.key, r.ms, r.seq, r.n, CASE WHEN r.ms - w.start >= {WINDOW_MS} THEN r.ms ELSE w.start END,
         CASE WHEN r.ms - w.start >= {WINDOW_MS} THEN 1 WHEN c >= {LIMIT} THEN c ELSE c + 1 END, r.ms - w.start >= {WINDOW_MS} OR c < {LIMIT}
