@@ -20,7 +20,8 @@ def metric_windows(records: DataFrame, length: str = "1 hour", slide: str | None
 
     The same plan serves a table and, with a watermark, a stream of records.
     """
-    source = records.withWatermark("ts", watermark) if watermark else records
+    stamped = records.withColumn("ts", F.col("ts").cast("timestamp")) if watermark else records
+    source = stamped.withWatermark("ts", watermark) if watermark else stamped
     values = _long_form(source, ["ts"]).where(F.col("value").isNotNull())
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
     return (
@@ -37,7 +38,8 @@ def metric_windows(records: DataFrame, length: str = "1 hour", slide: str | None
 
 def unique_requests(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated request ids that arrive within the watermark; older rows count as late."""
-    return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+    stamped = records.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
 def metrics_sink(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

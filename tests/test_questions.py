@@ -25,7 +25,7 @@ def test_routing_and_decomposition(spark):
     assert [q.question for q in rows[0].questions] == ["火球术距离多少？", "油腻术持续多久？"]
     assert [q.domain for q in rows[1].questions] == ["class", "progression", "spell", "feat"]
     assert rows[1].need_planner and not rows[2].questions
-    assert rows[1].questions[0].question == "5级法师 5级战士 职业能力 兼职"
+    assert rows[1].questions[0].question == "5级法师 5级战士 职业能力 兼职 多职业"
 
 
 def test_plans_are_valid(spark):
@@ -42,7 +42,7 @@ def messages(spark, *texts):
 
 
 def test_state_replaces_compositions_and_merges_maps(spark):
-    m = messages(spark, "我想创建一个角色，力量为16", "法师5/战士1", "种族为精灵，敏捷14", "现在是法师7级")
+    m = messages(spark, "我想创建一个角色，力量为16", "法师5/战士1", "种族为精灵，敏捷14", "现在7级法师")
     got = state.fold_state(m, ["conv_id"]).first()
     assert got.task == "创建角色"
     assert got.class_levels == {"法师": 7} and got.character_level == 7

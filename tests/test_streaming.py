@@ -38,10 +38,11 @@ def test_tool_loop_stream_equals_batch(spark):
 def test_sessions(spark):
     rows = [("a", 0, 1, "create"), ("a", 5, 2, "begin"), ("a", 6, 3, "begin"), ("a", 60, 4, "save"), ("a", 61, 5, "end"), ("a", 90, 6, "touch"), ("b", 1, 7, "touch")]
     folder = tempfile.mkdtemp(prefix="spark-")
-    df = spark.createDataFrame(rows, "key string, s int, seq bigint, kind string").select("key", F.timestamp_seconds("s").alias("ts"), "seq", "kind")
+    df = spark.createDataFrame(rows, "key string, s int, seq bigint, kind string").select("key", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "seq", "kind")
     df.coalesce(1).write.mode("overwrite").parquet(folder)
     live = limits.stream_sessions(spark.readStream.schema(df.schema).parquet(folder), 20_000)
-    got = {r.seq: (r.outcome, r.version) for r in drain(live, "sessions").collect()}
+    rows_out = drain(live, "sessions").collect()
+    got = {r.seq: (r.outcome, r.version) for r in rows_out}
     assert got == {1: ("ok", 0), 2: ("ok", 0), 3: ("busy", 0), 4: ("ok", 1), 5: ("ok", 1), 6: ("not_found", None), 7: ("not_found", None)}
 
 
