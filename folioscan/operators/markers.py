@@ -70,13 +70,20 @@ def query_flags(queries: DataFrame, rules: MarkerRules = MarkerRules()) -> DataF
     )
 
 
+def text_key(col: Column) -> Column:
+    """Sixteen bytes that stand for a text in an equality test on very many rows."""
+    return F.unhex(F.md5(col))
+
+
 def lexical_adjustment() -> Column:
     """Boosts added to a BM25 score: priority, exact title, and marker groups.
 
+    Expects `query_key` and `title_key`, so that no text travels with the hits.
+
     A level-mixing document is lifted whether or not the query asks for one.
     """
     title = F.when(
-        F.col("compact_query") == F.col("compact_title"),
+        F.col("query_key") == F.col("title_key"),
         F.when(F.col("is_reference"), F.lit(-4.0)).otherwise(F.lit(5.0)),
     ).otherwise(F.lit(0.0))
     groups = (

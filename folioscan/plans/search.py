@@ -35,9 +35,16 @@ def lexical_search(
 ) -> DataFrame:
     """BM25 per chunk, best chunk per document, boosts, then the first `limit` per query."""
     best = lexical.max_child(lexical.bm25_chunk_scores(queries, index, sources))
+    doc_side = markers.document_flags(docs, rules).select(
+        "doc_id", "priority", "is_reference", "is_favored", "is_multiclass",
+        markers.text_key(F.col("compact_title")).alias("title_key"),
+    )
+    query_side = markers.query_flags(queries, rules).select(
+        "query_id", "multiclass_intent", "favored_intent", markers.text_key(F.col("compact_query")).alias("query_key")
+    )
     scored = (
-        best.join(markers.document_flags(docs, rules), "doc_id")
-        .join(markers.query_flags(queries, rules), "query_id")
+        best.join(doc_side, "doc_id")
+        .join(query_side, "query_id")
         .withColumn("score", F.round(F.col("match_score") + markers.lexical_adjustment(), lexical.TIE_DIGITS))
         .select("query_id", "doc_id", "chunk_index", "match_score", "score")
     )
