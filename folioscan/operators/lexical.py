@@ -22,6 +22,8 @@ K1 = 1.5
 B = 0.75
 # Scores are sums of doubles in no fixed order; ranking compares them at this precision.
 TIE_DIGITS = 9
+# Question terms up to this number (about 50 MB) are shipped to every task.
+BROADCAST_TERMS = 500_000
 
 
 @dataclass
@@ -129,7 +131,17 @@ def bm25_chunk_scores(
 ) -> DataFrame:
     """Score of every chunk sharing a term with a query."""
     wanted = query_terms(queries)
-    weights = wanted.join(index.term_stats, ["ruleset_id", "term"]).select(
+    # The question terms are counted before anything is shipped; beyond the bound the
+    # joins shuffle and adaptive execution splits frequent terms.
+    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+    def ship(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if small else side
+
+    vocabulary = wanted.select("ruleset_id", "term").distinct()
+    asked = index.postings.join(ship(vocabulary), ["ruleset_id", "term"], "left_semi")
+    statistics = term_stats(asked, index.corpus_stats)
+    weights = wanted.join(statistics, ["ruleset_id", "term"]).select(
         "query_id",
         "ruleset_id",
         "term",
@@ -142,7 +154,7 @@ def bm25_chunk_scores(
     tf = F.col("tf")
     norm = k1 * (1.0 - b + b * F.col("length") / F.col("average_length"))
     return (
-        rows.join(weights, ["ruleset_id", "term"])
+        rows.join(ship(weights), ["ruleset_id", "term"])
         .groupBy("doc_id", "chunk_index", "query_id")
         .agg(F.sum(F.col("gain") * tf / (tf + norm)).alias("score"))
     )
