@@ -27,18 +27,18 @@ def local_session(app: str = "folioscan", cores: str = "*", partitions: int = 8)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; only an unset one (tests) gets a scratch folder."""
+    """The shared folder in spark.checkpoint.dir; only a local session (tests) may fall back on its own.
+
+    On a cluster an unset folder is an error: executors do not share the driver's disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
     if current is None:
-        scratch = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(scratch)
-        return scratch
-    return current
+        if not configured and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = configured or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(current)
+    return configured or current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
