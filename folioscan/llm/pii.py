@@ -1,0 +1,305 @@
+"""Personal data: entities are found in whole texts and replaced by keyed surrogates of the same type, script, gender and format."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterable
+from functools import lru_cache
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioscan.llm.common import map_rows, texts_of
+from folioscan.session import cut_lineage
+
+# Patterns, titles and given names by gender.
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
+DIGITS = re.compile(r"(?<![\w.+(-])(?:[+(]?\d[\d ().-]{5,38}\d)(?!\w)")
+IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
+CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")
+PHONE = re.compile(
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+)
+SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа")
+OTHER_TITLES = ("Dr", "Prof")
+MALE_NAMES = ("Adam", "Alan", "Anton", "Carlos", "Daniel", "David", "Diego", "Emil", "Felix", "George", "Henri", "Hugo", "James", "John", "Jules", "Karl", "Louis", "Marc", "Martin", "Michael", "Oscar", "Pablo", "Paul", "Peter", "Robert", "Simon", "Thomas", "Victor", "William")
+FEMALE_NAMES = ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Greta", "Hanna", "Helen", "Ines", "Jane", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marie", "Marta", "Mary", "Nina", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Theresa", "Vera")
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзклмнпрстфхцчш"
+GREEK_VOWELS, GREEK_CONSONANTS = "αεηιουω", "βγδζθκλμνξπρστφχψ"
+
+_WORD = r"[^\W\d_][^\W\d_a-zа-яα-ω]*[^\W\d_]*"
+NAME = re.compile(
+    rf"\b({'|'.join(MALE_TITLES)}|{'|'.join(FEMALE_TITLES)}|{'|'.join(OTHER_TITLES)})(\.? )((?:[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]*)(?:[ -][A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+){{0,2}})"
+    rf"|\b({'|'.join(MALE_NAMES + FEMALE_NAMES)})( [A-ZÀ-Þ][^\W\d_]+)\b"
+)
+_CLASSES = [
+    *(x for low in (VOWELS, CONSONANTS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK_VOWELS, GREEK_CONSONANTS) for x in (low, low.upper())),
+    "0123456789",
+    "".join(map(chr, range(0x4E00, 0x9FA6))),
+]
+_CLASS_OF = {c: (k, i) for k, chars in enumerate(_CLASSES) for i, c in enumerate(chars)}
+
+
+class Entity(NamedTuple):
+    kind: str
+    start: int
+    end: int
+    value: str
+
+
+def luhn(digits: str) -> bool:
+    total = sum(int(d) if k % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for k, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _plain(value: str) -> str:
+    return re.sub(r"[ ().-]", "", value)
+
+
+def entities(text: str) -> list[Entity]:
+    """Entities of one whole text, leftmost first and never overlapping; of those that overlap, the kind named first here wins:
+    email, ip, iban, card, ssn, phone, male / female / person (names after a title, or a known given name and a surname)."""
+    found: list[Entity] = []
+    if "@" in text:
+        found += [Entity("email", *m.span(), m.group()) for m in EMAIL.finditer(text)]
+    spans = [m.span() for m in DIGITS.finditer(text)]
+    for low, high in spans:
+        low, high = max(0, low - 1), min(len(text), high + 1)
+        for kind, pattern in (("ip", IPV4), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
+            for m in pattern.finditer(text, low, high):
+                digits = _plain(m.group())
+                if kind == "card" and not (luhn(digits) or (len(digits) == 16 and digits[0] in "3456" and m.group().isdigit())):
+                    continue
+                if kind == "phone" and not 8 <= len(digits.lstrip("+")) <= 15:
+                    continue
+                found.append(Entity(kind, *m.span(), m.group()))
+    for m in IBAN.finditer(text):
+        value = m.group().replace(" ", "")
+        if 15 <= len(value) <= 34 and _mod97(value) == 1:
+            found.append(Entity("iban", *m.span(), m.group()))
+    for m in NAME.finditer(text):
+        if m.group(1):
+            kind = "male" if m.group(1) in MALE_TITLES else "female" if m.group(1) in FEMALE_TITLES else "person"
+            found.append(Entity(kind, *m.span(3), m.group(3)))
+        else:
+            found.append(Entity("male" if m.group(4) in MALE_NAMES else "female", m.start(4), m.end(5), m.group(4) + m.group(5)))
+    rank = {k: i for i, k in enumerate(("email", "ip", "iban", "card", "ssn", "phone"))}
+    kept: list[Entity] = []
+    taken: list[tuple[int, int]] = []
+    for e in sorted(found, key=lambda e: (rank.get(e.kind, 9), e.start, -e.end)) if len(found) > 1 else found:
+        if all(e.end <= a or e.start >= b for a, b in taken):
+            kept.append(e)
+            taken.append((e.start, e.end))
+    return sorted(kept, key=lambda e: e.start)
+
+
+def _permuted(key: bytes, tweak: str, size: int, x: int) -> int:
+    """A keyed permutation of 0 .. size-1: a balanced Feistel network over the next even number of bits, walked until it is inside."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for turn in range(6):
+            data = f"{turn}|{right}|{size}|{tweak}".encode()
+            left, right = right, left ^ (int.from_bytes(hashlib.blake2b(data, key=key, digest_size=16).digest(), "big") & mask)
+        x = left << half | right
+        if x < size:
+            return x
+
+
+def _shaped(key: bytes, tweak: str, value: str, classes: dict[int, str] | None = None) -> str:
+    """Another string of the same shape: each letter or digit stays in its class (script, case, vowel or consonant; digits),
+    all other characters stay. One-to-one within a shape, so distinct values of a shape keep distinct surrogates."""
+    classes = classes or {}
+    alphabets, x, size = [], 0, 1
+    for at, c in enumerate(value):
+        if at in classes:
+            alphabet, digit = classes[at], classes[at].index(c)
+        elif c in _CLASS_OF:
+            k, digit = _CLASS_OF[c]
+            alphabet = _CLASSES[k]
+        else:
+            alphabets.append(c)
+            continue
+        alphabets.append(alphabet)
+        x, size = x * len(alphabet) + digit, size * len(alphabet)
+    if size == 1:
+        return value
+    shape = "".join(a if len(a) == 1 else chr(0xE000 + len(a) % 997) for a in alphabets)
+    y = _permuted(key, tweak + shape, size, x)
+    if y == x:  # a fixed point would show the value; step round the cycle of a second permutation instead
+        y = _permuted(key, tweak + shape + "+", size, x)
+    out = []
+    for a in reversed(alphabets):
+        if len(a) == 1:
+            out.append(a)
+        else:
+            y, digit = divmod(y, len(a))
+            out.append(a[digit])
+    return "".join(reversed(out))
+
+
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
+    """The surrogate of an entity under a secret key. Spelling variants of a number (spaces, dots, dashes) and the case of an
+    e-mail address count as one entity, so mentions of one entity agree everywhere. `attempt` picks another surrogate."""
+    tweak = f"{kind}|{attempt}|"
+    if kind == "email":
+        local, domain = value.lower().split("@")
+        *labels, top = domain.split(".")
+        labels = [x if x == "example" else _shaped(key, tweak + "d", x) for x in labels]
+        return f"{_shaped(key, tweak + domain, local)}@{'.'.join(labels)}.{top}"
+    if kind == "ip":
+        a, b, c, d = map(int, value.split("."))
+        low, high = (1, 223) if 1 <= a <= 223 else (224, 255) if a else (0, 0)
+        x = (((a - low) << 8 | b) << 8 | c) << 8 | d
+        y = _permuted(key, tweak + str(low), (high - low + 1) << 24, x)
+        return f"{low + (y >> 24)}.{y >> 16 & 255}.{y >> 8 & 255}.{y & 255}"
+    if kind in ("card", "ssn", "phone"):
+        digits = re.sub(r"\D", "", value)
+        fixed = 0
+        if kind == "phone" and value.startswith("+"):
+            fixed = len(re.match(r"\+(\d{1,3})(?=\D|$)|\+(\d)", value).group()) - 1
+        if kind == "card":
+            body = digits[0] + _shaped(key, tweak + digits[0], digits[1:-1])
+            end = _shaped(key, tweak + "end", digits[-1])
+            new = next(body + d for d in "0123456789" if luhn(body + d)) if luhn(digits) else body + end
+            if not luhn(digits) and luhn(new):
+                new = body + str((int(end) + 1) % 10)
+        else:
+            # a first digit of 2 to 9 stays one, as in area and exchange codes
+            rest = digits[fixed:]
+            firsts = {k: "23456789" if rest[k] in "23456789" else "01" for k in {0, len(rest) - 7} if 0 <= k < len(rest)}
+            new = digits[:fixed] + _shaped(key, tweak + digits[:fixed], rest, firsts)
+        source = iter(new)
+        return "".join(next(source) if c.isdigit() else c for c in value)
+    if kind == "iban":
+        plain = value.replace(" ", "")
+        body = _shaped(key, tweak + plain[:2], plain[4:])
+        new = plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body
+        source = iter(new)
+        return "".join(next(source) if c != " " else c for c in value)
+    words = re.split(r"([ -])", value)
+    return "".join(w if w in (" ", "-") else _name_word(key, kind, w, attempt) for w in words)
+
+
+def _name_word(key: bytes, kind: str, word: str, attempt: int) -> str:
+    for names in (MALE_NAMES, FEMALE_NAMES):
+        if word in names:  # a keyed shift of the list: one-to-one, same gender, never the same name
+            shift = 1 + int.from_bytes(hashlib.blake2b(names[0].encode(), key=key, digest_size=8).digest(), "big") % (len(names) - 1)
+            return names[(names.index(word) + shift) % len(names)]
+    return _shaped(key, f"name|{attempt}|", word)
+
+
+def entity_key(kind: str, value: str) -> str:
+    """What makes two mentions the same entity."""
+    if kind == "email":
+        return value.lower()
+    return re.sub(r"\D", "", value) if kind in ("card", "ssn", "phone") else value.replace(" ", "") if kind == "iban" else value
+
+
+def surrogate_exceptions(docs: DataFrame, key: bytes, text_column: str = "text", most_rounds: int = 20) -> DataFrame:
+    """Entities that must not take their first surrogate: kind, entity, attempt (from 1 on).
+
+    Over all distinct entities of the corpus: a surrogate that is itself an entity of the corpus, or
+    that two entities share (the smaller one keeps it), is drawn again until none is left. Everything
+    is a distributed join; entities are pre-aggregated by distinct before they are shuffled.
+    """
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen = {(e.kind, entity_key(e.kind, e.value)): e.value for text in texts_of(batch.column(0)) for e in entities(text)}
+        return pa.record_batch(
+            [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.string())],
+            ["kind", "entity", "sample"],
+        )
+
+    def drawn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds, own, sample, attempts = (batch.column(k).to_pylist() for k in range(4))
+        new = [entity_key(k, surrogate(key, k, v, a)) for k, v, a in zip(kinds, sample, attempts)]
+        return pa.record_batch([*batch.columns, pa.array(new, pa.string())], ["kind", "entity", "sample", "attempt", "new"])
+
+    every = map_rows(docs, [text_column], found, "kind string, entity string, sample string")
+    every = cut_lineage(every.groupBy("kind", "entity").agg(F.min("sample").alias("sample")))
+    names = F.col("kind").isin("male", "female", "person")  # parts of names are one-to-one already, whatever the title
+    columns = "kind string, entity string, sample string, attempt int, new string"
+    state = cut_lineage(map_rows(every.where(~names).withColumn("attempt", F.lit(0)), ["kind", "entity", "sample", "attempt"], drawn, columns))
+    for _ in range(most_rounds):
+        real = state.join(every.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "entity")
+        shared = state.groupBy("kind", "new").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = state.join(shared.select("kind", "new", "first"), ["kind", "new"]).where("entity <> first").select("kind", "entity")
+        again = cut_lineage(real.union(later).distinct())
+        if again.isEmpty():
+            break
+        moved = state.join(again, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
+        moved = map_rows(moved, ["kind", "entity", "sample", "attempt"], drawn, columns)
+        state = cut_lineage(state.join(again, ["kind", "entity"], "left_anti").unionByName(moved))
+    return state.where("attempt > 0").select("kind", "entity", "attempt")
+
+
+def replace_entities(text: str, key: bytes, attempts: dict[tuple[str, str], int], draw=surrogate) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """The rewritten text and, per entity, (kind, start, end, surrogate); the offsets are those of the original."""
+    out, at, spans = [], 0, []
+    for e in entities(text):
+        new = draw(key, e.kind, e.value, attempts.get((e.kind, entity_key(e.kind, e.value)), 0))
+        out += [text[at : e.start], new]
+        at = e.end
+        spans.append((e.kind, e.start, e.end, new))
+    return "".join(out) + text[at:], spans
+
+
+def replace_personal_data(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
+    """`docs` with the entities of `text_column` replaced, and a column `entities` (kind, start, end, surrogate).
+
+    Equal entities have equal surrogates in all documents, distinct ones distinct surrogates that
+    are no entity of the corpus. Null texts stay null with no entities, empty and clean texts stay as
+    they are, repeated rows are rewritten alike; an input column called `entities` is replaced.
+    Exceptions are few: they reach the documents that mention them by the hash of the text, and
+    documents are only shuffled if there are any.
+    """
+    columns = [c for c in docs.columns if c != "entities"]
+    exceptions = surrogate_exceptions(docs, key, text_column)
+    kind = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
+
+    def rewritten(texts: Iterable[str | None], attempts: Iterable) -> pa.Array:
+        draw = lru_cache(maxsize=100_000)(surrogate)
+        rows = []
+        for text, own in zip(texts, attempts):
+            if text is None:
+                rows.append({"text": None, "entities": []})
+                continue
+            new, spans = replace_entities(text, key, {(x["kind"], x["entity"]): x["attempt"] for x in own or ()}, draw)
+            rows.append({"text": new, "entities": [dict(zip(("kind", "start", "end", "surrogate"), s)) for s in spans]})
+        inner = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
+        return pa.array(rows, pa.struct([("text", pa.string()), ("entities", pa.list_(inner))]))
+
+    if exceptions.isEmpty():
+        source = docs.select(*columns)
+        again = F.arrow_udf(lambda texts: rewritten(texts.to_pylist(), [None] * len(texts)), f"text string, entities {kind}")
+        new = again(F.col(text_column))
+    else:
+
+        def mentions(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(h, e.kind, entity_key(e.kind, e.value)) for h, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) for e in entities(t)]
+            h, k, v = zip(*rows) if rows else ((), (), ())
+            return pa.record_batch([pa.array(h, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["text_hash", "kind", "entity"])
+
+        hashed = docs.select(F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("body"))
+        hit = map_rows(hashed, ["text_hash", "body"], mentions, "text_hash bigint, kind string, entity string").join(exceptions, ["kind", "entity"])
+        own = hit.groupBy("text_hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_attempts"))
+        source = docs.select(*columns).withColumn("_hash", F.xxhash64(text_column)).join(own, F.col("_hash") == F.col("text_hash"), "left")
+        again = F.arrow_udf(lambda texts, own: rewritten(texts.to_pylist(), own.to_pylist()), f"text string, entities {kind}")
+        new = again(F.col(text_column), F.col("_attempts"))
+    done = source.withColumn("_new", new)
+    kept = [F.col("_new.text").alias(c) if c == text_column else F.col(c) for c in columns]
+    return done.select(*kept, F.col("_new.entities").alias("entities"))

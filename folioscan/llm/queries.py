@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm.common import table
+from folioscan.llm.pii import replace_personal_data
+from folioscan.llm.quality import fit_quality, score_documents
 from folioscan.llm.simhash import simhash_groups
 
+#: The key of the surrogates is a secret of whoever runs the job; this one is for the driver's invented tables.
+PII_KEY = b"folioscan example key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +23,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, PII_KEY)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
