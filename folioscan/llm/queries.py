@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm.common import table
+from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
 from folioscan.llm.quality import fit_quality, score_documents
 from folioscan.llm.simhash import simhash_groups
+from folioscan.llm.token_output import packed_rows
 
 #: The key of the surrogates is a secret of whoever runs the job; this one is for the driver's invented tables.
 PII_KEY = b"folioscan example key"
@@ -29,6 +31,16 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(docs, PII_KEY)
 
 
+@query
+def op3_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_online(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
