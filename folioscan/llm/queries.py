@@ -12,6 +12,7 @@ from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
 from folioscan.llm.quality import fit_quality, score_documents
 from folioscan.llm.simhash import simhash_groups
+from folioscan.llm.syncmers import compare_edited
 from folioscan.llm.token_output import packed_rows
 
 #: The key of the surrogates is a secret of whoever runs the job; this one is for the driver's invented tables.
@@ -56,3 +57,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
