@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscan.llm.common import table
 from folioscan.llm.embeddings import near_vectors
 from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
 from folioscan.llm.quality import fit_quality, score_documents
+from folioscan.llm.secrets import find_secrets, listed_spans
 from folioscan.llm.simhash import simhash_groups
 from folioscan.llm.syncmers import compare_edited
 from folioscan.llm.token_output import packed_rows
@@ -43,6 +45,15 @@ def op3_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "n_entropy",
+        F.sha2(listed_spans(F.col("base_spans")), 256).alias("base_sha256"),
+        listed_spans(F.col("all_spans")).alias("spans"),
+    )
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"))
