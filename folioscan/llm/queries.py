@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.llm.bpe import decode_documents, encode_documents
 from folioscan.llm.common import table
 from folioscan.llm.embeddings import near_vectors
 from folioscan.llm.packing import pack_online
@@ -45,6 +46,16 @@ def op3_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents"))).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).select(

@@ -53,7 +53,7 @@ class Encoder:
         whole, cut = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (pc.and_(odd, full), pc.and_(pc.invert(odd), full)))
         out = [np.empty(0, np.uint32)] * len(texts)
         for k in whole:
-            out[k] = np.array(self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            out[k] = self.entire(texts[k].as_py())
         for at in range(0, len(cut), 20_000):
             some = cut[at : at + 20_000]
             for k, ids in zip(some, self._cut(texts.take(pa.array(some)))):
@@ -64,13 +64,10 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary
-        joined = " " + pc.binary_join(pa.array([words.to_pylist()]), " ")[0].as_py()
-        ids = self.pieces.encode_to_numpy(joined, disallowed_special=()).astype(np.uint32)
-        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
-        stops = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1  # no token reaches over the end of a piece
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids, stops = self.after_space(words)
         starts = np.r_[0, stops[:-1]]
-        firsts = [np.array(self.pieces.encode_ordinary(x), np.uint32) for x in words.take(pa.array(codes[offsets[:-1]])).to_pylist()]
+        firsts = [self.alone(words[c]) for c in codes[offsets[:-1]].tolist()]
         first_lengths = np.array([len(x) for x in firsts])
         at, many = starts[codes], (stops - starts)[codes]
         at[offsets[:-1]] = len(ids) + np.cumsum(first_lengths) - first_lengths
@@ -79,3 +76,16 @@ class Encoder:
         flat = pool[flat_runs(at, many)]
         bounds = np.r_[0, np.cumsum(many)][offsets]
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def entire(self, text: str) -> np.ndarray:
+        """Ids of any text, special tokens included."""
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def alone(self, piece: str) -> np.ndarray:
+        return np.array(self.pieces.encode_ordinary(piece), np.uint32)
+
+    def after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each as it stands after a space, one piece after the other, and where each one's ids stop."""
+        ids = self.pieces.encode_to_numpy(" " + " ".join(pieces), disallowed_special=()).astype(np.uint32)
+        ends = np.cumsum([len(x.encode()) + 1 for x in pieces])
+        return ids, np.searchsorted(np.cumsum(self.width[ids]), ends) + 1  # no token reaches over the end of a piece
