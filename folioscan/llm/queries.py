@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscan.llm.bpe import decode_documents, encode_documents
 from folioscan.llm.common import table
 from folioscan.llm.embeddings import near_vectors
+from folioscan.llm.language_model import score_documents as score_language
 from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
 from folioscan.llm.quality import fit_quality, score_documents
@@ -65,6 +66,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"))
