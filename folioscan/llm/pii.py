@@ -17,9 +17,9 @@ from folioscan.session import cut_lineage
 
 # Patterns, titles and given names by gender.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
-DIGITS = re.compile(r"(?<![\w.+(-])(?:[+(]?\d[\d ().-]{5,38}\d)(?!\w)")
+DIGITS = re.compile(r"(?<![\w.+(-])[+(]?\d[\d ().-]{5,}")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
-CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")
+CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)")
 PHONE = re.compile(
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
     r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
@@ -30,7 +30,7 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа")
 OTHER_TITLES = ("Dr", "Prof")
 MALE_NAMES = ("Adam", "Alan", "Anton", "Carlos", "Daniel", "David", "Diego", "Emil", "Felix", "George", "Henri", "Hugo", "James", "John", "Jules", "Karl", "Louis", "Marc", "Martin", "Michael", "Oscar", "Pablo", "Paul", "Peter", "Robert", "Simon", "Thomas", "Victor", "William")
-FEMALE_NAMES = ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Greta", "Hanna", "Helen", "Ines", "Jane", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marie", "Marta", "Mary", "Nina", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Theresa", "Vera")
+FEMALE_NAMES = ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Greta", "Hanna", "Helen", "Jane", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marie", "Marta", "Mary", "Nina", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Vera")
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзклмнпрстфхцчш"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιουω", "βγδζθκλμνξπρστφχψ"

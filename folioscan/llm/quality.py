@@ -92,7 +92,7 @@ def fit_trees(
     prior = (labels.sum() + 1) / (len(labels) + 2)
     base = float(np.log(prior / (1 - prior)))
     empty = np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1))
-    if labels.min(initial=1) == labels.max(initial=0):
+    if len(np.unique(labels)) < 2:
         return Trees(base, *empty)
     width = rows.shape[1]
     edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]

@@ -14,7 +14,7 @@ from folioscan.llm.language_model import score_documents as score_language
 from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
 from folioscan.llm.quality import fit_quality, score_documents
-from folioscan.llm.secrets import find_secrets, listed_spans
+from folioscan.llm.secrets import ACCESS, ALLOWED_BEFORE, ALLOWED_PLAIN, ALLOWED_RUNS, ASSIGN, ASSIGN_VALUE, CLASSES, HEX, find_secrets, listed_spans
 from folioscan.llm.simhash import simhash_groups
 from folioscan.llm.syncmers import compare_edited
 from folioscan.llm.token_output import packed_rows
@@ -31,6 +31,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+ORACLES["op1_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = lowest.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM lowest
+"""
+
+
 @query
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
@@ -71,6 +83,45 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(table(spark, sf_dir, "documents"))
 
 
+def _secrets_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    forms = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), *((c.kind, c.run) for c in CLASSES)]
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS number, '{kind}' AS kind, regexp_extract_all(body, {quoted(form)}) AS hits, string_split_regex(body, {quoted(form)}) AS gaps FROM docs"
+        for n, (kind, form) in enumerate(forms)
+    )
+    hot = " UNION ALL ".join(
+        f"""SELECT doc_id, number, kind, start + list_min(places) AS start, start + list_max(places) + {c.window} AS stop FROM (
+          SELECT *, list_filter(range(length(hit) - {c.window - 1}), lambda i: list_aggregate(string_split(substring(hit, i + 1, {c.window}), ''), 'entropy') >= {c.bits - 1e-9}) AS places
+          FROM placed WHERE kind = '{c.kind}' AND regexp_matches(hit, {quoted(c.needs)}) {f"AND NOT regexp_matches(hit, {quoted(c.never)})" if c.never else ""}
+            AND NOT regexp_matches(hit, {quoted(ALLOWED_PLAIN)}) AND NOT regexp_matches(hit, {quoted(ALLOWED_RUNS)}) AND NOT regexp_matches(before, {quoted(ALLOWED_BEFORE)})
+        ) WHERE len(places) > 0"""
+        for c in CLASSES
+    )
+    listed = lambda rows: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) {rows}, '')"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+found AS ({hits}),
+each AS (SELECT doc_id, number, kind, hits, gaps, unnest(generate_series(1, len(hits))) AS k FROM found WHERE len(hits) > 0),
+placed AS (
+  SELECT doc_id, number, kind, hits[k] AS hit, right(gaps[k], 24) AS before,
+    list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS start
+  FROM each
+),
+spans AS (
+  SELECT doc_id, number, kind, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM placed
+  WHERE kind IN ('access', 'hex') OR kind = 'assign' AND length(regexp_extract(hit, {quoted("^(?:" + ASSIGN + ")$")}, 2)) >= {ASSIGN_VALUE}
+  UNION ALL SELECT doc_id, number, kind, start::BIGINT, stop::BIGINT FROM ({hot})
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  count(*) FILTER (number > 2) AS n_entropy, sha256({listed("FILTER (number <= 2)")}) AS base_sha256, {listed("")} AS spans
+FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLES["op5_secrets"] = _secrets_sql()
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_online(table(spark, sf_dir, "documents"))
@@ -87,6 +138,18 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op1_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = lowest.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM lowest
+"""
+
+
 @query
 def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))

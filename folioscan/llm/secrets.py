@@ -36,10 +36,12 @@ CLASSES = (
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_-]{20,}", 20, 3.6, needs=r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", never=r"^[0-9a-fA-F]+$"),
 )
 #: Candidates that are no secrets by themselves, and words before one that say so.
-ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|deadbeef|0123456789|abcdefgh|(.)\1{7}"
-    r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ALLOWED_PLAIN = (
+    r"(?i)example|sample|dummy|placeholder|changeme|deadbeef|0123456789|abcdefgh"
+    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 )
+ALLOWED_RUNS = "|".join(f"{c}{{8}}" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+ALLOWED = f"{ALLOWED_PLAIN}|{ALLOWED_RUNS}"
 ALLOWED_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|digest|commit|revision|integrity|base64)[\x20:=,/-]{1,3}$"
 
 _BLOCK = 256
