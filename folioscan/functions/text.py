@@ -210,3 +210,14 @@ def compact_letters_each(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.split(kept, "\u0001")).otherwise(
         F.array().cast("array<string>")
     )
+
+
+def match_starts(text: Column, pattern: Column) -> Column:
+    """1-based start of every match of `pattern`, in order: what split leaves between the matches gives the gaps."""
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    return F.transform(
+        hits,
+        lambda _, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(1), lambda n, g: n + F.length(g))
+        + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda n, h: n + F.length(h)),
+    )

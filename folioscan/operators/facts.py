@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import strip
+from folioscan.functions.text import match_starts, strip
 
 # --- Fixed values -----------------------------------------------------------------------------
 CLASS_TITLE, CLASS_TABLE = "法师", "表：法师"
@@ -22,7 +22,7 @@ FEAT_NOT = "等级|基本攻击|豁免|特殊能力|每日法术"
 CITATION = r"\[(?:\^)?(S\d+)]"
 ALLOCATION = r"(?:法师|战士|奥法骑士)\s*\d+(?:\s*[/／]\s*(?:法师|战士|奥法骑士)\s*\d+)+"
 ALLOCATION_LEVEL = r"(?:法师|战士|奥法骑士)\s*(\d+)"
-LEVEL_TARGET = r"(?:角色\s*)?(?:达到|等级|至)\s*(\d+)\s*级|(?<![到至\-—~\d])(\d+)\s*级时"
+LEVEL_TARGET = r"(?:角色\s*)?(?:达到|等级|至)\s*(\d+)\s*级|(?<![到至\-—~])(\d+)\s*级时"
 SPELL_CLAIMS = (
     r"(\d+)\s*级法师[^\n。；]{0,45}?(?:最高(?:可)?|获得|解锁|可以施展|可施展|能施展)[^\n。；]{0,20}?(\d+)\s*环",
     r"(?m)^\s*(\d+)\s*级[：:][^\n。；]{0,45}?(?:获得|解锁|可以|可|能)[^\n。；]{0,20}?(\d+)\s*环",
@@ -285,11 +285,15 @@ def check_options(answers: DataFrame, facts: DataFrame) -> DataFrame:
         .where(F.contains("_p", F.col("subject")))
         .withColumn(
             "_pattern",
-            F.concat(
-                F.lit(r"(?s).{0,40}(?:"), F.col("level"), F.lit(r"\s*级[^\n]{0,30}奖励专长|奖励专长[^\n]{0,30}"), F.col("level"), F.lit(r"\s*级).{0,180}"),
-            ),
+            F.concat(F.col("level"), F.lit(r"\s*级[^\n]{0,30}奖励专长|奖励专长[^\n]{0,30}"), F.col("level"), F.lit(r"\s*级")),
+        )
+        .withColumn("_found", F.arrays_zip(match_starts(F.col("_p"), F.col("_pattern")).alias("at"), F.regexp_extract_all("_p", F.col("_pattern"), F.lit(0)).alias("hit")))
+        .select("answer_id", "level", "_p", F.inline("_found"))
+        # the windows of neighbouring mentions may overlap
+        .select(
+            "answer_id", "level",
+            F.expr("substring(_p, greatest(1, at - 40), at + length(hit) + 180 - greatest(1, at - 40))").alias("w"),
         )
-        .select("answer_id", "level", F.explode(F.regexp_extract_all("_p", F.col("_pattern"), F.lit(0))).alias("w"))
     )
     fights = windows.where(F.contains("w", F.lit(WRONG_SCOPE)))
     allowed = F.col("subject").isin(list(ALWAYS_BONUS))

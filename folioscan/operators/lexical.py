@@ -22,8 +22,6 @@ K1 = 1.5
 B = 0.75
 # Scores are sums of doubles in no fixed order; ranking compares them at this precision.
 TIE_DIGITS = 9
-# Question terms up to this number (about 50 MB) are shipped to every task.
-BROADCAST_TERMS = 500_000
 
 
 @dataclass
@@ -49,6 +47,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     Neither a shuffle nor a hash table is needed, and the document
     partitioning of the input stays.
     """
+    return counted_terms(chunks).where(F.col("term").isNotNull())
+
+
+def counted_terms(chunks: DataFrame) -> DataFrame:
+    """Postings, and one row without a term for each chunk that has no token."""
 
     def counted(terms):
         return F.transform(
@@ -58,18 +61,14 @@ def postings(chunks: DataFrame) -> DataFrame:
             ),
         )
 
-    return (
-        tokenize_chunks(chunks)
-        .select(
-            "ruleset_id",
-            "source_id",
-            "doc_id",
-            "chunk_index",
-            "length",
-            # The outer form keeps the optimizer from repeating the tokenizer in a size filter.
-            F.inline_outer(let(F.col("terms"), counted)),
-        )
-        .where(F.col("term").isNotNull())
+    return tokenize_chunks(chunks).select(
+        "ruleset_id",
+        "source_id",
+        "doc_id",
+        "chunk_index",
+        "length",
+        # The outer form keeps the optimizer from repeating the tokenizer in a size filter.
+        F.inline_outer(let(F.col("terms"), counted)),
     )
 
 
@@ -99,14 +98,18 @@ def term_stats(postings_df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, size: int = 500, overlap: int = 50, persist: bool = True) -> LexicalIndex:
-    """All index tables of a corpus from one shuffle of the texts by document."""
+    """All index tables of a corpus from one shuffle of the texts by document.
+
+    Every chunk counts in the number of chunks and in their mean length, with or without tokens.
+    """
     spread = docs.repartition("id")
     chunks = chunk(spread, size, overlap)
-    posting_rows = postings(chunks)
+    counted = counted_terms(chunks)
     if persist:
-        posting_rows = posting_rows.persist()
+        counted = counted.persist()
+    posting_rows = counted.where(F.col("term").isNotNull())
     stats = (
-        posting_rows.groupBy("ruleset_id", "doc_id", "chunk_index", "length")
+        counted.groupBy("ruleset_id", "doc_id", "chunk_index", "length")
         .agg(F.count("*").alias("terms"))
         .groupBy("ruleset_id")
         .agg(
@@ -131,15 +134,8 @@ def bm25_chunk_scores(
 ) -> DataFrame:
     """Score of every chunk sharing a term with a query."""
     wanted = query_terms(queries)
-    # The question terms are counted before anything is shipped; beyond the bound the
-    # joins shuffle and adaptive execution splits frequent terms.
-    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-
-    def ship(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if small else side
-
     vocabulary = wanted.select("ruleset_id", "term").distinct()
-    asked = index.postings.join(ship(vocabulary), ["ruleset_id", "term"], "left_semi")
+    asked = index.postings.join(vocabulary, ["ruleset_id", "term"], "left_semi")
     statistics = term_stats(asked, index.corpus_stats)
     weights = wanted.join(statistics, ["ruleset_id", "term"]).select(
         "query_id",
@@ -154,7 +150,7 @@ def bm25_chunk_scores(
     tf = F.col("tf")
     norm = k1 * (1.0 - b + b * F.col("length") / F.col("average_length"))
     return (
-        rows.join(ship(weights), ["ruleset_id", "term"])
+        rows.join(weights, ["ruleset_id", "term"])
         .groupBy("doc_id", "chunk_index", "query_id")
         .agg(F.sum(F.col("gain") * tf / (tf + norm)).alias("score"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.scale import settle
-from folioscan.functions.text import contains_any, let, strip
+from folioscan.functions.text import contains_any, let, match_starts, strip
 
 # --- Fixed values -----------------------------------------------------------------------------
 FIELDS = (
@@ -105,7 +105,7 @@ class StateRules:
         )
 
 
-OBSERVED = "array<struct<kind:string,key:string,value:string,pos:int>>"
+OBSERVED = "array<struct<kind:string,key:string,value:string,pos:bigint>>"
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -128,7 +128,7 @@ def _clean_class(value: Column, rules: StateRules) -> Column:
 def _seen(kind: str, key: Column, value: Column, pos: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("string").alias("value"),
-        pos.cast("int").alias("pos"),
+        pos.cast("bigint").alias("pos"),
     )
 
 
@@ -141,7 +141,7 @@ def _pairs(kind: str, text: Column, pattern: str, key_group: int, value_group: i
     return F.transform(
         named,
         lambda z, i: _seen(
-            kind, key(z["k"]) if key else z["k"], value(z["v"]) if value else z["v"], i + base * 1000
+            kind, key(z["k"]) if key else z["k"], value(z["v"]) if value else z["v"], i.cast("bigint") + F.lit(base << 40)
         ),
     )
 
@@ -196,7 +196,8 @@ def observations(messages: DataFrame, keys: list[str], rules: StateRules = State
         F.array(
             *[
                 F.transform(
-                    _all(c, p, 1), lambda v: F.struct(F.instr(c, v).alias("at"), strip(v).alias("v"))
+                    F.arrays_zip(_all(c, p, 1).alias("v"), match_starts(c, F.lit(p)).alias("at"), _all(c, p, 0).alias("hit")),
+                    lambda m: F.struct((m["at"] + F.instr(m["hit"], m["v"]) - 1).alias("at"), strip(m["v"]).alias("v")),
                 )
                 for p in rules.preferences
             ]

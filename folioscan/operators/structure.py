@@ -349,7 +349,7 @@ def split_oversized_entries(entries: DataFrame, blocks: DataFrame, limit: int =
     title = F.trim(F.split(F.col("b")[0]["text"], "\n")[0])
     split = pieces.select(
         "doc_id",
-        (F.lit(10_000) + F.col("_n")).alias("ord"),
+        (F.lit(1 << 40) + F.col("_n")).alias("ord"),
         F.col("_from").alias("start"),
         F.col("_to").alias("end"),
         F.concat("path", F.array(title)).alias("path"),
@@ -422,7 +422,7 @@ def table_documents(docs: DataFrame, blocks: DataFrame, entries: DataFrame) -> D
         F.array_join(F.concat(F.array("_full_path"), F.col("suffix"), F.array(label)), " > ").alias("full_path"),
         F.concat(F.split("_full_path", " > "), F.col("suffix"), F.array(label)).alias("heading_path"),
         content.alias("content"),
-        (F.lit(100_000) + F.col("pos")).alias("ord"),
+        (F.lit(2 << 40) + F.col("pos")).alias("ord"),
     )
 
 
@@ -499,7 +499,7 @@ def overview_documents(docs: DataFrame, blocks: DataFrame, entries: DataFrame, l
         F.col("_full_path").alias("full_path"),
         F.split("_full_path", " > ").alias("heading_path"),
         "content",
-        (F.lit(1_000_000) + F.col("n")).alias("ord"),
+        (F.lit(3 << 40) + F.col("n")).alias("ord"),
     )
 
 

@@ -78,25 +78,33 @@ def commit_turns(events: DataFrame) -> DataFrame:
 
 
 def tool_timeline(events: DataFrame) -> DataFrame:
-    """State of each tool call: the first entry per id, the last end or error on it.
+    """State of each tool entry of a turn.
 
-    An error without a start adds an entry, an end without one does not.
+    Every start adds an entry, and so does an error of a call that has none yet; an end without an
+    entry leaves no trace. Ends and errors change the first entry of their call: the last of them
+    is its status, and the last error's text stays, whatever follows it.
     events(turn_id, seq, type, call_id, tool_name, error).
     """
-    calls = events.where(F.col("type").isin("tool_start", "tool_end", "tool_error")).groupBy("turn_id", "call_id").agg(
-        F.min(F.when(F.col("type").isin("tool_start", "tool_error"), F.struct("seq", "tool_name", "type"))).alias("first"),
-        F.max(F.struct("seq", "type", "error")).alias("last_any"),
+    entry = F.col("type").isin("tool_start", "tool_error")
+    change = F.col("type").isin("tool_end", "tool_error")
+    tools = events.where(entry | change)
+    calls = tools.groupBy("turn_id", "call_id").agg(
+        F.min(F.when(entry, F.struct("seq", "tool_name"))).alias("first"),
+        F.max(F.when(change, F.struct("seq", "type"))).alias("change"),
+        F.max(F.when(F.col("type") == "tool_error", F.struct("seq", "error"))).alias("failure"),
+    ).where(F.col("first").isNotNull())
+    changed = F.coalesce(F.col("change.seq") >= F.col("first.seq"), F.lit(False))
+    firsts = calls.select(
+        "turn_id", "call_id", F.col("first.seq").alias("seq"), F.col("first.tool_name").alias("tool_name"),
+        F.when(changed, F.substring_index("change.type", "_", -1)).otherwise("start").alias("status"),
+        F.col("failure.error").alias("error"),
     )
-    seen = calls.where(F.col("first").isNotNull())
-    # Ends before the entry exists leave no trace; the last event after it decides.
-    status = (
-        F.when(F.col("last_any.seq") == F.col("first.seq"), F.substring_index("first.type", "_", -1))
-        .when(F.col("last_any.type") == "tool_start", "start")
-        .otherwise(F.substring_index("last_any.type", "_", -1))
+    begun = calls.select(F.col("turn_id").alias("_turn"), F.col("call_id").alias("_call"), F.col("first.seq").alias("_first"))
+    later = tools.where(F.col("type") == "tool_start").join(
+        begun, F.col("turn_id").eqNullSafe(F.col("_turn")) & F.col("call_id").eqNullSafe(F.col("_call")) & (F.col("seq") > F.col("_first"))
     )
-    return seen.select(
-        "turn_id", "call_id", F.col("first.seq").alias("seq"), F.col("first.tool_name").alias("tool_name"), status.alias("status"),
-        F.when(F.col("last_any.type") == "tool_error", F.col("last_any.error")).alias("error"),
+    return firsts.unionByName(
+        later.select("turn_id", "call_id", "seq", "tool_name", F.lit("start").alias("status"), F.lit(None).cast("string").alias("error"))
     )
 
 

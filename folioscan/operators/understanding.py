@@ -22,7 +22,7 @@ MAX_QUESTIONS = 4
 MAX_TASKS = 6
 MAX_QUERY_CHARACTERS = 500
 PLANNER_VERSION = 1
-MAX_CATALOG_ALIASES = 10_000
+ALIAS_GRAM = 4
 PAIR = "array<struct<question:string,domain:string>>"
 STRINGS = "array<string>"
 
@@ -677,8 +677,7 @@ def detect_other_library(messages: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Only aliases owned by one library count, and naming the current library
     wins; otherwise the longest alias, then the earliest library, then the
-    alias text. The catalog lists published libraries, a few per deployment,
-    and the join checks that bound before shipping it to the messages.
+    alias text. Messages meet aliases by the first characters of the alias.
     """
     aliases = library_aliases(catalog)
     owned = (
@@ -693,30 +692,27 @@ def detect_other_library(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     folded = messages.select(
         "message_id", "current_library", collapse_spaces(nfkc_casefold(F.col("content"))).alias("_m")
     )
-    listed = owned.limit(MAX_CATALOG_ALIASES + 1)
-    table = listed.agg(
-        F.when(F.count("*") > MAX_CATALOG_ALIASES, F.raise_error(F.lit("library catalog too large")))
-        .otherwise(F.lit(0)).alias("_ok"),
-        F.collect_list(F.struct("alias", "ord", "library_id", "length")).alias("catalog"),
-    ).where("_ok = 0").drop("_ok")
-    rows = folded.join(F.broadcast(table))
-
-    def named(a: Column) -> Column:
-        left = F.when(F.regexp_like(F.left(a["alias"], F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?<![A-Za-z0-9])")).otherwise("")
-        right = F.when(F.regexp_like(F.right(a["alias"], F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?![A-Za-z0-9])")).otherwise("")
-        quoted = F.regexp_replace(a["alias"], r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-        return F.contains(F.col("_m"), a["alias"]) & F.regexp_like(F.col("_m"), F.concat(left, quoted, right))
-
-    hit = rows.withColumn("_hits", F.filter("catalog", named)).drop("catalog")
-    own = F.exists("_hits", lambda a: a["library_id"] == F.col("current_library"))
-    best = F.array_max(
-        F.transform(
-            "_hits",
-            lambda a: F.struct(
-                a["length"].alias("length"), (-a["ord"]).alias("o"), a["alias"].alias("alias"), a["library_id"].alias("id")
-            ),
-        )
+    # A name can only occur where its first characters do: the join is on these, the test on the few pairs left.
+    keyed = owned.withColumn("_gram", F.left("alias", F.lit(ALIAS_GRAM)))
+    spread = folded.withColumn(
+        "_grams",
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(ALIAS_GRAM)),
+                lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_m") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_m"), i, n)),
+            )
+        ),
+    ).select("message_id", "current_library", "_m", F.explode(F.array_distinct("_grams")).alias("_gram"))
+    left = F.when(F.regexp_like(F.left("alias", F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?<![A-Za-z0-9])")).otherwise("")
+    right = F.when(F.regexp_like(F.right("alias", F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?![A-Za-z0-9])")).otherwise("")
+    quoted = F.regexp_replace("alias", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    hits = spread.join(keyed, "_gram").where(
+        F.contains("_m", "alias") & F.regexp_like("_m", F.concat(left, quoted, right))
+    )
+    best = F.max(F.struct(F.col("length"), (-F.col("ord")).alias("o"), "alias", "library_id"))
+    return (
+        hits.groupBy("message_id")
+        .agg(best.alias("best"), F.bool_or(F.coalesce(F.col("library_id") == F.col("current_library"), F.lit(False))).alias("own"))
+        .where(~F.col("own"))
+        .select("message_id", F.col("best.library_id").alias("library_id"))
     )
-    return hit.select(
-        "message_id", F.when(~own, best["id"]).alias("library_id")
-    ).where(F.col("library_id").isNotNull())

@@ -42,8 +42,13 @@ obs AS (
   UNION ALL SELECT conv_id, turn, 'ability', k, v, p FROM (
     SELECT conv_id, turn, unnest(regexp_extract_all(text, '(the|und|le) ([a-z])', 1)) AS k, unnest(regexp_extract_all(text, '(the|und|le) ([a-z])', 2)) AS v,
       generate_subscripts(regexp_extract_all(text, '(the|und|le) ([a-z])', 1), 1) AS p FROM u)
-  UNION ALL SELECT conv_id, turn, 'preference', '', max(struct_pack(at := instr(text, v), v := v)).v, 0 FROM (
-    SELECT conv_id, turn, text, unnest(regexp_extract_all(text, '(?:an|le) ([a-z]+)', 1)) AS v FROM u) WHERE NOT regexp_matches(v, '^(?:th|er)') GROUP BY conv_id, turn),
+  UNION ALL SELECT conv_id, turn, 'preference', '', max(struct_pack(p := place, v := v)).v, 0 FROM (
+    SELECT conv_id, turn, hits[k].v AS v,
+      list_sum(list_transform(gaps[1:k], lambda x: length(x))) + list_sum(list_transform(hits[1:k], lambda x: length(x.h))) - length(hits[k].v) AS place FROM (
+      SELECT *, unnest(generate_series(1, len(hits))) AS k FROM (
+        SELECT conv_id, turn, string_split_regex(text, '(?:an|le) ([a-z]+)') AS gaps,
+          list_transform(list_zip(regexp_extract_all(text, '(?:an|le) ([a-z]+)', 0), regexp_extract_all(text, '(?:an|le) ([a-z]+)', 1)), lambda z: struct_pack(h := z[1], v := z[2])) AS hits FROM u)))
+    WHERE NOT regexp_matches(v, '^(?:th|er)') GROUP BY conv_id, turn),
 folded AS (SELECT conv_id, kind, key, arg_max(value, struct_pack(a := turn, b := pos)) AS value, max(turn) AS turn FROM obs WHERE value <> '' GROUP BY ALL)"""
 
 
@@ -168,10 +173,16 @@ def _turn_events(spark, sf):
 
 TE = """te AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS turn_id, event_id AS seq, event_type AS tool_name, regexp_extract(props, '(\\d+)', 1) AS k,
   CASE event_type WHEN 'view' THEN 'text_delta' WHEN 'click' THEN 'tool_start' WHEN 'signup' THEN 'tool_end' WHEN 'error' THEN 'tool_error' ELSE 'sources' END AS type FROM events),
-tc AS (SELECT turn_id, CAST(CAST(k AS INT) % 2 AS VARCHAR) AS call_id, arg_min(seq, seq) FILTER (type IN ('tool_start', 'tool_error')) AS first_seq,
-    arg_min(tool_name, seq) FILTER (type IN ('tool_start', 'tool_error')) AS tool_name, max(seq) AS last_seq, arg_max(type, seq) AS last_type, arg_max(k, seq) AS last_k
-  FROM te WHERE type LIKE 'tool%' GROUP BY ALL),
-tl AS (SELECT turn_id, call_id, first_seq AS seq, tool_name, split_part(last_type, '_', 2) AS status, CASE WHEN last_type = 'tool_error' THEN last_k END AS error FROM tc WHERE first_seq IS NOT NULL)"""
+tv AS (SELECT *, CAST(CAST(k AS INT) % 2 AS VARCHAR) AS call_id FROM te WHERE type LIKE 'tool%'),
+tn AS (SELECT *, min(seq) FILTER (type <> 'tool_end') OVER (PARTITION BY turn_id, call_id) AS first_seq FROM tv),
+te2 AS (SELECT *, row_number() OVER (PARTITION BY turn_id, call_id ORDER BY seq) AS entry FROM tn
+  WHERE type = 'tool_start' OR (type = 'tool_error' AND seq = first_seq)),
+tl AS (SELECT e.turn_id, e.call_id, e.seq, e.tool_name,
+    CASE WHEN e.entry = 1 THEN coalesce((SELECT split_part(arg_max(c.type, c.seq), '_', 2) FROM tv c
+      WHERE c.turn_id = e.turn_id AND c.call_id = e.call_id AND c.seq >= e.seq AND c.type <> 'tool_start'), 'start') ELSE 'start' END AS status,
+    CASE WHEN e.entry = 1 THEN (SELECT arg_max(c.k, c.seq) FROM tv c
+      WHERE c.turn_id = e.turn_id AND c.call_id = e.call_id AND c.type = 'tool_error') END AS error
+  FROM te2 e)"""
 
 
 @query("tool_timeline", f"WITH {TE} SELECT turn_id, call_id, seq, tool_name, status, error FROM tl")

@@ -134,7 +134,7 @@ tok AS (SELECT doc_id, chunk_index, source_id, regexp_extract_all(lower(search_t
 postings AS (
   SELECT doc_id, chunk_index, source_id, len(terms) AS length, term, count(*) AS tf
   FROM (SELECT *, unnest(terms) AS term FROM tok) GROUP BY ALL),
-corpus AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1.0) AS avglen FROM tok WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS n, greatest(avg(len(terms)), 1.0) AS avglen FROM tok),
 term_stats AS (
   SELECT term, count(*) AS df, ln(1.0 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf
   FROM postings, corpus GROUP BY term)"""

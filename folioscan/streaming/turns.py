@@ -13,6 +13,7 @@ from folioscan.operators.metrics import _long_form
 from folioscan.operators.state import StateRules, observations
 from folioscan.operators.transcripts import redact
 from folioscan.operators.understanding import hash_query
+from folioscan.streaming.limits import whole_key
 
 
 def metric_windows(records: DataFrame, length: str = "1 hour", slide: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -221,8 +222,8 @@ class ToolLoop(StatefulProcessor):
         s = json.loads(self.state.get()[0]) if self.state.exists() else {
             "stop": "", "decisions": 0, "searches": 0, "unread": 0, "invalid": 0, "queries": [], "results": [], "documents": []
         }
-        for batch in rows:
-            for row in batch.sort_values("seq").itertuples():
+        for batch in whole_key(rows, ["seq"]):
+            for row in batch.itertuples():
                 if s["stop"]:
                     continue
                 ids = [str(i) for i in row.result_ids] if row.result_ids is not None else []
