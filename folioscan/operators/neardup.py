@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -267,7 +269,35 @@ def slot_summary(diversity: DataFrame) -> DataFrame:
     )
 
 
-def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_floor: int = 8) -> DataFrame:
+#: Slots in which shingles are counted; the counts have this size whatever the corpus.
+SLOTS = 1 << 20
+
+
+def _slot_counts(hashed: DataFrame) -> np.ndarray:
+    """How many shingles of all documents fall into each slot; added up inside tasks first."""
+    slot = F.explode(F.transform("hashes", lambda h: F.pmod(h, F.lit(SLOTS)).cast("int"))).alias("slot")
+    rows = hashed.select(slot).groupBy("slot").count().toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[rows.column("slot").to_numpy()] = rows.column("count").to_numpy()
+    return counts
+
+
+def _rarest(hashes: Column, counts: np.ndarray, threshold: float) -> Column:
+    """The first n - ceil(threshold * n) + 1 hashes of each row, rarest slot first."""
+
+    @F.pandas_udf("array<bigint>")
+    def first(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            h = np.asarray(row, np.int64)
+            need = len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1
+            out.append(h[np.lexsort((h, counts[h % SLOTS]))][:need])
+        return pd.Series(out)
+
+    return first(hashes)
+
+
+def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90) -> DataFrame:
     """All near-duplicate pairs of a corpus, exactly.
 
     1. Documents with the same shingle set collapse to their smallest id, and
@@ -275,9 +305,9 @@ def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_f
     2. Between the remaining sets, two with Jaccard >= t must share a shingle
        within their first n - ceil(t * n) + 1 shingles of any common order. The
        order puts frequent shingles last, so a passage found in a third of the
-       corpus is no join key unless a document consists of nothing rarer. Only
-       shingles above a frequency floor need their counts; their number is
-       bounded by shingles / floor.
+       corpus is no join key unless a document consists of nothing rarer.
+       Frequencies are counted in a fixed number of hash slots, which is all
+       that is shipped; only the first shingles of a document are shuffled.
     3. Candidates of fitting size are compared by their real shingles.
     """
     sets = settle(
@@ -294,21 +324,12 @@ def corpus_near_duplicates(docs: DataFrame, threshold: float = 0.90, frequency_f
             F.lit(True).alias("same_set"),
         )
     )
-    reps = sets.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").persist()
-    hashed = reps.select(
+    reps = sets.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    hashed = reps.select("doc_id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
+    prefix = hashed.select(
         "doc_id",
-        F.size("shingles").alias("n"),
-        F.explode_outer(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"),
-    )
-    counted = hashed.groupBy("h").agg(F.count("*").alias("df"))
-    hot = counted.where(F.col("df") > frequency_floor)
-    need = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(0)), "h")
-    prefix = (
-        hashed.join(hot, "h", "left")
-        .withColumn("pos", F.row_number().over(order))
-        .where(F.col("pos") <= need)
-        .select("doc_id", "n", "h")
+        F.size("hashes").alias("n"),
+        F.explode_outer(_rarest(F.col("hashes"), _slot_counts(hashed), threshold)).alias("h"),
     )
     left = prefix.select("h", F.col("doc_id").alias("left_id"), F.col("n").alias("ln"))
     right = prefix.select("h", F.col("doc_id").alias("right_id"), F.col("n").alias("rn"))

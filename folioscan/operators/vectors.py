@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # A query matrix up to this size is shipped to every task; larger ones go through the grid.
 BROADCAST_BYTES = 32 * 1024 * 1024
 GRID_QUERIES = 4096
+# Queries and vectors that are multiplied at once: a similarity matrix has TILE x TILE entries at most.
+TILE = 2048
 GRID_VECTORS = 200_000
 
 
@@ -43,16 +45,17 @@ def _scorer(query_ids: np.ndarray, query_matrix: np.ndarray, k: int):
         for batch in batches:
             if batch.empty:
                 continue
-            similarity = query_matrix @ _unit_rows(batch["embedding"]).T
-            ids = batch["chunk_id"].to_numpy()
-            rows, cols = _best(similarity, ids, k)
-            yield pd.DataFrame(
-                {
-                    "query_id": query_ids[rows],
-                    "chunk_id": ids[cols],
-                    "similarity": similarity[rows, cols],
-                }
-            )
+            units, ids = _unit_rows(batch["embedding"]), batch["chunk_id"].to_numpy()
+            for q in range(0, len(query_matrix), TILE):
+                kept_rows, kept_cols, kept = [], [], []
+                for v in range(0, len(units), TILE):
+                    similarity = query_matrix[q : q + TILE] @ units[v : v + TILE].T
+                    rows, cols = _best(similarity, ids[v : v + TILE], k)
+                    kept_rows.append(rows + q)
+                    kept_cols.append(cols + v)
+                    kept.append(similarity[rows, cols])
+                rows, cols = np.concatenate(kept_rows), np.concatenate(kept_cols)
+                yield pd.DataFrame({"query_id": query_ids[rows], "chunk_id": ids[cols], "similarity": np.concatenate(kept)})
 
     return score
 

@@ -63,3 +63,36 @@ def test_progression_claims(spark):
     assert (level.level, level.value) == (5, "3")
     answers = spark.createDataFrame([("a", "5级法师最高可施展4环法术，5级法师每天可以施放3个2环法术", "g")], "answer_id string, answer string, goal string")
     assert {r.code for r in facts.check_progression(answers, found).collect()} == {"spell_progression"}
+
+
+def test_option_windows_may_overlap(spark):
+    from folioscan.operators.facts import check_options
+
+    text = "法师5级时获得奖励专长。" + "。" * 150 + "法师5级奖励专长" + "。" * 40 + "战斗专长"
+    answers = spark.createDataFrame([("a", text, "g")], "answer_id string, answer string, goal string")
+    known = spark.createDataFrame(
+        [("a", "bonus_scope", "法师", 5, "超魔专长", "")], "answer_id string, kind string, subject string, level int, value string, detail string"
+    ).withColumn("level", F.col("level").cast("string"))
+    assert [r.code for r in check_options(answers, known).collect()] == ["bonus_feat_scope"]
+
+
+def test_chunks_without_tokens_count(spark):
+    from folioscan.operators.lexical import build_index
+    from folioscan.schemas import conform
+
+    rows = [(i, "lib", "s", "t", None, c) for i, c in (("a", "alpha beta"), ("b", "¿¡"), ("c", "…"))]
+    docs = spark.createDataFrame(rows, "id string, ruleset_id string, source_id string, title string, full_path string, content string")
+    docs = docs.withColumn("title", F.lit("")).withColumn("full_path", F.lit(""))
+    got = build_index(conform(docs), persist=False).corpus_stats.first()
+    assert (got.chunk_count, got.average_length) == (3, 1.0)
+
+
+def test_tool_entries_keep_errors_and_repeat(spark):
+    from folioscan.operators.transcripts import tool_timeline
+
+    rows = [("t", 1, "tool_start", "a", None), ("t", 2, "tool_error", "a", "boom"), ("t", 3, "tool_end", "a", None)]
+    rows += [("u", 1, "tool_start", "a", None), ("u", 2, "tool_end", "a", None), ("u", 3, "tool_start", "a", None)]
+    rows += [("v", 1, "tool_end", "a", None), ("v", 2, "tool_error", "a", "late")]
+    events = spark.createDataFrame([(*r, "x") for r in rows], "turn_id string, seq long, type string, call_id string, error string, tool_name string")
+    got = sorted((r.turn_id, r.seq, r.status, r.error) for r in tool_timeline(events).collect())
+    assert got == [("t", 1, "end", "boom"), ("u", 1, "end", None), ("u", 3, "start", None), ("v", 2, "error", "late")]

@@ -29,6 +29,18 @@ def test_rate_limit_stream_equals_batch(spark):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_streams_order_a_key_over_all_frames(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    one = requests(events).withColumn("key", F.lit("all"))
+    batch = limits.rate_limit(one, WINDOW_MS, LIMIT)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        live = drain(limits.stream_rate_limit(requests(stream(spark)).withColumn("key", F.lit("all")), WINDOW_MS, LIMIT), "framed")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_tool_loop_stream_equals_batch(spark):
     batch = turns.tool_loop(steps(spark.read.parquet(f"{SF}/events.parquet"))).where("stop_reason <> 'open'")
     live = drain(turns.stream_tool_loop(steps(stream(spark))), "loops")
