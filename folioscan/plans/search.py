@@ -14,6 +14,7 @@ LIBRARY_LIMITS = (1, 20)
 
 
 def clamp_limit(limit: int, bounds: tuple[int, int] = LIBRARY_LIMITS) -> int:
+    """The rows a caller may ask for per query."""
     return max(bounds[0], min(bounds[1], limit))
 
 
@@ -91,8 +92,9 @@ def fusion_rerank(
 
 
 def with_excerpts(hits: DataFrame, index: lexical.LexicalIndex) -> DataFrame:
-    """Fetch the excerpts of ranked chunks last, so no text travels through the ranking."""
-    texts = index.chunks.select(
+    """Fetch the excerpts of ranked chunks last, so no text travels through the ranking; only chunks of hit documents are joined."""
+    wanted = hits.select("doc_id").distinct()
+    texts = index.chunks.join(wanted, "doc_id", "left_semi").select(
         "doc_id", "chunk_index", F.substring("content", 1, EXCERPT_LIMIT).alias("excerpt")
     )
     return hits.join(texts, ["doc_id", "chunk_index"], "left")
@@ -109,8 +111,9 @@ def coordinated_search(
     marker_rules: MarkerRules = MarkerRules(),
     rules: RerankRules = RerankRules(),
 ) -> DataFrame:
-    """Expansion, base search, heading rerank and lookup pruning, cut to `limit`."""
-    expanded = rerank.expand_queries(queries, rules)
+    """Expansion, base search, heading rerank and lookup pruning, cut to `limit` (at most 20); an empty query fails the job."""
+    limit = clamp_limit(limit)
+    expanded = rerank.expand_queries(require_queries(queries), rules)
     asked = expanded.withColumn("query", F.col("retrieval_query"))
     fetch = max(limit, fusion.CANDIDATES)
     if query_vectors is not None and chunk_vectors is not None:

@@ -287,7 +287,16 @@ def new_chunk_vectors(chunks: DataFrame, vectors: DataFrame, existing: DataFrame
     return fresh.join(vectors, "chunk_id")
 
 
-def upsert_chunk_vectors(chunks: DataFrame, vectors: DataFrame, path: str, existing: DataFrame | None = None) -> None:
+def upsert_chunk_vectors(
+    chunks: DataFrame,
+    vectors: DataFrame,
+    path: str,
+    existing: DataFrame | None = None,
+    manifests: tuple[DataFrame, DataFrame] | None = None,
+) -> None:
+    """Append missing vector records; `manifests` (the index's, the wanted one) must agree in source and settings."""
+    if manifests is not None and not manifest_matches(*manifests):
+        raise ValueError("the index was built from another source or with other settings; build it anew")
     libraries = chunks.select("ruleset_id").distinct().limit(2).count()
     if libraries != 1:
         raise ValueError("an index holds exactly one library")
