@@ -23,6 +23,9 @@ _PLAIN = (
     r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{201F}\x{2020}-\x{2022}"
     r"\x{3001}-\x{3011}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]*$"
 )
+# Fullwidth forms and the wide blank, which NFKC turns into ASCII; mapped in the JVM.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 # Of those, İ folds to two characters, which `lower` also does, so no exception is needed.
 
 
@@ -47,13 +50,19 @@ def _plain_fold(col: Column) -> Column:
     return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
 
 
+def _narrow(col: Column) -> Column:
+    return F.when(F.regexp_like(col, F.lit(r"[\x{FF01}-\x{FF5E}\x{3000}]")), F.translate(col, _WIDE, _NARROW)).otherwise(col)
+
+
 def nfkc_casefold(col: Column) -> Column:
-    """NFKC then full case folding; only rows with unusual characters reach Python."""
+    """NFKC then full case folding; texts with unusual characters are folded in Python, others pass that stage as nulls."""
+    col = _narrow(col)
     plain = F.regexp_like(col, F.lit(_PLAIN))
     return F.coalesce(F.when(plain, _plain_fold(col)), _nfkc_casefold_any(F.when(~plain, col)))
 
 
 def nfkc(col: Column) -> Column:
+    col = _narrow(col)
     plain = F.regexp_like(col, F.lit(_PLAIN))
     return F.coalesce(F.when(plain, col), _nfkc_any(F.when(~plain, col)))
 

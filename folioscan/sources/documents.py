@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.schemas import STRUCTURAL_BLOCKS
@@ -38,15 +38,33 @@ CASE_JSON = {
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their place: file, then byte order inside the file's splits."""
+    """Non-blank lines with their place over all files (`ord`, files by path) and in their file (`line`, from 1).
+
+    Spark packs the splits of files into partitions in an order of its own, so a line's place is the
+    number of lines in the splits before its own and its distance from the split's first line. The
+    table of splits is the only one that is ordered as a whole.
+    """
     lines = spark.read.text(path).select(
-        F.col("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord")
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.orderBy("file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_all", F.coalesce(F.sum("_lines").over(before), F.lit(0))).withColumn(
+        "_own", F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    place = F.col("_id") - F.col("_first")
+    return (
+        lines.where(F.trim("value") != "")
+        .join(splits, ["file", "_start"])
+        .select("value", "file", (F.col("_all") + place).alias("ord"), (F.col("_own") + place + 1).alias("line"))
     )
-    return lines.where(F.trim("value") != "")
 
 
-def _checked(value: Column, ok: Column, ord_col: Column, what: str) -> Column:
-    message = F.concat(F.lit(f"invalid {what} at line position "), ord_col.cast("string"))
+def _checked(value: Column, ok: Column, what: str, place: Column | None = None) -> Column:
+    if place is None:
+        place = F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"))
+    message = F.concat(F.lit(f"invalid {what} in "), place)
     return F.when(ok, value).otherwise(F.raise_error(message).cast("string"))
 
 
@@ -63,7 +81,7 @@ def read_documents(spark: SparkSession, path: str, strict: bool = True) -> DataF
     for key in REQUIRED:
         ok = ok & F.col(f"d.{key}").isNotNull()
     if strict:
-        parsed = parsed.withColumn("id", _checked(F.col("d.id"), ok, F.col("ord"), "document"))
+        parsed = parsed.withColumn("id", _checked(F.col("d.id"), ok, "document"))
     else:
         parsed = parsed.where(ok).withColumn("id", F.col("d.id"))
     places = parsed.groupBy("id").agg(F.min("ord").alias("ord"), F.max("ord").alias("_last"))
@@ -100,7 +118,8 @@ def document_json(docs: DataFrame) -> DataFrame:
     if "metadata" not in docs.columns:
         names = {
             "source_file": "sourceFile", "legacy_parent_id": "legacyParentId", "entry_type": "entryType",
-            "entry_name_zh": "entryNameZh", "entry_name_en": "entryNameEn", "heading_path": "headingPath",
+            "entry_name_zh": "entryNameZh", "entry_name_en": "entryNameEn", "name_zh": "nameZh", "name_en": "nameEn",
+            "heading_path": "headingPath",
         }
         extra = [F.struct(*[F.col(c).alias(j) for c, j in names.items() if c in docs.columns]).alias("metadata")] if any(
             c in docs.columns for c in names
@@ -142,7 +161,7 @@ def read_cases(spark: SparkSession, path: str, kind: str) -> DataFrame:
         )
     if lines.isEmpty():
         raise ValueError(f"{kind} case set is empty")
-    checked = lines.withColumn("id", _checked(F.col("c.id"), ok, F.col("ord"), f"{kind} case"))
+    checked = lines.withColumn("id", _checked(F.col("c.id"), ok, f"{kind} case"))
     rest = [f"c.{f.split()[0]}" for f in _top_fields(CASE_JSON[kind])[1:]]
     return checked.select("ord", "id", *rest)
 
@@ -166,7 +185,7 @@ def expand_history(cases: DataFrame) -> DataFrame:
         & (F.size(F.array_distinct(turns)) == F.size(turns))
         & F.forall(turns, lambda t: (t >= 1) & (t <= F.col("turn_count")))
     )
-    checked = cases.withColumn("_id", _checked(F.col("id").cast("string"), ok, F.col("id"), "history template"))
+    checked = cases.withColumn("_id", _checked(F.col("id").cast("string"), ok, "history template", F.col("id").cast("string")))
     rows = checked.select(
         "*", F.explode(F.sequence(F.lit(1), F.col("turn_count"))).alias("turn")
     ).where(F.col("_id").isNotNull())

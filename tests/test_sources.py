@@ -21,6 +21,19 @@ def test_documents_last_line_wins_in_first_place(spark):
     assert [(r.id, r.content, r.priority) for r in got] == [("a", "new", 7), ("b", "old", 0)]
 
 
+def test_lines_are_numbered_by_file_and_offset(spark):
+    out = Path(tempfile.mkdtemp(prefix="spark-"))
+    for name, first, n in (("a", 0, 3), ("b", 3, 400), ("c", 403, 5)):
+        rows = [json.dumps({**ROW, "id": f"i{first + k}", "content": "x" * (300 if name == "b" else 9000)}) for k in range(n)]
+        (out / f"{name}.jsonl").write_text("\n".join(rows), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = documents.read_documents(spark, str(out)).orderBy("ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.ord, r.id) for r in got] == [(k, f"i{k}") for k in range(408)]
+
+
 def test_bad_document_line_fails_or_is_skipped(spark):
     path = folder("d.jsonl", json.dumps(ROW), "{broken")
     with pytest.raises(Exception, match="invalid document"):

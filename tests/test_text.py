@@ -64,3 +64,12 @@ def test_chunk_rejects_overlap_as_large_as_size(spark):
 
     with pytest.raises(ValueError):
         chunk(docs(spark, "x"), 5, 5)
+
+
+def test_wide_forms_fold_like_nfkc(spark):
+    import unicodedata
+
+    texts = ["（Ａ）：，１２　ｂ", "Ａ̊ x", "ﬁ ２", "plain", "法师（ＦＩＲＥ）", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", text.nfkc_casefold(F.col("t"))).collect())
+    assert got == {i: t and unicodedata.normalize("NFKC", t).casefold() for i, t in enumerate(texts)}
