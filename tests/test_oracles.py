@@ -12,6 +12,7 @@ NAMES = [
     "coordinated_search", "evaluate_retrieval", "exact_duplicates", "corpus_near_duplicates", "rollup_turn_metrics",
     "admit_evidence", "admit_evidence_strict", "trim_history", "route_queries", "decompose", "build_plans", "run_plans",
     "heading_paths", "section_documents", "page_contexts", "fold_state", "grade_answers", "rate_limit", "tool_loop",
+    "tool_timeline", "fold_turn_events", "detect_other_library", "bm25_max_child",
 ]
 
 
