@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ from folioscan.llm.tokens import VOCABULARY, Encoder
 #: Fixed value: what the vocabulary's pre-tokenizer cuts a text into.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pre-tokens whose ids a task remembers.
+REMEMBERED = 200_000
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the file: printable Latin-1 bytes for themselves, the others from U+0100 on, in order."""
@@ -35,15 +40,16 @@ class Bpe(Encoder):
         vocabulary = file["model"]["vocab"]
         self.strings = {i: b"".join(letters[c] for c in token) if all(c in letters for c in token) else token.encode() for token, i in vocabulary.items()}
         self.byte_ids = [vocabulary[c] for c in byte_letters()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.base = 1 + max(vocabulary.values())
+        self.merges: dict[int, int] = {}  # a pair of ids, as one number, to its rank and the id of both, as one number
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocabulary[a], vocabulary[b]] = rank, vocabulary[a + b]
+            self.merges[vocabulary[a] * self.base + vocabulary[b]] = rank * self.base + vocabulary[a + b]
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.strings |= {i: token.encode() for token, i in self.added.items()}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre_tokens = regex.compile(PRE_TOKENS)
-        self.word = lru_cache(maxsize=100_000)(self.merged)
+        self.word = lru_cache(maxsize=REMEMBERED)(self.merged)
 
     def merged(self, word: str) -> list[int]:
         """Ids of one pre-token. All neighbouring pairs that merge wait in a queue by (rank, position);
@@ -52,37 +58,37 @@ class Bpe(Encoder):
         size = len(symbols)
         if size == 1:
             return symbols
-        merges = self.merges
+        known, base = self.merges.get, self.base
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = []
+        queue = []  # of rank, id and position, as one number
         for k in range(size - 1):
-            hit = merges.get((symbols[k], symbols[k + 1]))
-            if hit:
-                queue.append((hit[0], k, symbols[k], symbols[k + 1], hit[1]))
+            hit = known(symbols[k] * base + symbols[k + 1])
+            if hit is not None:
+                queue.append(hit * size + k)
         heapify(queue)
         while queue:
-            _, at, left, right, new = heappop(queue)
+            hit, at = divmod(heappop(queue), size)
             following = after[at]
-            if symbols[at] != left or following >= size or symbols[following] != right:
+            if symbols[at] < 0 or following >= size or known(symbols[at] * base + symbols[following]) != hit:
                 continue
-            symbols[at], symbols[following] = new, -1
+            symbols[at], symbols[following] = new, _ = hit % base, -1
             after[at] = end = after[following]
             if end < size:
                 before[end] = at
-                hit = merges.get((new, symbols[end]))
-                if hit:
-                    heappush(queue, (hit[0], at, new, symbols[end], hit[1]))
+                hit = known(new * base + symbols[end])
+                if hit is not None:
+                    heappush(queue, hit * size + at)
             start = before[at]
             if start >= 0:
-                hit = merges.get((symbols[start], new))
-                if hit:
-                    heappush(queue, (hit[0], start, symbols[start], new, hit[1]))
+                hit = known(symbols[start] * base + new)
+                if hit is not None:
+                    heappush(queue, hit * size + start)
         return [x for x in symbols if x >= 0]
 
     def _ordinary(self, text: str) -> list[int]:
         words = self.pre_tokens.findall(text)
         if len(words) == 1:
-            return self.merged(words[0])
+            return self.word(text) if len(text) < 64 else self.merged(text)
         return [i for w in words for i in (self.word(w) if len(w) < 64 else self.merged(w))]
 
     def entire(self, text: str) -> np.ndarray:
@@ -99,11 +105,16 @@ class Bpe(Encoder):
 
     def after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [self._ordinary(" " + x) for x in pieces]
-        return np.array([i for x in lists for i in x], np.uint32), np.cumsum([len(x) for x in lists])
+        stops = np.cumsum([len(x) for x in lists])
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(stops[-1])), stops
 
     def decode(self, ids: list[int]) -> str:
         """The text of `ids`, special tokens included; unknown ids give nothing, broken UTF-8 the replacement character."""
-        return b"".join([self.strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            data = b"".join(map(self.strings.__getitem__, ids))
+        except KeyError:
+            data = b"".join([self.strings.get(i, b"") for i in ids])
+        return data.decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -112,6 +123,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
+        gc.disable()  # lists of numbers by the million, and no cycles among them
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
@@ -119,6 +131,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -129,7 +142,7 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
         for batch in batches:
-            texts = [bpe.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(1)]
+            texts = [bpe.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []) for ids in batch.column(1)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
