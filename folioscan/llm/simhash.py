@@ -57,12 +57,13 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, errors:
     `values` are unsigned and sorted inside each group, so a trie node is a range of indices. All
     node pairs of one depth are walked together, from each group's root against itself: a step
     splits both nodes at the next bit and adds one to the differing bits of crossing children;
-    pairs over the budget are pruned; pairs of single leaves are settled at once.
+    pairs over the budget are pruned; pairs of single leaves are settled at once. After the split
+    at bit 0 all nodes are leaves: a last step settles the pairs it made. Values are distinct.
     """
     a0, a1, b0, b1 = starts, ends, starts, ends
     spent = np.zeros(len(starts), np.int64)
     found_a, found_b = [], []
-    for bit in range(63, -1, -1):
+    for bit in range(63, -2, -1):
         same = a0 == b0
         keep = ~same | (a1 - a0 > 1)
         a0, a1, b0, b1, spent, same = (x[keep] for x in (a0, a1, b0, b1, spent, same))
@@ -71,7 +72,7 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, errors:
         found_a.append(a0[near])
         found_b.append(b0[near])
         a0, a1, b0, b1, spent, same = (x[~leaf] for x in (a0, a1, b0, b1, spent, same))
-        if not len(a0):
+        if bit < 0 or not len(a0):
             break
         ones = np.r_[0, np.cumsum((values >> np.uint64(bit)) & np.uint64(1))].astype(np.int64)
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])

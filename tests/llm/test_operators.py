@@ -340,6 +340,19 @@ def test_trie_join_loses_no_link(spark, limit):
     assert {n: got.get(n, n) for n in nodes} == group and len(near) > 100
 
 
+@pytest.mark.parametrize("y", [0, 0b1110 << 40 | 0b110])
+def test_trie_join_settles_fingerprints_that_differ_in_the_lowest_bit(spark, y):
+    x = 0x1234_5678_9ABC_DEF0
+    # x and x ^ 1 alone, or with one more in three bits of another block and one that is far
+    values = sorted({x, x ^ 1, x ^ 0b111 << 20, x ^ y} if y else {x, x ^ 1})
+    left, right = simhash.trie_pairs(np.array(values, np.uint64), np.array([0]), np.array([len(values)]), 3)
+    near = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= 3}
+    assert {(min(p), max(p)) for p in zip(left.tolist(), right.tolist())} == near and len(left) == len(near) > 0
+    links = simhash.near_links(spark.createDataFrame(list(enumerate(values)), "node long, fp long"))
+    got = {r.node: r.component for r in components(links).collect()}
+    assert {n: got.get(n, n) for n in range(len(values))} == groups(range(len(values)), near)
+
+
 def test_closed_syncmers_are_those_with_the_smallest_inner_string_at_an_edge():
     text = "".join(np.random.default_rng(1).choice(list("abcé "), 80))
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
