@@ -16,8 +16,10 @@ from folioscan.llm.common import map_rows, texts_of
 from folioscan.session import cut_lineage
 
 # Patterns, titles and given names by gender.
-EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
-DIGITS = re.compile(r"(?<![\w.+(-])[+(]?\d[\d ().-]{5,}")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")
+#: Runs of all the characters that IPV4, CARD, PHONE and SSN can match, from the first they can begin with: every match lies
+#: inside one run, and one character after it is all that their look-aheads need.
+DIGITS = re.compile(r"[+(\d][\d ().+-]{6,}+")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")
 CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)")
 PHONE = re.compile(
@@ -74,9 +76,8 @@ def entities(text: str) -> list[Entity]:
     found: list[Entity] = []
     if "@" in text:
         found += [Entity("email", *m.span(), m.group()) for m in EMAIL.finditer(text)]
-    spans = [m.span() for m in DIGITS.finditer(text)]
-    for low, high in spans:
-        low, high = max(0, low - 1), min(len(text), high + 1)
+    for run in DIGITS.finditer(text):
+        low, high = run.start(), min(len(text), run.end() + 1)
         for kind, pattern in (("ip", IPV4), ("card", CARD), ("ssn", SSN), ("phone", PHONE)):
             for m in pattern.finditer(text, low, high):
                 digits = _plain(m.group())

@@ -117,6 +117,29 @@ def test_surrogates_keep_entities_apart_and_valid():
     assert found == [("card", "4934694032023361"), ("card", "4111111111111111"), ("ip", "12.71.76.174"), ("ssn", "078-05-1120")]
 
 
+def test_entities_are_what_the_patterns_find_in_the_whole_text():
+    cores = ["+1 555 123 4567", "+1-555-123-4567", "(414) 555-7134", "+49 30 1234567", "4111111111111111", "4111-1111-1111-1111", "10.20.30.40", "078-05-1120", "414-555-7134"]
+    around = ["", " ", "(", ")", "((", ".", "..", "-", "--", "+", "a", "7", "Tel.", "no.", "card-", ", ", "x(", "_"]
+    rejected = 0
+    for text in (a + c + b for a in around for c in cores for b in around):
+        whole = []
+        for kind, pattern in (("ip", pii.IPV4), ("card", pii.CARD), ("ssn", pii.SSN), ("phone", pii.PHONE)):
+            for m in pattern.finditer(text):
+                digits = re.sub(r"[ ().-]", "", m.group())
+                if kind == "card":
+                    right = pii.luhn(digits) or len(digits) == 16 and digits[0] in "3456" and m.group().isdigit()
+                else:
+                    right = kind != "phone" or 8 <= len(digits.lstrip("+")) <= 15
+                if right and all(m.end() <= e.start or m.start() >= e.end for e in whole):
+                    whole.append(pii.Entity(kind, *m.span(), m.group()))
+        assert pii.entities(text) == sorted(whole, key=lambda e: e.start), text
+        rejected += not whole
+    assert rejected < 0.5 * len(around) ** 2 * len(cores)
+    for text in ("(+1 555 123 4567)", "(+1-555-123-4567)", "Tel.+49 30 1234567", "no.4111111111111111", "card-4111111111111111"):
+        assert len(pii.entities(text)) == 1, text
+    assert [e.value for e in pii.entities("jane@x.com--thanks, joe@y.org- and al@co-op.net")] == ["jane@x.com", "joe@y.org", "al@co-op.net"]
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     texts = [f"host 10.0.0.{k} up" for k in range(20)]
     real = pii.surrogate
