@@ -31,8 +31,15 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа")
 OTHER_TITLES = ("Dr", "Prof")
-MALE_NAMES = ("Adam", "Alan", "Anton", "Carlos", "Daniel", "David", "Diego", "Emil", "Felix", "George", "Henri", "Hugo", "James", "John", "Jules", "Karl", "Louis", "Marc", "Martin", "Michael", "Oscar", "Pablo", "Paul", "Peter", "Robert", "Simon", "Thomas", "Victor", "William")
-FEMALE_NAMES = ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Greta", "Hanna", "Helen", "Jane", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marie", "Marta", "Mary", "Nina", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Vera")
+KNOWN_MALE = ("Adam", "Alan", "Anton", "Carlos", "Daniel", "David", "Diego", "Emil", "Felix", "George", "Henri", "Hugo", "James", "John", "Jules", "Karl", "Louis", "Marc", "Martin", "Michael", "Oscar", "Pablo", "Paul", "Peter", "Robert", "Simon", "Thomas", "Victor", "William")
+KNOWN_FEMALE = ("Alice", "Anna", "Carmen", "Clara", "Claire", "Elena", "Emma", "Eva", "Greta", "Hanna", "Helen", "Jane", "Julia", "Laura", "Lena", "Lucia", "Maria", "Marie", "Marta", "Mary", "Nina", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Vera")
+#: Surrogates of given names are drawn from these, which are not looked for in texts.
+MORE_MALE_NAMES = ("Aaron", "Adrian", "Albert", "Alex", "Alfred", "Andre", "Andrew", "Antonio", "Arthur", "Bernard", "Boris", "Bruno", "Charles", "Christian", "Claude", "Dennis", "Dominic", "Edgar", "Edward", "Enrique", "Eric", "Ernest", "Fabian", "Fernando", "Francis", "Frank", "Frederick", "Gabriel", "Gerald", "Gregory", "Gustav", "Harold", "Harry", "Hector", "Henry", "Herman", "Ivan", "Jacob", "Jerome", "Joseph", "Julian", "Kevin", "Konrad", "Leonard", "Lorenzo", "Lucas", "Manuel", "Marco", "Mario", "Matthew", "Maurice", "Max", "Miguel", "Nathan", "Nicholas", "Olaf", "Oliver", "Otto", "Patrick", "Philip", "Ralph", "Raymond", "Ricardo", "Richard", "Roger", "Roland", "Samuel", "Sergio", "Stefan", "Stephen", "Theodor", "Timothy", "Vincent", "Walter", "Xavier")
+MORE_FEMALE_NAMES = ("Adele", "Agnes", "Amelia", "Amy", "Andrea", "Angela", "Beatrice", "Bertha", "Brigitte", "Camila", "Caroline", "Catherine", "Cecilia", "Charlotte", "Christine", "Cornelia", "Daniela", "Diana", "Dora", "Dorothy", "Edith", "Eleanor", "Elisa", "Elizabeth", "Ella", "Emily", "Esther", "Eugenia", "Florence", "Frances", "Frida", "Gabriela", "Gloria", "Hedwig", "Helga", "Ida", "Ingrid", "Irene", "Isabel", "Johanna", "Josephine", "Judith", "Karin", "Katharina", "Lilian", "Linda", "Lisa", "Louise", "Luisa", "Lydia", "Magdalena", "Margaret", "Martha", "Martina", "Mathilda", "Monica", "Natalia", "Nora", "Olga", "Olivia", "Patricia", "Pauline", "Rebecca", "Renate", "Rita", "Ruth", "Sabine", "Silvia", "Sonja", "Sophie", "Teresa", "Ursula", "Valerie", "Victoria", "Yvonne")
+MALE_NAMES, FEMALE_NAMES = KNOWN_MALE + MORE_MALE_NAMES, KNOWN_FEMALE + MORE_FEMALE_NAMES
+NAME_KINDS = ("male", "female", "person")
+#: From this attempt on a surrogate is longer than its shape, by one more syllable each time.
+WIDER_FROM = 4
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзклмнпрстфхцчш"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιουω", "βγδζθκλμνξπρστφχψ"
@@ -40,7 +47,7 @@ GREEK_VOWELS, GREEK_CONSONANTS = "αεηιουω", "βγδζθκλμνξπρστ
 _WORD = r"[^\W\d_][^\W\d_a-zа-яα-ω]*[^\W\d_]*"
 NAME = re.compile(
     rf"\b({'|'.join(MALE_TITLES)}|{'|'.join(FEMALE_TITLES)}|{'|'.join(OTHER_TITLES)})(\.? )((?:[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]*)(?:[ -][A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+){{0,2}})"
-    rf"|\b({'|'.join(MALE_NAMES + FEMALE_NAMES)})( [A-ZÀ-Þ][^\W\d_]+)\b"
+    rf"|\b({'|'.join(KNOWN_MALE + KNOWN_FEMALE)})( [A-ZÀ-Þ][^\W\d_]+)\b"
 )
 _CLASSES = [
     *(x for low in (VOWELS, CONSONANTS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, GREEK_VOWELS, GREEK_CONSONANTS) for x in (low, low.upper())),
@@ -95,7 +102,7 @@ def entities(text: str) -> list[Entity]:
             kind = "male" if m.group(1) in MALE_TITLES else "female" if m.group(1) in FEMALE_TITLES else "person"
             found.append(Entity(kind, *m.span(3), m.group(3)))
         else:
-            found.append(Entity("male" if m.group(4) in MALE_NAMES else "female", m.start(4), m.end(5), m.group(4) + m.group(5)))
+            found.append(Entity("male" if m.group(4) in KNOWN_MALE else "female", m.start(4), m.end(5), m.group(4) + m.group(5)))
     rank = {k: i for i, k in enumerate(("email", "ip", "iban", "card", "ssn", "phone"))}
     kept: list[Entity] = []
     taken: list[tuple[int, int]] = []
@@ -106,23 +113,36 @@ def entities(text: str) -> list[Entity]:
     return sorted(kept, key=lambda e: e.start)
 
 
-def _permuted(key: bytes, tweak: str, size: int, x: int) -> int:
-    """A keyed permutation of 0 .. size-1: a balanced Feistel network over the next even number of bits, walked until it is inside."""
+def _permuted(key: bytes, tweak: str, size: int, x: int, back: bool = False) -> int:
+    """A keyed permutation of 0 .. size-1: a balanced Feistel network over the next even number of bits, walked until it is inside;
+    `back` turns it round."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
+
+    def mixed(turn: int, part: int) -> int:
+        return int.from_bytes(hashlib.blake2b(f"{turn}|{part}|{size}|{tweak}".encode(), key=key, digest_size=16).digest(), "big") & mask
+
     while True:
         left, right = x >> half, x & mask
-        for turn in range(6):
-            data = f"{turn}|{right}|{size}|{tweak}".encode()
-            left, right = right, left ^ (int.from_bytes(hashlib.blake2b(data, key=key, digest_size=16).digest(), "big") & mask)
+        if back:
+            for turn in reversed(range(6)):
+                left, right = right ^ mixed(turn, left), left
+        else:
+            for turn in range(6):
+                left, right = right, left ^ mixed(turn, right)
         x = left << half | right
         if x < size:
             return x
 
 
+def _moved(key: bytes, tweak: str, size: int, x: int) -> int:
+    """A keyed permutation that is one cycle over all of 0 .. size-1 (2 at least): no value stays where it is."""
+    return _permuted(key, tweak, size, (_permuted(key, tweak, size, x) + 1) % size, back=True)
+
+
 def _shaped(key: bytes, tweak: str, value: str, classes: dict[int, str] | None = None) -> str:
     """Another string of the same shape: each letter or digit stays in its class (script, case, vowel or consonant; digits),
-    all other characters stay. One-to-one within a shape, so distinct values of a shape keep distinct surrogates."""
+    all other characters stay. One-to-one within a shape and never the value itself, unless it has no such letter or digit."""
     classes = classes or {}
     alphabets, x, size = [], 0, 1
     for at, c in enumerate(value):
@@ -139,9 +159,7 @@ def _shaped(key: bytes, tweak: str, value: str, classes: dict[int, str] | None =
     if size == 1:
         return value
     shape = "".join(a if len(a) == 1 else chr(0xE000 + len(a) % 997) for a in alphabets)
-    y = _permuted(key, tweak + shape, size, x)
-    if y == x:  # a fixed point would show the value; step round the cycle of a second permutation instead
-        y = _permuted(key, tweak + shape + "+", size, x)
+    y = _moved(key, tweak + shape, size, x)
     out = []
     for a in reversed(alphabets):
         if len(a) == 1:
@@ -154,18 +172,19 @@ def _shaped(key: bytes, tweak: str, value: str, classes: dict[int, str] | None =
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The surrogate of an entity under a secret key. Spelling variants of a number (spaces, dots, dashes) and the case of an
-    e-mail address count as one entity, so mentions of one entity agree everywhere. `attempt` picks another surrogate."""
+    e-mail address count as one entity, so mentions of one entity agree everywhere. `attempt` picks another surrogate; those of
+    names and e-mail addresses, whose shapes may be short, get longer from attempt WIDER_FROM on."""
     tweak = f"{kind}|{attempt}|"
     if kind == "email":
         local, domain = value.lower().split("@")
         *labels, top = domain.split(".")
         labels = [x if x == "example" else _shaped(key, tweak + "d", x) for x in labels]
-        return f"{_shaped(key, tweak + domain, local)}@{'.'.join(labels)}.{top}"
+        return f"{_shaped(key, tweak + domain, local)}{_syllables(key, tweak + value.lower(), attempt)}@{'.'.join(labels)}.{top}"
     if kind == "ip":
         a, b, c, d = map(int, value.split("."))
         low, high = (1, 223) if 1 <= a <= 223 else (224, 255) if a else (0, 0)
         x = (((a - low) << 8 | b) << 8 | c) << 8 | d
-        y = _permuted(key, tweak + str(low), (high - low + 1) << 24, x)
+        y = _moved(key, tweak + str(low), (high - low + 1) << 24, x)
         return f"{low + (y >> 24)}.{y >> 16 & 255}.{y >> 8 & 255}.{y & 255}"
     if kind in ("card", "ssn", "phone"):
         digits = re.sub(r"\D", "", value)
@@ -191,16 +210,32 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         new = plain[:2] + f"{98 - _mod97(plain[:2] + '00' + body):02d}" + body
         source = iter(new)
         return "".join(next(source) if c != " " else c for c in value)
-    words = re.split(r"([ -])", value)
-    return "".join(w if w in (" ", "-") else _name_word(key, kind, w, attempt) for w in words)
+    return "".join(w if w in (" ", "-") else _name_word(key, w, attempt) for w in re.split(r"([ -])", value))
 
 
-def _name_word(key: bytes, kind: str, word: str, attempt: int) -> str:
-    for names in (MALE_NAMES, FEMALE_NAMES):
-        if word in names:  # a keyed shift of the list: one-to-one, same gender, never the same name
-            shift = 1 + int.from_bytes(hashlib.blake2b(names[0].encode(), key=key, digest_size=8).digest(), "big") % (len(names) - 1)
-            return names[(names.index(word) + shift) % len(names)]
-    return _shaped(key, f"name|{attempt}|", word)
+def _syllables(key: bytes, tweak: str, attempt: int) -> str:
+    """Keyed syllables: none up to attempt WIDER_FROM, then one more at each, so that a short shape has room for all its values."""
+    drawn = hashlib.blake2b(tweak.encode(), key=key, digest_size=64).digest()
+    return "".join(CONSONANTS[drawn[2 * k] % len(CONSONANTS)] + VOWELS[drawn[2 * k + 1] % len(VOWELS)] for k in range(min(32, attempt - WIDER_FROM + 1)))
+
+
+def _name_word(key: bytes, word: str, attempt: int) -> str:
+    """The surrogate of one word of a name. A known given name first takes one of its gender that is not looked for."""
+    for names, more in ((KNOWN_MALE, MORE_MALE_NAMES), (KNOWN_FEMALE, MORE_FEMALE_NAMES)):
+        if word in names and attempt < WIDER_FROM:
+            return more[_permuted(key, f"given|{attempt}|", len(more), names.index(word))]
+    tweak = f"name|{attempt}|"
+    new = _shaped(key, tweak, word)
+    if new == word:  # of a script without classes: letters that the check over the corpus tells apart
+        new = _syllables(key, tweak + word, WIDER_FROM + len(word) // 2).capitalize()
+    return new + _syllables(key, tweak + word, attempt)
+
+
+def entity_parts(kind: str, value: str) -> list[tuple[str, str, str]]:
+    """What is kept apart over the corpus, as (kind, entity, sample): each word of a name, whatever its title; else the entity."""
+    if kind in NAME_KINDS:
+        return [("name", w, w) for w in re.split("[ -]", value)]
+    return [(kind, entity_key(kind, value), value)]
 
 
 def entity_key(kind: str, value: str) -> str:
@@ -213,13 +248,14 @@ def entity_key(kind: str, value: str) -> str:
 def surrogate_exceptions(docs: DataFrame, key: bytes, text_column: str = "text", most_rounds: int = 20) -> DataFrame:
     """Entities that must not take their first surrogate: kind, entity, attempt (from 1 on).
 
-    Over all distinct entities of the corpus: a surrogate that is itself an entity of the corpus, or
-    that two entities share (the smaller one keeps it), is drawn again until none is left. Everything
+    Over all distinct entities of the corpus, names word by word under the kind "name": a surrogate
+    that is itself an entity of the corpus, or that two entities share (the smaller one keeps it), is
+    drawn again until none is left; if some are left after `most_rounds`, that is an error. Everything
     is a distributed join; entities are pre-aggregated by distinct before they are shuffled.
     """
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = {(e.kind, entity_key(e.kind, e.value)): e.value for text in texts_of(batch.column(0)) for e in entities(text)}
+        seen = {(k, v): sample for text in texts_of(batch.column(0)) for e in entities(text) for k, v, sample in entity_parts(e.kind, e.value)}
         return pa.record_batch(
             [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.string())],
             ["kind", "entity", "sample"],
@@ -232,16 +268,17 @@ def surrogate_exceptions(docs: DataFrame, key: bytes, text_column: str = "text",
 
     every = map_rows(docs, [text_column], found, "kind string, entity string, sample string")
     every = cut_lineage(every.groupBy("kind", "entity").agg(F.min("sample").alias("sample")))
-    names = F.col("kind").isin("male", "female", "person")  # parts of names are one-to-one already, whatever the title
     columns = "kind string, entity string, sample string, attempt int, new string"
-    state = cut_lineage(map_rows(every.where(~names).withColumn("attempt", F.lit(0)), ["kind", "entity", "sample", "attempt"], drawn, columns))
-    for _ in range(most_rounds):
+    state = cut_lineage(map_rows(every.withColumn("attempt", F.lit(0)), ["kind", "entity", "sample", "attempt"], drawn, columns))
+    for turn in range(most_rounds + 1):
         real = state.join(every.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "entity")
         shared = state.groupBy("kind", "new").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
         later = state.join(shared.select("kind", "new", "first"), ["kind", "new"]).where("entity <> first").select("kind", "entity")
         again = cut_lineage(real.union(later).distinct())
         if again.isEmpty():
             break
+        if turn == most_rounds:
+            raise RuntimeError(f"surrogates still collide after {most_rounds} rounds, by kind: {dict(again.groupBy('kind').count().collect())}")
         moved = state.join(again, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         moved = map_rows(moved, ["kind", "entity", "sample", "attempt"], drawn, columns)
         state = cut_lineage(state.join(again, ["kind", "entity"], "left_anti").unionByName(moved))
@@ -252,7 +289,10 @@ def replace_entities(text: str, key: bytes, attempts: dict[tuple[str, str], int]
     """The rewritten text and, per entity, (kind, start, end, surrogate); the offsets are those of the original."""
     out, at, spans = [], 0, []
     for e in entities(text):
-        new = draw(key, e.kind, e.value, attempts.get((e.kind, entity_key(e.kind, e.value)), 0))
+        if e.kind in NAME_KINDS:
+            new = "".join(w if w in (" ", "-") else draw(key, "name", w, attempts.get(("name", w), 0)) for w in re.split("([ -])", e.value))
+        else:
+            new = draw(key, e.kind, e.value, attempts.get((e.kind, entity_key(e.kind, e.value)), 0))
         out += [text[at : e.start], new]
         at = e.end
         spans.append((e.kind, e.start, e.end, new))
@@ -291,7 +331,8 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_column: str = "text"
     else:
 
         def mentions(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(h, e.kind, entity_key(e.kind, e.value)) for h, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) for e in entities(t)]
+            texts = zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))
+            rows = [(h, k, v) for h, t in texts for e in entities(t) for k, v, _ in entity_parts(e.kind, e.value)]
             h, k, v = zip(*rows) if rows else ((), (), ())
             return pa.record_batch([pa.array(h, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["text_hash", "kind", "entity"])
 

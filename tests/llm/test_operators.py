@@ -154,6 +154,35 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert sorted(r.text.split()[1] for r in rows) == sorted(new)
 
 
+def test_shapes_are_one_to_one_without_fixed_points():
+    for key in (b"a", b"b", b"c"):
+        for every in ([c for c in "BCDFGHJKLMNPQRSTVWXYZ"], [a + b for a in "AEIOU" for b in pii.CONSONANTS], [f"{k:03}" for k in range(1000)]):
+            new = [pii._shaped(key, "t", x) for x in every]
+            assert set(new) == set(every) and not any(x == y for x, y in zip(every, new))
+
+
+def test_names_keep_apart_from_all_names_of_the_corpus(spark):
+    # all initials, so that none is left to take; given names beside each other; a script without classes
+    names = [*"BCDFGHJKLMNPQRSTVWXYZ", *pii.KNOWN_MALE, *pii.MORE_MALE_NAMES, *pii.KNOWN_FEMALE, "Li", "Al", "Og", "Ø"]
+    docs = spark.createDataFrame([(i, f"seen: Mr. {n} Smith") for i, n in enumerate(names)] + [(999, "Dr. David and Mrs. Øøøø, a@example.com e@example.com i@example.com o@example.com u@example.com")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.replace_personal_data(docs, KEY).collect()}
+    new = [rows[i].entities[0].surrogate.split() for i in range(len(names))]
+    firsts, lasts = {x[0] for x in new}, {x[1] for x in new}
+    assert len(firsts) == len(names) and len(lasts) == 1
+    assert not (firsts | lasts) & {*names, "Smith", "Øøøø"}
+    last = [e.surrogate for e in rows[999].entities]
+    assert last[0] == new[names.index("David")][0] and "Ø" not in rows[999].text
+    mails = [x for x in last if "@" in x]
+    assert len(set(mails)) == 5 and not {f"{c}@example.com" for c in "aeiou"} & set(mails)
+
+
+def test_collisions_that_stay_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: "10.0.0.1")
+    docs = spark.createDataFrame([(0, "10.0.0.2 and 10.0.0.3")], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="still collide"):
+        pii.surrogate_exceptions(docs, KEY, most_rounds=1)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
