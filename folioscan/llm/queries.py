@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from folioscan.llm.bpe import decode_documents, encode_documents
 from folioscan.llm.common import table
 from folioscan.llm.embeddings import near_vectors
+from folioscan.llm.fill_middle import fim_digests
+from folioscan.llm.filter_audit import filter_audit
 from folioscan.llm.language_model import score_documents as score_language
 from folioscan.llm.packing import pack_online
 from folioscan.llm.pii import replace_personal_data
@@ -18,6 +20,7 @@ from folioscan.llm.secrets import ACCESS, ALLOWED_BEFORE, ALLOWED_PLAIN, ALLOWED
 from folioscan.llm.simhash import simhash_groups
 from folioscan.llm.syncmers import compare_edited
 from folioscan.llm.token_output import packed_rows
+from folioscan.llm.va_file import top_k_exact
 
 #: The key of the surrogates is a secret of whoever runs the job; this one is for the driver's invented tables.
 PII_KEY = b"folioscan example key"
@@ -138,18 +141,88 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op1_near_vectors"] = """
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+@query
+def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_fill_in_middle"] = """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR regexp_matches(body, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed
 ),
-reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-lowest AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = lowest.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM lowest
+cut AS (
+  SELECT *, least(c1, c2) AS low, greatest(c1, c2) AS high,
+    left(body, least(c1, c2)) AS prefix, substr(body, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS middle, substr(body, greatest(c1, c2) + 1) AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM cut
 """
 
 
 @query
-def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(table(spark, sf_dir, "documents"))
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_exact(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_interactions"] = r"""
+WITH body AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+label AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN min(doc_id) OVER (PARTITION BY body) < doc_id THEN 'E' ELSE '' END) AS failed
+  FROM body LEFT JOIN label USING (doc_id)
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (SELECT filter_order, step::INTEGER AS step, filter_order[step:step] AS letter, left(filter_order, step - 1) AS before FROM orders, range(1, 6) t(step)),
+counted AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+audited AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, contains(failed, letter) AS hit, len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AND failed <> '' AND before <> '' AS gone FROM counted, steps)
+  GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM audited
+"""
