@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import let, tokens
@@ -50,17 +50,16 @@ def postings(chunks: DataFrame) -> DataFrame:
     return counted_terms(chunks).where(F.col("term").isNotNull())
 
 
-def counted_terms(chunks: DataFrame) -> DataFrame:
-    """Postings, and one row without a term for each chunk that has no token."""
+def term_counts(terms: Column) -> Column:
+    """(term, tf) of each distinct token of a token list."""
+    return F.transform(
+        F.array_distinct(terms),
+        lambda t: F.struct(t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).cast("bigint").alias("tf")),
+    )
 
-    def counted(terms):
-        return F.transform(
-            F.array_distinct(terms),
-            lambda t: F.struct(
-                t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).cast("bigint").alias("tf")
-            ),
-        )
 
+def counted_terms(chunks: DataFrame) -> DataFrame:
+    """Postings, and one row without a term for each chunk that has no token."""
     return tokenize_chunks(chunks).select(
         "ruleset_id",
         "source_id",
@@ -68,7 +67,7 @@ def counted_terms(chunks: DataFrame) -> DataFrame:
         "chunk_index",
         "length",
         # The outer form keeps the optimizer from repeating the tokenizer in a size filter.
-        F.inline_outer(let(F.col("terms"), counted)),
+        F.inline_outer(let(F.col("terms"), term_counts)),
     )
 
 

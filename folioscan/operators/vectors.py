@@ -147,41 +147,6 @@ def knn_search(
     return parent_scores(nearest_children(queries, vectors, k), vectors, limit)
 
 
-def knn_search_approx(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 100,
-    limit: int = 10,
-    bucket_length: float = 0.35,
-    tables: int = 6,
-    seed: int = 7,
-) -> DataFrame:
-    """Candidates from random-projection hashing of unit vectors, then exact re-scoring.
-
-    On unit vectors a Euclidean distance d means a cosine of 1 - d*d/2.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        raw = df.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(raw).select(key, "unit")
-
-    left, right = unit(queries, "query_id"), unit(vectors, "chunk_id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, 2.0, "distance")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.chunk_id").alias("chunk_id"),
-        (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"),
-    )
-    window = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), F.col("chunk_id").asc())
-    children = scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    return parent_scores(children, vectors, limit)
-
-
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """Mean vector per key value, summed element-wise with partial aggregation."""
     return (

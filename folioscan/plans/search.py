@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import MarkerRules, RerankRules
-from folioscan.operators import fusion, lexical, markers, rerank, vectors
+from folioscan.operators import fusion, lexical, markers, rerank, stored_index, vectors
 from folioscan.operators.hits import EXCERPT_LIMIT
 
+#: Either form of the lexical index: written and opened again, or tables of the running job.
+Index = lexical.LexicalIndex | stored_index.StoredIndex
+#: Takes questions, documents, index, limit, sources and marker rules; returns ranked (query_id, doc_id, chunk_index, score, rank).
+Ranker = Callable[[DataFrame, DataFrame, Index, int, list[str] | None, MarkerRules], DataFrame]
+
 SERVICE_LIMITS = (1, 10)
 LIBRARY_LIMITS = (1, 20)
 
@@ -29,12 +36,15 @@ def require_queries(queries: DataFrame) -> DataFrame:
 def lexical_search(
     queries: DataFrame,
     docs: DataFrame,
-    index: lexical.LexicalIndex,
+    index: Index,
     limit: int,
     sources: list[str] | None = None,
     rules: MarkerRules = MarkerRules(),
 ) -> DataFrame:
-    """BM25 per chunk, best chunk per document, boosts, then the first `limit` per query."""
+    """BM25 per chunk, best chunk per document, boosts, then the first `limit` per query; an empty query fails the job."""
+    queries = require_queries(queries)
+    if isinstance(index, stored_index.StoredIndex):
+        return stored_index.search_index(queries, index, limit, sources, rules)
     best = lexical.max_child(lexical.bm25_chunk_scores(queries, index, sources))
     doc_side = markers.document_flags(docs, rules).select(
         "doc_id", "priority", "is_reference", "is_favored", "is_multiclass",
@@ -55,7 +65,7 @@ def lexical_search(
 def hybrid_search(
     queries: DataFrame,
     docs: DataFrame,
-    index: lexical.LexicalIndex,
+    index: Index,
     query_vectors: DataFrame,
     chunk_vectors: DataFrame,
     limit: int,
@@ -91,34 +101,42 @@ def fusion_rerank(
     return lexical.top_k(scored, limit, order)
 
 
-def with_excerpts(hits: DataFrame, index: lexical.LexicalIndex) -> DataFrame:
+def with_excerpts(hits: DataFrame, index: Index) -> DataFrame:
     """Fetch the excerpts of ranked chunks last, so no text travels through the ranking; only chunks of hit documents are joined."""
     wanted = hits.select("doc_id").distinct()
-    texts = index.chunks.join(wanted, "doc_id", "left_semi").select(
+    chunks = index.chunks_of(wanted) if isinstance(index, stored_index.StoredIndex) else index.chunks.join(wanted, "doc_id", "left_semi")
+    texts = chunks.select(
         "doc_id", "chunk_index", F.substring("content", 1, EXCERPT_LIMIT).alias("excerpt")
     )
     return hits.join(texts, ["doc_id", "chunk_index"], "left")
 
 
+def hybrid_ranker(query_vectors: DataFrame, chunk_vectors: DataFrame) -> Ranker:
+    """Both channels over the given vectors, as a ranker of `coordinated_search`."""
+
+    def rank(queries: DataFrame, docs: DataFrame, index: Index, limit: int, sources: list[str] | None, rules: MarkerRules) -> DataFrame:
+        return hybrid_search(queries, docs, index, query_vectors, chunk_vectors, limit, sources, rules)
+
+    return rank
+
+
 def coordinated_search(
     queries: DataFrame,
     docs: DataFrame,
-    index: lexical.LexicalIndex,
+    index: Index,
     limit: int,
-    query_vectors: DataFrame | None = None,
-    chunk_vectors: DataFrame | None = None,
+    ranker: Ranker = lexical_search,
     sources: list[str] | None = None,
     marker_rules: MarkerRules = MarkerRules(),
     rules: RerankRules = RerankRules(),
 ) -> DataFrame:
-    """Expansion, base search, heading rerank and lookup pruning, cut to `limit` (at most 20); an empty query fails the job."""
+    """Expansion, base ranking, heading rerank and lookup pruning, cut to `limit` (at most 20); an empty query fails the job.
+
+    Any ranker serves as the base: `lexical_search`, `hybrid_ranker(...)`, or a caller's own.
+    """
     limit = clamp_limit(limit)
     expanded = rerank.expand_queries(require_queries(queries), rules)
     asked = expanded.withColumn("query", F.col("retrieval_query"))
-    fetch = max(limit, fusion.CANDIDATES)
-    if query_vectors is not None and chunk_vectors is not None:
-        base = hybrid_search(asked, docs, index, query_vectors, chunk_vectors, fetch, sources, marker_rules)
-    else:
-        base = lexical_search(asked, docs, index, fetch, sources, marker_rules)
+    base = ranker(asked, docs, index, max(limit, fusion.CANDIDATES), sources, marker_rules)
     ranked = rerank.heading_rerank(with_excerpts(base, index), docs, expanded, rules)
     return rerank.direct_lookup_prune(ranked, expanded, rules).where(F.col("rank") <= limit)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import MarkerRules, RerankRules
+from folioscan.operators.stored_index import StoredIndex, read_index, write_index
+from folioscan.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +81,22 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_library(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The index of `library`, written at its first use in an application and opened by later jobs over the same files."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    found = files.groupBy(*files.columns).count().agg(F.sum("count").alias("n"), F.sum(F.xxhash64(*files.columns, "count") % 1_000_000_007).alias("h")).first()
+    digest = f"{found.n or 0}-{found.h or 0}"
+    docs, key = library(spark, sf_dir), (spark.sparkContext.applicationId, digest)
+    if key not in _INDEXES:
+        path = f"{ensure_checkpoint_dir(spark)}/library-index-{uuid4().hex}"
+        write_index(docs, path, rules=MARKERS, digest=digest)
+        _INDEXES[key] = path
+    return read_index(spark, _INDEXES[key], docs, digest, MARKERS)
+
+
 LIB = """lib AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS num, 'lib' AS ruleset_id, source AS source_id,
          'Source ' || source AS source_title, substring(text, 1, 40) AS title,

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
-from folioscan.operators import evaluation, fusion, hits, lexical, markers, rerank, vectors
+from folioscan.operators import evaluation, fusion, hits, ivf, lexical, markers, rerank, vectors
 from folioscan.operators.chunks import chunk
 from folioscan.plans import search
 from folioscan.registry.common import (
     CHUNKS, FLAGS, KNN, LEXICAL, LIB, MARKERS, POSTINGS, QUESTIONS, RULES, SCORES, VECTORS,
-    any_sql, child_vectors, compact_sql, knn_sql, library, query, questions, table,
+    any_sql, child_vectors, compact_sql, knn_sql, library, query, questions, stored_library, table,
 )
+from folioscan.session import cut_lineage, ensure_checkpoint_dir
 
 
 @query("chunk_windows", f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_index, source_id, content, search_text FROM chunks")
@@ -32,6 +35,22 @@ def _term_stats(spark, sf):
     return index.term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(
+    "stored_terms",
+    f"""WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, max(tf) AS max_tf, min(CASE WHEN tf = 1 THEN length END) AS shortest_once
+    FROM postings GROUP BY term""",
+)
+def _stored_terms(spark, sf):
+    """What the written index says of each term: its rows are per block, their summaries are put together here."""
+    rows = stored_library(spark, sf).postings.where(F.col("term") != "")
+    return rows.groupBy("term").agg(
+        F.sum("n_chunks").alias("df"),
+        F.sum(F.aggregate("chunks", F.lit(0).cast("bigint"), lambda n, c: n + c["tf"])).alias("occurrences"),
+        F.max("max_tf").alias("max_tf"),
+        F.min("shortest_1").alias("shortest_once"),
+    )
+
+
 @query(
     "bm25_chunk_scores",
     f"WITH {SCORES} SELECT query_id, doc_id, chunk_index, round(score, 6) AS score FROM chunk_scores",
@@ -86,9 +105,7 @@ def _flags(spark, sf):
 )
 def _lexical_topk(spark, sf):
     docs = library(spark, sf)
-    found = search.lexical_search(
-        questions(spark, sf), docs, lexical.build_index(docs), 5, rules=MARKERS
-    )
+    found = search.lexical_search(questions(spark, sf), docs, stored_library(spark, sf), 5, rules=MARKERS)
     return found.select(
         "query_id", "rank", "doc_id", "chunk_index",
         F.round("match_score", 6).alias("match_score"), F.round("score", 6).alias("score"),
@@ -126,10 +143,35 @@ def _knn_filtered(spark, sf):
     return found.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _lists(spark, sf):
+    """The inverted file of `embeddings`, written anew, and its questions."""
+    folder = f"{ensure_checkpoint_dir(spark)}/vector-lists-{uuid4().hex}"
+    return ivf.write_lists(child_vectors(spark, sf), folder), _centroid_queries(spark, sf)
+
+
 @query("knn_approximate")
 def _knn_approx(spark, sf):
-    found = vectors.knn_search_approx(_centroid_queries(spark, sf), child_vectors(spark, sf), 100, 10)
-    return found.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+    """Each row carries the recall of its question against exact search."""
+    index, asked = _lists(spark, sf)
+    children = ivf.nearest_children_approx(asked, index, 100)
+    recall = ivf.recall_at_k(children, vectors.nearest_children(asked, child_vectors(spark, sf), 100))
+    found = vectors.parent_scores(children, child_vectors(spark, sf), 10).join(recall, "query_id")
+    return found.select(
+        "query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"), F.round("recall", 6).alias("recall_at_k")
+    )
+
+
+@query(
+    "knn_recall",
+    """SELECT count(DISTINCT label) AS questions, count(DISTINCT label) * least(100, count(*)) AS found, TRUE AS recalled FROM embeddings""",
+)
+def _knn_recall(spark, sf):
+    """Whether the approximate search finds at least 0.9 of the exact 100 nearest vectors of all questions, and how many it returns."""
+    index, asked = _lists(spark, sf)
+    children = cut_lineage(ivf.nearest_children_approx(asked, index, 100))
+    recall = ivf.recall_at_k(children, vectors.nearest_children(asked, child_vectors(spark, sf), 100))
+    found = children.groupBy("query_id").agg(F.count("*").alias("found"))
+    return recall.join(found, "query_id").agg(F.count("*").alias("questions"), F.sum("found").alias("found"), (F.avg("recall") >= 0.9).alias("recalled"))
 
 
 def _question_vectors(spark, sf):
@@ -180,7 +222,7 @@ franked AS (
 
 def _channels(spark, sf):
     docs = library(spark, sf)
-    index = lexical.build_index(docs)
+    index = stored_library(spark, sf)
     q = questions(spark, sf)
     lex = search.lexical_search(q, docs, index, 50, rules=MARKERS)
     vec = vectors.knn_search(_question_vectors(spark, sf), child_vectors(spark, sf), 100, 50)
@@ -213,7 +255,7 @@ def _leader(spark, sf):
 def _hybrid(spark, sf):
     docs = library(spark, sf)
     found = search.hybrid_search(
-        questions(spark, sf), docs, lexical.build_index(docs), _question_vectors(spark, sf),
+        questions(spark, sf), docs, stored_library(spark, sf), _question_vectors(spark, sf),
         child_vectors(spark, sf), 10, rules=MARKERS,
     )
     return found.select("query_id", "rank", "doc_id", "chunk_index", F.round("score", 6).alias("score"))
@@ -295,8 +337,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 def _reranked(spark, sf):
-    docs = library(spark, sf)
-    index = lexical.build_index(docs)
+    docs, index = library(spark, sf), stored_library(spark, sf)
     expanded = rerank.expand_queries(questions(spark, sf), RULES)
     asked = expanded.withColumn("query", F.col("retrieval_query"))
     base = search.lexical_search(asked, docs, index, 50, rules=MARKERS)
@@ -345,12 +386,30 @@ def _prune(spark, sf):
 )
 def _coordinated(spark, sf):
     docs = library(spark, sf)
-    found = search.coordinated_search(
-        questions(spark, sf), docs, lexical.build_index(docs), 10, marker_rules=MARKERS, rules=RULES
-    )
+    found = search.coordinated_search(questions(spark, sf), docs, stored_library(spark, sf), 10, marker_rules=MARKERS, rules=RULES)
     return found.select("query_id", "doc_id", "rank", "excerpt", F.round("score", 6).alias("score"))
 
 
+_EXPANDED_HYBRID = FUSED_RANKED.replace(
+    "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
+    EXPANDED.replace("questions AS", "raw_questions AS", 1).replace("FROM questions", "FROM raw_questions")
+    + ",\nquestions AS (SELECT query_id, retrieval_query AS query FROM expanded_q)",
+)
+COORDINATED_HYBRID = _EXPANDED_HYBRID + PRUNED[PRUNED.index(",\nbase AS") :].replace("FROM ranked r JOIN chunks c", "FROM franked r LEFT JOIN chunks c")
+
+
+@query(
+    "coordinated_hybrid",
+    f"WITH {COORDINATED_HYBRID} SELECT query_id, doc_id, final_rank AS rank, excerpt, round(score, 6) AS score FROM pruned WHERE final_rank <= 10",
+)
+def _coordinated_hybrid(spark, sf):
+    """The same coordination over both channels; a limit beyond the bound is cut to it before the first ten are kept."""
+    docs = library(spark, sf)
+    ranker = search.hybrid_ranker(_question_vectors(spark, sf), child_vectors(spark, sf))
+    found = search.coordinated_search(questions(spark, sf), docs, stored_library(spark, sf), 500, ranker, marker_rules=MARKERS, rules=RULES)
+    return found.where("rank <= 10").select("query_id", "doc_id", "rank", "excerpt", F.round("score", 6).alias("score"))
+
+
 @query(
     "read_documents_by_id",
     f"""WITH {LIB}, asked AS (SELECT doc_id AS request_id, unnest([doc_id + 1, doc_id * 2, -1, doc_id + 1]) AS want,
@@ -377,7 +436,7 @@ def _read(spark, sf):
 )
 def _project(spark, sf):
     docs = library(spark, sf)
-    found = search.lexical_search(questions(spark, sf), docs, lexical.build_index(docs), 5, rules=MARKERS)
+    found = search.lexical_search(questions(spark, sf), docs, stored_library(spark, sf), 5, rules=MARKERS)
     full = found.join(docs.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
     return hits.project_hits(full.withColumn("original_file", F.col("content")))
 
@@ -430,7 +489,7 @@ case_rows AS (
 
 def _evaluated(spark, sf):
     docs = library(spark, sf)
-    top5 = search.lexical_search(questions(spark, sf), docs, lexical.build_index(docs), 5, rules=MARKERS)
+    top5 = search.lexical_search(questions(spark, sf), docs, stored_library(spark, sf), 5, rules=MARKERS)
     rel = relevance(spark, sf)
     cases = rel.groupBy("case_id").agg(F.collect_list("doc_id").alias("relevant_ids"))
     blocked = docs.where(F.col("source_id").isin("src1", "src3", "src5"))
