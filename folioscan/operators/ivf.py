@@ -96,6 +96,7 @@ def write_lists(
     parts = listed.groupBy("list").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     dealt = listed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")).drop("parts")
     dealt.repartition("list", "part").sortWithinPartitions("list", "part", "chunk_id").write.partitionBy("list").parquet(f"{path}/vectors")
+    dealt.limit(0).write.parquet(f"{path}/shape")  # of no vectors no list is written
     spark = vectors.sparkSession
     parts.coalesce(1).write.parquet(f"{path}/parts")
     probes = probes_for(listed, centres, wanted)
@@ -108,7 +109,8 @@ def read_lists(spark: SparkSession, path: str) -> VectorLists:
     """Open a written inverted file; the centres come last, so an aborted build cannot be opened."""
     centres = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # at most MAX_LISTS rows
     matrix = np.array([r.centre for r in centres]) if centres else np.zeros((0, 0))
-    return VectorLists(path, spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/parts"), matrix, centres[0].probes if centres else 1)
+    vectors = spark.read.schema(spark.read.parquet(f"{path}/shape").schema).parquet(f"{path}/vectors")
+    return VectorLists(path, vectors, spark.read.parquet(f"{path}/parts"), matrix, centres[0].probes if centres else 1)
 
 
 def probed_lists(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:

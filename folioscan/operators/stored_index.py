@@ -51,6 +51,8 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 #: Scores are compared after rounding to TIE_DIGITS digits and summed in no fixed order.
 SLACK = 1e-6
 VERSION = 1
+_POSTINGS = """block int, ruleset_id string, term string, chunks array<struct<doc_no:int,chunk_index:int,tf:int,length:int>>, n_chunks bigint,
+  shortest_1 int, shortest_2 int, shortest_3 int, shortest_more int, max_tf bigint, bucket int"""
 
 
 @dataclass
@@ -147,7 +149,7 @@ def write_index(
     numbered = _placed(flags, blocks, F.col("digest")).withColumnRenamed("id", "doc_id").drop("digest")
     numbered.sortWithinPartitions("block", "doc_no").write.parquet(f"{path}/documents")
     spark = docs.sparkSession
-    directory = spark.read.parquet(f"{path}/postings").where(F.col("term") == "")
+    directory = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("term") == "")
     lengths = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda acc, c: acc + c["length"])
     stats = directory.select("ruleset_id", "n_chunks", lengths.alias("tokens")).groupBy("ruleset_id").agg(
         F.sum("n_chunks").alias("chunk_count"), F.greatest(F.sum("tokens") / F.sum("n_chunks"), F.lit(1.0)).alias("average_length")
@@ -170,7 +172,8 @@ def read_index(spark: SparkSession, path: str, docs: DataFrame, digest: str | No
         raise ValueError("the index was made of other documents")
     if rules is not None and manifest["rules"] != str(rules):
         raise ValueError("the index was made with other marker rules")
-    postings, documents, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "stats"))
+    postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")  # of an empty library no file is written
+    documents, stats = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/stats")
     return StoredIndex(path, postings, documents, stats, manifest, docs, manifest["size"], manifest["overlap"])
 
 

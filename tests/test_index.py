@@ -143,3 +143,10 @@ def test_short_lists_are_searched_exactly(spark, tmp_path):
     found = ivf.nearest_children_approx(asked, index, 25, probes=1, sources=["s1"])
     columns = ["query_id", "chunk_id", "rank"]
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, exact.select(*columns).collect()))
+
+
+def test_no_vectors(spark, tmp_path):
+    none = clustered(spark, 5).limit(0)
+    index = ivf.write_lists(none, f"{tmp_path}/v")
+    asked = clustered(spark, 5).select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert ivf.nearest_children_approx(asked, index, 3).count() == 0
