@@ -75,7 +75,7 @@ def near_vectors(
     spanning set of links for its rows, never pairs. Equal vectors of a label are one row with a
     weight. A cell of more than `cell_rows` rows is dealt into chunks, of which each pair is a unit.
 
-    Null, zero and non-finite vectors, null labels, and vectors of other lengths than the one
+    Labels of any type are compared as they are. Null, zero and non-finite vectors, null labels, and vectors of other lengths than the one
     compared with link with nothing: n_links 0, component_id their own vec_id, kept. Equal rows of
     one vec_id are linked copies: each counts the other. A null vec_id gives a null component. An
     empty table gives no rows; other columns are ignored.
@@ -119,11 +119,11 @@ def near_vectors(
                             ["node", "embedding", "label", "weight", "block", "cell", "own"],
                         )
 
-    kind = dict(vectors.dtypes)["embedding"]
-    spread = copies.select("node", "embedding", F.col("label").cast("bigint").alias("label"), "weight").mapInArrow(
-        cells, f"node bigint, embedding {kind}, label bigint, weight bigint, block int, cell binary, own boolean"
+    kind, label = (dict(vectors.dtypes)[c] for c in ("embedding", "label"))
+    spread = copies.select("node", "embedding", "label", "weight").mapInArrow(
+        cells, f"node bigint, embedding {kind}, label {label}, weight bigint, block int, cell binary, own boolean"
     )
-    spread = spread.select("node", "embedding", "weight", "block", "own", F.xxhash64("label", "block", "cell", F.size("embedding")).alias("cell"))
+    spread = spread.select("node", "embedding", "label", "weight", "block", "own", F.xxhash64("label", "block", "cell", F.size("embedding")).alias("cell"))
     sizes = spread.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("own").alias("owners"))
     crowded = cut_lineage(sizes.where("rows > 1 and owners > 0"))  # a cell of one row, or of none but guests, has no pair
     sized = spread.join(crowded, "cell").withColumn("chunks", F.ceil(F.col("rows") / cell_rows).cast("int"))
@@ -131,7 +131,7 @@ def near_vectors(
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = pairs.select(
         F.struct("cell", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")).alias("unit"),
-        "node", "embedding", "weight", "block", "own", "chunk",
+        "node", "embedding", "label", "weight", "block", "own", "chunk",
     )
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +145,7 @@ def near_vectors(
             turned = rotated(units_, seed)
             part = turned[:, b * each : (b + 1) * each]
             node, weight, chunk = (unit.column(c).to_numpy() for c in ("node", "weight", "chunk"))
+            same = unit.column("label").combine_chunks().dictionary_encode().indices.to_numpy()  # cells are hashes, labels are compared
             counts, left, right = np.zeros(len(rows), np.int64), [], []
             square = (part * part).sum(axis=1)
             for at in range(0, len(rows), 256):
@@ -153,7 +154,7 @@ def near_vectors(
                 i, j = np.nonzero(near)
                 i += at
                 # one order of the pair, not both guests, and the two chunks of this unit
-                ok = (i < j) & (own[i] | own[j]) & ((chunk[i] != chunk[j]) if low != high else True)
+                ok = (i < j) & (same[i] == same[j]) & (own[i] | own[j]) & ((chunk[i] != chunk[j]) if low != high else True)
                 i, j = i[ok], j[ok]
                 for begin in range(0, len(i), 20_000):
                     x, y = i[begin : begin + 20_000], j[begin : begin + 20_000]
@@ -173,7 +174,7 @@ def near_vectors(
                 yield pa.record_batch([pa.array(node[some]), pa.array(counts[some]), pa.array(node[roots[some]])], ["node", "links", "root"])
 
     found = (
-        units.select("unit.*", "node", "embedding", "weight", "block", "own", "chunk")
+        units.select("unit.*", "node", "embedding", "label", "weight", "block", "own", "chunk")
         .repartition("cell", "low", "high")
         .sortWithinPartitions("cell", "low", "high", "node")
         .mapInArrow(verified, "node bigint, links bigint, root bigint")

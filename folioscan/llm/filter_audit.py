@@ -9,6 +9,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.session import cut_lineage
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,20 +38,22 @@ def has_marks(text: Column) -> Column:
 #: Filters on the text alone, in the order of their bits; the filter on copies comes after them.
 TEXT_FILTERS: dict[str, Callable[[Column], Column]] = {"A": too_short, "B": too_repetitive, "C": too_loud, "D": has_marks}
 COPY_FILTER = "E"
+#: Hashes of repeated texts that are broadcast at most, about 32 MB; more of them meet the texts by a shuffle.
+BROADCAST_HASHES = 1_000_000
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
     """The rows whose text a smaller doc_id has as well: the existential self-join of (doc_id, body, ...).
 
-    A first grouping of hashes leaves only rows whose hash occurs again, so texts that stand alone
-    are never shuffled. The other side of the left-semi join on hash, exact text and smaller doc_id
+    A first grouping of hashes leaves only rows whose hash occurs again. Up to a checked size these
+    hashes are broadcast, and texts that stand alone are never shuffled. The other side of the left-semi join on hash, exact text and smaller doc_id
     is reduced to the smallest doc_id of each text before the shuffle, since any smaller one is a
     witness if and only if the smallest is: a row meets one witness, however many copies there are.
     A row without an id is nobody's witness and has none.
     """
     hashed = texts.withColumn("hash", F.xxhash64("body"))
-    again = hashed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash")
-    copies = hashed.join(again, "hash", "left_semi")
+    again = cut_lineage(hashed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"))
+    copies = hashed.join(F.broadcast(again) if again.count() <= BROADCAST_HASHES else again, "hash", "left_semi")
     first = copies.groupBy(F.col("hash").alias("first_hash"), F.col("body").alias("first_body")).agg(F.min("doc_id").alias("first_id"))
     witness = (F.col("hash") == F.col("first_hash")) & (F.col("body") == F.col("first_body")) & (F.col("first_id") < F.col("doc_id"))
     return copies.join(first, witness, "left_semi").drop("hash")

@@ -113,6 +113,28 @@ def entities(text: str) -> list[Entity]:
     return sorted(kept, key=lambda e: e.start)
 
 
+def all_entities(text: str) -> list[Entity]:
+    """Entities of one whole text, and every further mention of a word of the names found in it.
+
+    A name that stands with a title or a given name in one place is often called by a single word in
+    others: each whole word equal to a word of a found name, as it is or in capitals, is a mention of
+    it (kind person; `value` is the word of the name). Words of fewer than three letters are left alone.
+    """
+    found = entities(text)
+    words = {w for e in found if e.kind in NAME_KINDS for w in re.split("[ -]", e.value) if len(w) > 2}
+    if not words:
+        return found
+    spelled = {v: w for w in sorted(words) for v in (w.upper(), w)} | {w: w for w in words}
+    mention = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(spelled, key=lambda v: (-len(v), v)))) + r")(?!\w)")
+    taken, more, at = [(e.start, e.end) for e in found], [], 0
+    for m in mention.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or m.end() <= taken[at][0]:
+            more.append(Entity("person", *m.span(), spelled[m.group()]))
+    return sorted(found + more, key=lambda e: e.start) if more else found
+
+
 def _permuted(key: bytes, tweak: str, size: int, x: int, back: bool = False) -> int:
     """A keyed permutation of 0 .. size-1: a balanced Feistel network over the next even number of bits, walked until it is inside;
     `back` turns it round."""
@@ -255,7 +277,7 @@ def surrogate_exceptions(docs: DataFrame, key: bytes, text_column: str = "text",
     """
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = {(k, v): sample for text in texts_of(batch.column(0)) for e in entities(text) for k, v, sample in entity_parts(e.kind, e.value)}
+        seen = {(k, v): sample for text in texts_of(batch.column(0)) for e in all_entities(text) for k, v, sample in entity_parts(e.kind, e.value)}
         return pa.record_batch(
             [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.string())],
             ["kind", "entity", "sample"],
@@ -288,9 +310,11 @@ def surrogate_exceptions(docs: DataFrame, key: bytes, text_column: str = "text",
 def replace_entities(text: str, key: bytes, attempts: dict[tuple[str, str], int], draw=surrogate) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The rewritten text and, per entity, (kind, start, end, surrogate); the offsets are those of the original."""
     out, at, spans = [], 0, []
-    for e in entities(text):
+    for e in all_entities(text):
         if e.kind in NAME_KINDS:
             new = "".join(w if w in (" ", "-") else draw(key, "name", w, attempts.get(("name", w), 0)) for w in re.split("([ -])", e.value))
+            if text[e.start : e.end] != e.value:  # a mention in capitals
+                new = new.upper()
         else:
             new = draw(key, e.kind, e.value, attempts.get((e.kind, entity_key(e.kind, e.value)), 0))
         out += [text[at : e.start], new]
@@ -299,16 +323,18 @@ def replace_entities(text: str, key: bytes, attempts: dict[tuple[str, str], int]
     return "".join(out) + text[at:], spans
 
 
-def replace_personal_data(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
-    """`docs` with the entities of `text_column` replaced, and a column `entities` (kind, start, end, surrogate).
+def replace_personal_data(docs: DataFrame, key: bytes, text_column: str = "text", spans_column: str | None = "entities") -> DataFrame:
+    """`docs` with the entities of `text_column` replaced, and a column `spans_column` (kind, start, end, surrogate), unless it is None.
 
     Equal entities have equal surrogates in all documents, distinct ones distinct surrogates that
     are no entity of the corpus. Null texts stay null with no entities, empty and clean texts stay as
-    they are, repeated rows are rewritten alike; an input column called `entities` is replaced.
+    they are, repeated rows are rewritten alike; an input column called `spans_column` is replaced, all
+    others are kept, whatever their names.
     Exceptions are few: they reach the documents that mention them by the hash of the text, and
     documents are only shuffled if there are any.
     """
-    columns = [c for c in docs.columns if c != "entities"]
+    columns = [c for c in docs.columns if c != spans_column]
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_column).alias("body"), F.xxhash64(text_column).alias("body_hash"))
     exceptions = surrogate_exceptions(docs, key, text_column)
     kind = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
@@ -325,23 +351,23 @@ def replace_personal_data(docs: DataFrame, key: bytes, text_column: str = "text"
         return pa.array(rows, pa.struct([("text", pa.string()), ("entities", pa.list_(inner))]))
 
     if exceptions.isEmpty():
-        source = docs.select(*columns)
+        source = whole
         again = F.arrow_udf(lambda texts: rewritten(texts.to_pylist(), [None] * len(texts)), f"text string, entities {kind}")
-        new = again(F.col(text_column))
+        new = again(F.col("body"))
     else:
 
         def mentions(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))
-            rows = [(h, k, v) for h, t in texts for e in entities(t) for k, v, _ in entity_parts(e.kind, e.value)]
+            rows = [(h, k, v) for h, t in texts for e in all_entities(t) for k, v, _ in entity_parts(e.kind, e.value)]
             h, k, v = zip(*rows) if rows else ((), (), ())
             return pa.record_batch([pa.array(h, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["text_hash", "kind", "entity"])
 
-        hashed = docs.select(F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("body"))
+        hashed = whole.select(F.col("body_hash").alias("text_hash"), "body")
         hit = map_rows(hashed, ["text_hash", "body"], mentions, "text_hash bigint, kind string, entity string").join(exceptions, ["kind", "entity"])
-        own = hit.groupBy("text_hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_attempts"))
-        source = docs.select(*columns).withColumn("_hash", F.xxhash64(text_column)).join(own, F.col("_hash") == F.col("text_hash"), "left")
+        own = hit.groupBy("text_hash").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("attempts"))
+        source = whole.join(own.withColumnRenamed("text_hash", "body_hash"), "body_hash", "left")
         again = F.arrow_udf(lambda texts, own: rewritten(texts.to_pylist(), own.to_pylist()), f"text string, entities {kind}")
-        new = again(F.col(text_column), F.col("_attempts"))
-    done = source.withColumn("_new", new)
-    kept = [F.col("_new.text").alias(c) if c == text_column else F.col(c) for c in columns]
-    return done.select(*kept, F.col("_new.entities").alias("entities"))
+        new = again(F.col("body"), F.col("attempts"))
+    done = source.select("row", new.alias("new"))
+    kept = [F.col("new.text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in columns]
+    return done.select(*kept, *([F.col("new.entities").alias(spans_column)] if spans_column else []))

@@ -38,13 +38,14 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of whole texts; null and empty texts have fingerprint 0."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long) of whole texts; null and empty texts have fingerprint 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x, shingle) for x in texts_of(batch.column(1))], dtype=np.uint64)
-        return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return map_rows(docs, [id_column, text_column], run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
+    return map_rows(rows, ["doc_id", "text", "text_hash"], run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -173,6 +174,13 @@ def _by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return rows.join(large, "unit", "left_anti"), rows.join(large, "unit")
 
 
+def _of_print(own: DataFrame, errors: int) -> DataFrame:
+    """fp, n_same, component of each distinct fingerprint."""
+    nodes = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same")))
+    groups = components(near_links(nodes.where("node is not null"), errors))
+    return nodes.join(groups, "node", "left").select("fp", "n_same", F.coalesce("component", "node").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", errors: int = 3, shingle: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, n_same.
 
@@ -183,10 +191,7 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     give repeated rows. An empty table gives no rows. Other columns of `docs` are ignored.
     """
     own = cut_lineage(fingerprints(docs, id_column, text_column, shingle))
-    nodes = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_same")))
-    groups = components(near_links(nodes.where("node is not null"), errors))
-    of_print = nodes.join(groups, "node", "left").select("fp", "n_same", F.coalesce("component", "node").alias("component"))
-    return own.join(of_print, "fp").select(
+    return own.join(_of_print(own, errors), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
@@ -195,7 +200,21 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", errors: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their near-duplicate group; rows without an id stay."""
-    groups = simhash_groups(docs, id_column, text_column, errors, shingle)
-    copies = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(id_column))
-    return docs.join(copies, id_column, "left_anti")
+    """One row of each near-duplicate group: that with the smallest id, of equal ids the one with the smaller text hash.
+
+    Rows are judged one by one: texts that share an id are in the groups of their own fingerprints, and
+    a row that comes twice, or has a near copy under its own id, stays once. Rows without an id stay.
+    Null and empty texts are one group. Other columns are kept as they are, whatever their names; an
+    empty table gives no rows.
+    """
+    own = cut_lineage(fingerprints(docs, id_column, text_column, shingle).where("doc_id is not null"))
+    key = F.struct("doc_id", "text_hash")
+    rows = own.join(_of_print(own, errors), "fp").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(key).alias("first"))
+    judged = cut_lineage(rows.join(first, "component").select("doc_id", "text_hash", "n", (key == F.col("first")).alias("kept")).where("not kept or n > 1"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"))
+    left = whole.join(judged, ["doc_id", "text_hash"], "left_anti")
+    repeated = judged.where("kept")
+    if not repeated.isEmpty():
+        left = left.unionByName(whole.join(repeated, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return left.select("row.*")

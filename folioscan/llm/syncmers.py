@@ -97,25 +97,28 @@ def fingerprints(docs: DataFrame, k: int = 12, s: int = 5, size: int = 128) -> D
     return map_rows(docs, ["doc_id", "text"], run, "doc_id bigint, fingerprint string")
 
 
+#: Ranges of ids at most: their starts are all that the driver holds.
+MAX_RANGES = 65_536
+
+
 def with_next(docs: DataFrame, share_rows: int = 5_000) -> DataFrame:
     """doc_id, text, next_text (the text of the next doc_id; after the last, of the first), by one range shuffle of the texts.
 
-    Quantiles of doc_id are ids of the table, so each range starts at a known id. The documents with
-    these ids (one per range) are sent a second time, as the last row of the range before, and all
-    neighbours then stand in one sorted partition, read as a stream. The number of ranges grows with
-    the table and is all that the driver holds. Of equal ids the one with the smaller text comes
-    first. Rows without an id have no place in the order and no next text.
+    Ids of the table itself, drawn by a hash, are the starts of ranges of about `share_rows` rows (more
+    where that would be over MAX_RANGES). The documents with these ids (one per range) are sent a
+    second time, as the last row of the range before, and all neighbours then stand in one sorted
+    partition, read as a stream. Ids of any size are kept exactly. Of equal ids the one with the
+    smaller text comes first. Rows without an id have no place in the order and no next text.
     """
     placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = placed.where(F.col("doc_id").isNotNull())
     lost = placed.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
-    rows = ordered.count()
-    ranges = max(1, -(-rows // share_rows))
-    starts = sorted({int(x) for x in ordered.approxQuantile("doc_id", [i / ranges for i in range(ranges)], 0.2 / ranges)}) if rows else []
+    rows, lowest = ordered.agg(F.count("*"), F.min("doc_id")).first()
     if not rows:
         return lost
-    lowest = ordered.agg(F.min("doc_id")).first()[0]
-    starts = np.array(sorted({lowest, *starts}), np.int64)
+    share = max(share_rows, -(-rows // MAX_RANGES))
+    drawn = ordered.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id").distinct().collect()
+    starts = np.array(sorted({lowest, *(r[0] for r in drawn)}), np.int64)
     schema = "range int, guest boolean, doc_id bigint, text string"
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:

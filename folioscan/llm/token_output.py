@@ -73,16 +73,17 @@ def packed_rows(docs: DataFrame, size: int = 2048, end_id: int = 50256, pad_id:
     input_ids is one matrix row: `size` little-endian unsigned 16-bit ids, padded with `pad_id`;
     cu_seqlens has the cumulative segment lengths from 0 on; position_ids (16 bits each) start again
     at 0 in every segment and in the padding; segments names doc_id, start (the document's ids
-    before it) and length in the row's order. A text is its ids and `end_id`; null and empty texts
+    before it), length and row (a number of the input row) in the row's order. A text is its ids and `end_id`; null and empty texts
     are that one id; longer texts are cut every `size` ids and lose nothing. Each task packs its own
     rows in windows of `window` ids, so nothing is shuffled and memory is bounded. Repeated rows are
     packed one by one; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
+    Ids that do not fit 16 bits are an error.
     """
     if size > 65535:
         raise ValueError("positions are written in 16 bits")
-    segment = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32())])
+    segment = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("row", pa.int64())])
 
-    def pack(ids: list[np.ndarray], names: list[int | None], first: int) -> Iterator[pa.RecordBatch]:
+    def pack(ids: list[np.ndarray], names: list[int | None], number_of: list[int], first: int) -> Iterator[pa.RecordBatch]:
         totals = np.array([len(x) for x in ids], np.int64)
         counts = -(-totals // size)
         of = np.repeat(np.arange(len(ids)), counts)
@@ -104,7 +105,7 @@ def packed_rows(docs: DataFrame, size: int = 2048, end_id: int = 50256, pad_id:
         data, where = rows.tobytes(), places.tobytes()
         sums = [np.r_[0, np.cumsum(length[a:b])] for a, b in zip(bounds[:-1], bounds[1:])]
         parts = pa.StructArray.from_arrays(
-            [pa.array([names[k] for k in of], pa.int64()), pa.array(start), pa.array(length.astype(np.int32))], fields=list(segment)
+            [pa.array([names[k] for k in of], pa.int64()), pa.array(start), pa.array(length.astype(np.int32)), pa.array(np.array(number_of, np.int64)[of])], fields=list(segment)
         )
         yield pa.record_batch(
             [
@@ -120,23 +121,28 @@ def packed_rows(docs: DataFrame, size: int = 2048, end_id: int = 50256, pad_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made = Encoder(path, ranks), TaskContext.get().partitionId() << 40
-        held, names, many = [], [], 0
+        held, names, numbers, many, row = [], [], [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1))):
-                held.append(np.append(ids, np.uint32(end_id)).astype(np.uint16))
+                whole = np.append(ids, np.uint32(end_id))
+                if whole.max() > 65535:
+                    raise ValueError(f"id {whole.max()} does not fit 16 bits")
+                held.append(whole.astype(np.uint16))
                 names.append(name)
+                numbers.append(row)
+                row += 1
                 many += len(ids) + 1
                 if many >= window:
-                    for out in pack(held, names, made):
+                    for out in pack(held, names, numbers, made):
                         made += out.num_rows
                         yield out
-                    held, names, many = [], [], 0
+                    held, names, numbers, many = [], [], [], 0
         if held:
-            yield from pack(held, names, made)
+            yield from pack(held, names, numbers, made)
 
     schema = (
         "sequence_id bigint, n_tokens bigint, input_ids binary, cu_seqlens array<int>, position_ids binary, "
-        "segments array<struct<doc_id:bigint,start:bigint,length:int>>"
+        "segments array<struct<doc_id:bigint,start:bigint,length:int,row:bigint>>"
     )
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -147,7 +153,7 @@ def write_packed(docs: DataFrame, path: str, **options) -> None:
 
 
 def unpacked(rows: DataFrame, size: int = 2048) -> DataFrame:
-    """The reverse of packed_rows: doc_id, ids (with the end id), put together again from all segments."""
+    """The reverse of packed_rows: a row of doc_id, ids (with the end id) for each row that was packed; repeated and null ids stay apart."""
     from pyspark.sql import functions as F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +161,12 @@ def unpacked(rows: DataFrame, size: int = 2048) -> DataFrame:
             out = []
             for data, cu, segments in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids = np.frombuffer(data, "<u2").tolist()
-                out += [(s["doc_id"], s["start"], ids[a:b]) for s, a, b in zip(segments, cu, cu[1:])]
+                out += [(s["row"], s["doc_id"], s["start"], ids[a:b]) for s, a, b in zip(segments, cu, cu[1:])]
             yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))],
-                ["doc_id", "start", "ids"],
+                [*(pa.array([x[k] for x in out], pa.int64()) for k in range(3)), pa.array([x[3] for x in out], pa.list_(pa.int32()))],
+                ["row", "doc_id", "start", "ids"],
             )
 
-    parts = rows.select("input_ids", "cu_seqlens", "segments").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    parts = rows.select("input_ids", "cu_seqlens", "segments").mapInArrow(run, "row bigint, doc_id bigint, start bigint, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"]))
-    return parts.groupBy("doc_id").agg(joined.alias("ids"))
+    return parts.groupBy("row", "doc_id").agg(joined.alias("ids")).select("doc_id", "ids")
