@@ -22,19 +22,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_bad_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier, learnt from the given labels, does not reject."""
+    """The documents that the quality classifier, learnt from the given labels, does not reject; null texts count as empty."""
     return keep_good(docs, fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest doc_id."""
-    return keep_one_of_each(docs).select(docs.columns)
+    """One row of each SimHash group stays, the one with the smallest doc_id; rows without an id stay."""
+    return keep_one_of_each(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts with surrogates; n_chars follows the new text."""
+    """All documents, their texts with surrogates; n_chars follows the new text. Columns of any name stay, null texts stay null."""
     columns = docs.columns
-    new = replace_personal_data(docs, PII_KEY).select(*columns)
+    new = replace_personal_data(docs, PII_KEY, spans_column=None)
     return new.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*columns) if "n_chars" in columns else new
 
 
