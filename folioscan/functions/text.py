@@ -221,12 +221,29 @@ def compact_letters_each(values: Column) -> Column:
     )
 
 
+def running_starts(steps: Column, block: int = 256) -> Column:
+    """1-based starts of matches given as (gap, long): the characters before each since the last one, and its own.
+
+    Running sums, written block by block, so that the work stays in proportion to the matches.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(block)), lambda b: F.slice(steps, b + 1, F.lit(block)))
+
+    def place(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x["gap"] + x["long"]).alias("at"), F.array_append(a["out"], a["at"] + x["gap"] + 1).alias("out"))
+
+    def add(a: Column, part: Column) -> Column:
+        placed = F.aggregate(part, F.struct(a["at"].alias("at"), F.array().cast("array<int>").alias("out")), place)
+        return let(placed, lambda p: F.struct(p["at"].alias("at"), F.array_append(a["out"], p["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, add)["out"])
+
+
 def match_starts(text: Column, pattern: Column) -> Column:
     """1-based start of every match of `pattern`, in order: what split leaves between the matches gives the gaps."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    return F.transform(
-        hits,
-        lambda _, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(1), lambda n, g: n + F.length(g))
-        + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda n, h: n + F.length(h)),
+    steps = F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(0)),
+        F.split(text, pattern, -1),
+        lambda hit, gap: F.when(hit.isNotNull(), F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("long"))),
     )
+    return let(F.filter(steps, lambda x: x.isNotNull()), lambda s: running_starts(s))

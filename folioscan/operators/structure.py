@@ -620,6 +620,65 @@ def transform_corpus(docs: DataFrame, blocks: DataFrame, audit: DataFrame) -> Da
 # --- paged headings -------------------------------------------------------------------------------
 
 
+def heading_label(line: Column) -> Column:
+    """What a line says as a heading: without its bullet and with single blanks."""
+    return F.trim(F.regexp_replace(collapse_spaces(line), rf"^[{rules.BULLETS}]\s*", ""))
+
+
+def page_blocks(content: DataFrame, headings: DataFrame) -> DataFrame:
+    """Each page's text cut at its heading lines: (file, page, structural_blocks, heading_path, inherited_headings).
+
+    content(file, page, source_title, content), headings as from `page_headings`. A block runs from one
+    heading line to the next; its path is the source title, the primary heading and the subsection
+    that hold there, and the heading itself if it is a local one, which changes nothing after it. The
+    headings hold from page to page: only heading lines and page starts, never the text, go through
+    the window over a whole file. heading_path is what holds at the page's end, inherited_headings
+    what held before it and still does. Blank blocks drop out.
+    """
+    lines = content.select("file", "page", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    labels = headings.select("file", "page", F.col("heading").alias("_label"), "local", F.col("primary").alias("_p")).distinct()
+    marked = lines.withColumn("_label", heading_label(F.col("text"))).join(labels, ["file", "page", "_label"], "left")
+    is_heading = F.col("local").isNotNull()
+    in_page = Window.partitionBy("file", "page").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = marked.withColumn("_block", F.sum(is_heading.cast("int")).over(in_page))
+    texts = numbered.groupBy("file", "page", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines"), F.min(F.when(is_heading, F.struct("line", "_label", "local", "_p"))).alias("_head")
+    )
+    starts = texts.select("file", "page", "_block", F.col("_head._label").alias("_label"), F.col("_head.local").alias("local"), F.col("_head._p").alias("_p"))
+    opening = content.select("file", "page").distinct().withColumns(
+        {"_block": F.lit(-1).cast("bigint"), "_label": F.lit(None).cast("string"), "local": F.lit(None).cast("boolean"), "_p": F.lit(None).cast("boolean")}
+    )
+    so_far = Window.partitionBy("file").orderBy("page", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.struct(F.struct("page", "_block").alias("at"), F.col("_label").alias("heading"))
+    held = starts.unionByName(opening)
+    held = held.withColumn("_top", F.last(F.when(~F.col("local") & F.col("_p"), at), True).over(so_far))
+    held = held.withColumn("_sub", F.last(F.when(~F.col("local") & ~F.col("_p"), at), True).over(so_far))
+    live = F.col("_top").isNull() | (F.col("_sub.at") > F.col("_top.at"))
+    values = F.array_compact(F.array(F.col("_top.heading"), F.when(live, F.col("_sub.heading"))))
+    held = held.select("file", "page", "_block", values.alias("_values"), F.when(F.col("local"), F.array("_label")).otherwise(_empty()).alias("_own"))
+    text = strip(F.array_join(F.transform("_lines", lambda x: x["text"]), "\n"))
+    blocks = texts.select("file", "page", "_block", text.alias("content"))
+    joined = held.join(blocks, ["file", "page", "_block"], "left").groupBy("file", "page").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_values", "_own", "content"))).alias("_b")
+    )
+    named = joined.join(content.select("file", "page", "source_title").distinct(), ["file", "page"])
+    on_page = labels.groupBy("file", "page").agg(F.collect_set("_label").alias("_found"))
+    named = named.join(on_page, ["file", "page"], "left").withColumn("_found", F.coalesce("_found", _empty()))
+    title = F.array("source_title")
+    cut = F.transform(
+        F.filter("_b", lambda b: F.coalesce(b["content"], F.lit("")) != ""),
+        lambda b: F.struct(
+            F.concat(title, b["_values"], b["_own"]).alias("heading_path"), b["content"].alias("content"),
+            F.lit(None).cast("int").alias("table_index"), F.lit(None).cast("int").alias("row_index"),
+        ),
+    )
+    before, after = F.col("_b")[0]["_values"], F.element_at("_b", -1)["_values"]
+    return named.select(
+        "file", "page", cut.alias("structural_blocks"), F.concat(title, after).alias("heading_path"),
+        F.filter(before, lambda v: F.array_contains(after, v) & ~F.array_contains("_found", v)).alias("inherited_headings"),
+    )
+
+
 def page_headings(pages: DataFrame, limit: int = 32) -> DataFrame:
     """Heading lines of layout text: (file, page, line, heading, local, primary), first of each label per page.
 
@@ -634,7 +693,7 @@ def page_headings(pages: DataFrame, limit: int = 32) -> DataFrame:
     bullet = F.regexp_like("text", F.lit(f"^[{rules.BULLETS}]"))
     blank_before = F.coalesce("_before", F.lit("")) == ""
     blank_after = F.coalesce("_after", F.lit("")) == ""
-    label = F.trim(F.regexp_replace("text", rf"^[{rules.BULLETS}]\s*", ""))
+    label = heading_label(F.col("text"))
     around = around.withColumn("heading", label).withColumn("local", label != F.col("text"))
     h = F.col("heading")
     reads = (

@@ -692,23 +692,26 @@ def detect_other_library(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     folded = messages.select(
         "message_id", "current_library", collapse_spaces(nfkc_casefold(F.col("content"))).alias("_m")
     )
-    # A name can only occur where its first characters do: the join is on these, the test on the few pairs left.
-    keyed = owned.withColumn("_gram", F.left("alias", F.lit(ALIAS_GRAM)))
-    spread = folded.withColumn(
-        "_grams",
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(ALIAS_GRAM)),
-                lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_m") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_m"), i, n)),
-            )
-        ),
-    ).select("message_id", "current_library", "_m", F.explode(F.array_distinct("_grams")).alias("_gram"))
-    left = F.when(F.regexp_like(F.left("alias", F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?<![A-Za-z0-9])")).otherwise("")
-    right = F.when(F.regexp_like(F.right("alias", F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?![A-Za-z0-9])")).otherwise("")
-    quoted = F.regexp_replace("alias", r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    hits = spread.join(keyed, "_gram").where(
-        F.contains("_m", "alias") & F.regexp_like("_m", F.concat(left, quoted, right))
-    )
+    # A name can only occur where its first characters do: the join is on these, of ids without texts.
+    keyed = settle(owned.withColumn("_gram", F.left("alias", F.lit(ALIAS_GRAM))))
+    lengths = sorted(r[0] for r in keyed.select(F.length("_gram")).distinct().collect())  # at most ALIAS_GRAM of them
+    if not lengths:
+        return folded.select("message_id", F.lit(None).cast("string").alias("library_id")).limit(0)
+
+    def grams(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_m") - size + 1, F.lit(1))), lambda i: F.substring(F.col("_m"), i, size))
+
+    spread = folded.select("message_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, lengths))))).alias("_gram"))
+    options = spread.join(keyed, "_gram").groupBy("message_id").agg(F.collect_set(F.struct("alias", "ord", "library_id", "length")).alias("_options"))
+
+    # Each message meets its few possible names once, in its own row.
+    def named(o: Column) -> Column:
+        left = F.when(F.regexp_like(F.left(o["alias"], F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?<![A-Za-z0-9])")).otherwise("")
+        right = F.when(F.regexp_like(F.right(o["alias"], F.lit(1)), F.lit("[a-z0-9]")), F.lit("(?![A-Za-z0-9])")).otherwise("")
+        quoted = F.regexp_replace(o["alias"], r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+        return F.contains(F.col("_m"), o["alias"]) & F.regexp_like("_m", F.concat(left, quoted, right))
+
+    hits = folded.join(options, "message_id").select("message_id", "current_library", F.inline(F.filter("_options", named)))
     best = F.max(F.struct(F.col("length"), (-F.col("ord")).alias("o"), "alias", "library_id"))
     return (
         hits.groupBy("message_id")

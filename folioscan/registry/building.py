@@ -185,6 +185,54 @@ def _page_headings(spark, sf):
     return _heads(spark, sf)[1].select("file", "page", "line", "heading", F.col("primary").alias("is_primary"))
 
 
+PAGE_BLOCKS = HEADS + f""",
+laid AS (SELECT p.*, (SELECT any_value(lang) FROM documents d WHERE d.doc_id = p.page) AS lang, {_LAYOUT} AS body
+  FROM (SELECT * REPLACE (replace(replace(raw_text, '. ', '.' || chr(10) || chr(10)), ', ', ',' || chr(10) || chr(10)) AS raw_text) FROM paged) p),
+full_ AS (SELECT file, page, source_title, CASE WHEN page % 5 = 0 THEN CASE WHEN body <> '' THEN body || chr(10) || chr(10) ELSE '' END || '### 表格 1' || chr(10) || chr(10) || '| a\\|b | ' || lang || ' |' || chr(10) || '| --- | --- |' || chr(10)
+    || CASE WHEN page % 2 = 0 THEN '| c |  |' ELSE '| c | d e |' END ELSE body END AS content FROM laid),
+rows_ AS (SELECT file, page, source_title, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM (SELECT *, string_split(content, chr(10)) AS l FROM full_ WHERE content <> '')),
+marked AS (SELECT r.*, h.heading IS NOT NULL AS hit, coalesce(h.is_primary, false) AS top FROM rows_ r LEFT JOIN heads h ON h.file = r.file AND h.page = r.page AND h.heading = r.t),
+held AS (
+  SELECT *, sum(hit::INT) OVER (PARTITION BY file, page ORDER BY line) AS blk,
+    last_value(CASE WHEN hit AND top THEN t END IGNORE NULLS) OVER w AS v1, max(CASE WHEN hit AND top THEN page * 1000000 + line END) OVER w AS a1,
+    last_value(CASE WHEN hit AND NOT top THEN t END IGNORE NULLS) OVER w AS v2, max(CASE WHEN hit AND NOT top THEN page * 1000000 + line END) OVER w AS a2
+  FROM marked WINDOW w AS (PARTITION BY file ORDER BY page, line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+placed AS (SELECT *, concat_ws(' > ', source_title, v1, CASE WHEN a1 IS NULL OR a2 > a1 THEN v2 END) AS path FROM held),
+cut AS (
+  SELECT file, page, any_value(source_title) AS source_title, blk, arg_min(path, line) AS path,
+    regexp_replace(string_agg(t, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g') AS content FROM placed GROUP BY file, page, blk),
+ends AS (SELECT file, page, arg_max(path, line) || ' > 第 ' || page || ' 页' AS full_path FROM placed GROUP BY file, page),
+page_docs AS (
+  SELECT 'lib:pdf:' || substring(sha256(file || ':' || page), 1, 16) AS id, source_title || ' · 第 ' || page || ' 页' AS title, full_path, page, path, content, blk
+  FROM cut JOIN ends USING (file, page) WHERE content <> '')"""
+
+
+def _page_docs(spark, sf):
+    """The pages with short lines, so that there are headings to carry from page to page."""
+    return libs.paged_documents(_heads(spark, sf)[0], "lib", "1e")
+
+
+@query(
+    "paged_blocks",
+    f"WITH {PAGE_BLOCKS} SELECT id, full_path, row_number() OVER (PARTITION BY id ORDER BY blk) - 1 AS block, path, content FROM page_docs",
+)
+def _paged_blocks(spark, sf):
+    docs = _page_docs(spark, sf).select("id", "full_path", F.posexplode("structural_blocks").alias("block", "b"))
+    return docs.select("id", "full_path", "block", F.array_join("b.heading_path", " > ").alias("path"), "b.content")
+
+
+@query(
+    "paged_block_chunks",
+    f"""WITH {PAGE_BLOCKS},
+    windows AS (SELECT id, title, path, blk, s, substring(content, s + 1, 500) AS content FROM (
+      SELECT *, unnest(range(0, greatest(length(content), 1), 450)) AS s, length(content) AS n FROM page_docs) WHERE s = 0 OR s < n - 50)
+    SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY blk, s) - 1 AS chunk_index, content, concat_ws(chr(10), title, path, content) AS search_text FROM windows""",
+)
+def _paged_block_chunks(spark, sf):
+    """Blocks feed the chunks: one numbering over the blocks of a page, each chunk under its block's path."""
+    return chunk(_page_docs(spark, sf)).select("doc_id", "chunk_index", "content", "search_text")
+
+
 @query(
     "page_contexts",
     f"""WITH {HEADS}, top AS (SELECT p.file, p.page, arg_max(h.heading, struct_pack(a := h.page, b := h.line)) FILTER (is_primary) AS "primary",

@@ -141,8 +141,11 @@ def layout_text(raw: Column) -> Column:
 def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFrame:
     """One document per (file, page): text, then each table under its number; empty pages drop out.
 
-    `pages` has file, source_title, page, raw_text, tables.
+    `pages` has file, source_title, page, raw_text, tables. The text is cut at the headings of its
+    layout into structural blocks, and headings hold from page to page.
     """
+    from folioscan.operators.structure import page_blocks, page_headings
+
     rendered = F.filter(
         F.transform(
             F.coalesce("tables", F.array().cast("array<array<array<string>>>")),
@@ -159,7 +162,9 @@ def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFram
     )
     rows = pages.withColumn("_tables", rendered).withColumn("content", F.array_join(parts, "\n\n"))
     page_label = F.concat(F.lit("第 "), F.col("page"), F.lit(" 页"))
-    return rows.where(F.col("content") != "").select(
+    full = rows.where(F.col("content") != "").select("file", "page", "source_title", "content", "_tables")
+    cut = page_blocks(full.drop("_tables"), page_headings(pages.select("file", "page", "raw_text")))
+    return full.join(cut, ["file", "page"]).select(
         F.concat(
             F.lit(f"{library_id}:pdf:"),
             F.substring(F.sha2(F.concat_ws(":", "file", F.col("page").cast("string")), 256), 1, 16),
@@ -168,13 +173,17 @@ def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFram
         F.concat(F.lit("source-"), F.substring(F.sha2("source_title", 256), 1, 12)).alias("source_id"),
         "source_title",
         F.concat(F.col("source_title"), F.lit(" · "), page_label).alias("title"),
-        F.concat_ws(" > ", "source_title", page_label).alias("full_path"),
+        F.concat(F.array_join("heading_path", " > "), F.lit(" > "), page_label).alias("full_path"),
         "content",
         F.lit(edition).alias("version"),
         F.lit(0).alias("priority"),
         "file",
         "page",
         F.size("_tables").alias("table_count"),
+        F.lit(2).alias("structure_version"),
+        "heading_path",
+        "inherited_headings",
+        "structural_blocks",
     )
 
 
