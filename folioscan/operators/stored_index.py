@@ -4,9 +4,10 @@ Layout. Documents are dealt by id into blocks of about `BLOCK_DOCS` and numbered
 chunks of a document stay in one block. A row of `postings` holds what one term has in one block:
 the chunks with frequency and length, and a summary of them (shortest chunk by frequency) from
 which the largest contribution of the term in the block follows under any mean length, so later
-statistics never make a stored bound wrong. The empty term lists all chunks. Rows are written by
-term bucket and sorted by term and block. `documents` holds one row per document with what ranking
-needs. `manifest` is written last and names the input and the settings.
+statistics never make a stored bound wrong. The empty term lists all chunks. Each task writes the
+blocks that it indexed as one segment sorted by term, so postings are never shuffled and a reader
+skips the pages of a segment that hold other terms. `documents` holds one row per document with
+what ranking needs. `manifest` is written last and names the input and the settings.
 
 Search. The summaries alone give, for each question and block, a bound of every score in it. The
 blocks with the highest bounds are scored first; the k-th best score there is the bar, and of the
@@ -18,6 +19,7 @@ of the full scoring.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -28,20 +30,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import MarkerRules
-from folioscan.functions.text import let
+from folioscan.functions.text import tokens
 from folioscan.operators import markers
 from folioscan.operators.chunks import chunk
-from folioscan.operators.lexical import B, K1, TIE_DIGITS, query_terms, term_counts, tokenize_chunks, top_k
+from folioscan.operators.lexical import B, K1, TIE_DIGITS, query_terms, top_k
 from folioscan.schemas import conform
 from folioscan.session import cut_lineage
 
 BLOCK_DOCS = 32
-#: Term buckets: one per so many blocks, within bounds.
-BLOCKS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 64, 8, 1_024
-#: Blocks whose rows of a bucket go to one file: a term that every block has is spread over many.
-BLOCKS_PER_FILE = 2_048
-#: Up to this many question terms, only the term buckets that they fall into are read.
+#: Up to this many question terms, the terms themselves are pushed down to the segments.
 PICKED_TERMS = 256
+#: Tokens that a task indexes at once: a block with more of them has several rows a term.
+TOKENS_AT_ONCE = 2_000_000
 #: Blocks that a question looks at before it has a bar.
 FIRST_BLOCKS = 3
 #: Questions and chunks that are multiplied at once.
@@ -51,8 +51,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 #: Scores are compared after rounding to TIE_DIGITS digits and summed in no fixed order.
 SLACK = 1e-6
 VERSION = 1
-_POSTINGS = """block int, ruleset_id string, term string, chunks array<struct<doc_no:int,chunk_index:int,tf:int,length:int>>, n_chunks bigint,
-  shortest_1 int, shortest_2 int, shortest_3 int, shortest_more int, max_tf bigint, bucket int"""
+#: places: document number << 32 | chunk index; counts: frequency << 16 | chunk length in tokens.
+_POSTINGS = """block int, ruleset_id string, term string, places array<bigint>, counts array<int>, n_chunks bigint,
+  shortest_1 int, shortest_2 int, shortest_3 int, shortest_more int, max_tf int"""
 
 
 @dataclass
@@ -97,6 +98,63 @@ def _placed(docs: DataFrame, blocks: int, digest: Column) -> DataFrame:
     return docs.withColumn("block", block).repartition(partitions, "block").withColumn("doc_no", F.row_number().over(inside))
 
 
+def _indexed(blocks: pa.Table) -> pa.RecordBatch:
+    """The postings of whole chunks (block, ruleset_id, doc_no, chunk_index, terms) of one block, by library and term."""
+    n = blocks.num_rows
+    lists = blocks.column("terms").combine_chunks()
+    length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    if n and length.max() > 0xFFFF:
+        raise ValueError("a chunk has more than 65,535 tokens")
+    coded = lists.flatten().dictionary_encode()
+    library = blocks.column("ruleset_id").combine_chunks().dictionary_encode()
+    of = library.indices.to_numpy().astype(np.int64)
+    words = len(coded.dictionary) + 1  # one more for the empty term, which lists all chunks
+    row = np.r_[np.repeat(np.arange(n), length), np.arange(n)]
+    code = np.r_[coded.indices.to_numpy().astype(np.int64), np.full(n, words - 1)]
+    key, tf = np.unique((of[row] * words + code) * n + row, return_counts=True)
+    group, row = key // n, key % n
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    offsets = np.r_[starts, len(key)].astype(np.int32)
+    doc, chunk_index = (blocks.column(c).to_numpy().astype(np.int64) for c in ("doc_no", "chunk_index"))
+
+    def shortest(some: np.ndarray) -> pa.Array:
+        least = np.minimum.reduceat(np.where(some, length[row], 1 << 30), starts)
+        return pa.array(least.astype(np.int32), mask=least == 1 << 30)
+
+    first = group[starts]
+    terms = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([""])]).take(pa.array(first % words))
+    return pa.record_batch(
+        [
+            pa.array(np.full(len(starts), blocks.column("block")[0].as_py(), np.int32)), library.dictionary.take(pa.array(first // words)), terms,
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[row] << 32 | chunk_index[row])),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array((tf << 16 | length[row]).astype(np.int32))),
+            pa.array(np.diff(offsets).astype(np.int64)), *(shortest(tf == k) for k in (1, 2, 3)), shortest(tf > 3),
+            pa.array(np.maximum.reduceat(tf, starts).astype(np.int32)),
+        ],
+        [field.split()[0] for field in _POSTINGS.replace("\n", " ").split(", ")],
+    )
+
+
+def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks come block by block; each block is indexed as it is complete, or when it holds very many tokens."""
+    held: list[pa.Table] = []
+    tokens = 0
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+        whole = pa.Table.from_batches([batch])
+        for a, b in zip(edges, edges[1:]):
+            part = whole.slice(a, b - a)
+            if held and (tokens >= TOKENS_AT_ONCE or held[0].column("block")[0] != part.column("block")[0]):
+                yield _indexed(pa.concat_tables(held))
+                held, tokens = [], 0
+            if b > a:
+                held.append(part)
+                tokens += len(part.column("terms").combine_chunks().flatten())
+    if held:
+        yield _indexed(pa.concat_tables(held))
+
+
 def write_index(
     docs: DataFrame,
     path: str,
@@ -104,42 +162,24 @@ def write_index(
     overlap: int = 50,
     rules: MarkerRules = MarkerRules(),
     block_docs: int = BLOCK_DOCS,
-    buckets: int | None = None,
     digest: str | None = None,
 ) -> StoredIndex:
     """Write the index of `docs` under `path` (which must not exist) and open it.
 
-    The postings of a block are grouped where its texts already are; only grouped rows go on to
-    their term bucket. The manifest comes last, so an aborted build is never read.
+    The postings of a block are made where its texts already are. The manifest comes last, so an
+    aborted build is never read.
     """
     digest = digest or input_digest(docs)
     blocks = max(1, ceil(int(digest.split("-")[0]) / block_docs))
-    buckets = buckets or max(MIN_BUCKETS, min(MAX_BUCKETS, blocks // BLOCKS_PER_BUCKET))
     docs_ = conform(docs)
     placed = _placed(docs_, blocks, F.xxhash64("content"))
     # Chunks keep id and source_id of their document, so these two carry its number and its block.
     numbered = placed.withColumn("id", F.col("doc_no")).withColumn("source_id", F.col("block"))
-    listed = lambda terms: F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("bigint").alias("tf"))), term_counts(terms))
-    tokens = tokenize_chunks(chunk(numbered, size, overlap))
-    counted = tokens.select(
-        F.col("source_id").alias("block"), "ruleset_id", F.col("doc_id").alias("doc_no"), "chunk_index", "length", F.inline(let(F.col("terms"), listed))
-    )
-    shortest = lambda when: F.min(F.when(when, F.col("length")))
-    grouped = counted.groupBy("block", "ruleset_id", "term").agg(
-        F.collect_list(F.struct("doc_no", "chunk_index", F.col("tf").cast("int").alias("tf"), "length")).alias("chunks"),
-        F.count("*").alias("n_chunks"),
-        *(shortest(F.col("tf") == n).alias(f"shortest_{n}") for n in (1, 2, 3)),
-        shortest(F.col("tf") > 3).alias("shortest_more"),
-        F.max("tf").alias("max_tf"),
-    )
-    bucket = F.pmod(F.xxhash64("ruleset_id", "term"), F.lit(buckets)).cast("int")
-    (
-        grouped.withColumn("bucket", bucket)
-        .repartition("bucket", F.floor(F.col("block") / BLOCKS_PER_FILE))
-        .sortWithinPartitions("bucket", "ruleset_id", "term", "block")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
+    cut = chunk(numbered, size, overlap).select(
+        F.col("source_id").alias("block"), "ruleset_id", F.col("doc_id").alias("doc_no"), "chunk_index", tokens(F.col("search_text")).alias("terms")
     )
+    made = cut.mapInArrow(_index_blocks, _POSTINGS)
+    made.sortWithinPartitions("ruleset_id", "term", "block").write.parquet(f"{path}/postings")
     # The flags come from the opening of each text, before any shuffle.
     name = F.struct("id", "ruleset_id", "source_id", F.xxhash64("content").alias("digest"))
     flags = markers.document_flags(docs_.withColumn("id", name), rules).select(
@@ -150,14 +190,14 @@ def write_index(
     numbered.sortWithinPartitions("block", "doc_no").write.parquet(f"{path}/documents")
     spark = docs.sparkSession
     directory = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("term") == "")
-    lengths = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda acc, c: acc + c["length"])
+    lengths = F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, c: acc + c.bitwiseAND(0xFFFF))
     stats = directory.select("ruleset_id", "n_chunks", lengths.alias("tokens")).groupBy("ruleset_id").agg(
         F.sum("n_chunks").alias("chunk_count"), F.greatest(F.sum("tokens") / F.sum("n_chunks"), F.lit(1.0)).alias("average_length")
     )
     stats.coalesce(1).write.parquet(f"{path}/stats")
     top = spark.read.parquet(f"{path}/documents").agg(F.max(F.greatest(F.lit(0), F.col("priority")))).first()[0] or 0
-    about = {"version": VERSION, "digest": digest, "size": size, "overlap": overlap, "buckets": buckets, "max_priority": top, "rules": str(rules)}
-    kinds = "version int, digest string, size int, overlap int, buckets int, max_priority int, rules string"
+    about = {"version": VERSION, "digest": digest, "size": size, "overlap": overlap, "max_priority": top, "rules": str(rules)}
+    kinds = "version int, digest string, size int, overlap int, max_priority int, rules string"
     spark.createDataFrame([tuple(about.values())], kinds).coalesce(1).write.parquet(f"{path}/manifest")
     return read_index(spark, path, docs)
 
@@ -209,8 +249,7 @@ def _asked(queries: DataFrame, index: StoredIndex) -> _Asked:
     vocabulary = wanted.select("ruleset_id", "term").distinct()
     postings = index.postings
     if rows <= PICKED_TERMS:
-        number = F.pmod(F.xxhash64("ruleset_id", "term"), F.lit(index.manifest["buckets"])).cast("int")
-        postings = postings.where(F.col("bucket").isin([r[0] for r in vocabulary.select(number).distinct().collect()]))
+        postings = postings.where(F.col("term").isin([r[0] for r in vocabulary.select("term").distinct().collect()]))
     summaries = ["ruleset_id", "term", "block", "n_chunks", "shortest_1", "shortest_2", "shortest_3", "shortest_more", "max_tf"]
     stats = F.broadcast(index.stats)  # one row a library
     headers = cut_lineage(
@@ -261,8 +300,9 @@ def _block_scorer(limit: int, groups: np.ndarray, query_type: pa.DataType, k1: f
     def score(lists: pa.Table, documents: pa.Table) -> pa.Table:
         if not lists.num_rows or not documents.num_rows:
             return none
-        row, at = flat(lists.column("chunks"))
-        doc, chunk, tf, length = (at.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("doc_no", "chunk_index", "tf", "length"))
+        row, at = flat(lists.column("places"))
+        place, counts = at.to_numpy(), flat(lists.column("counts"))[1].to_numpy()
+        doc, tf, length = place >> 32, counts >> 16, counts & 0xFFFF
         mean = lists.column("average_length").to_numpy()[row]
         contribution = tf / (tf + k1 * (1.0 - b + b * length / mean))
         # One row per document; its questions are those that the block is open for.
@@ -272,7 +312,7 @@ def _block_scorer(limit: int, groups: np.ndarray, query_type: pa.DataType, k1: f
         flags, lift = documents.column("flags").to_numpy()[order], np.maximum(0, documents.column("priority").to_numpy()[order]) / 10000.0
         titled_row, titled = flat(documents.column("titled").take(pa.array(order)))
         here = np.isin(doc, known)
-        row, doc, chunk, contribution = row[here], doc[here], chunk[here], contribution[here]
+        row, place, contribution = row[here], place[here], contribution[here]
         asker_row, who = flat(lists.column("askers"))
         open_to = documents.column("open")[0].values
         ids, gains, question_flags, bars = (who.field(n) for n in ("query_id", "gain", "flags", "bar"))
@@ -291,7 +331,7 @@ def _block_scorer(limit: int, groups: np.ndarray, query_type: pa.DataType, k1: f
         for d, q in zip(titled_row.tolist(), titled.to_pylist()):
             if q in number:
                 forced[d, number[q]] = True
-        place, chunk_of = np.unique(doc << 32 | chunk, return_inverse=True)
+        place, chunk_of = np.unique(place, return_inverse=True)
         parts = []
         for c in range(0, len(place), CHUNK_TILE):
             end = min(c + CHUNK_TILE, len(place))
@@ -324,8 +364,8 @@ def _score_blocks(asked: _Asked, askers: DataFrame, documents: DataFrame, open_p
     """query_id, block, doc_no, chunk_index, match_score: each block's best documents for the questions it is open for."""
     query_type = dict(askers.select(F.explode("askers").alias("a")).select("a.query_id").dtypes)["query_id"]
     open_to = open_pairs.groupBy("block").agg(F.collect_set("query_id").alias("open"))
-    lists = asked.postings.select("ruleset_id", "term", "block", "chunks").join(_small(askers, asked.rows, 96), ["ruleset_id", "term"])
-    lists = lists.join(open_to.select("block"), "block", "left_semi").select("block", "chunks", "average_length", "askers")
+    lists = asked.postings.select("ruleset_id", "term", "block", "places", "counts").join(_small(askers, asked.rows, 96), ["ruleset_id", "term"])
+    lists = lists.join(open_to.select("block"), "block", "left_semi").select("block", "places", "counts", "average_length", "askers")
     by_title = titled.groupBy("block", "doc_no").agg(F.collect_set("query_id").alias("titled"))
     side = documents.join(open_to, "block").join(by_title, ["block", "doc_no"], "left").select(
         "block", "doc_no", "priority", (F.col("is_favored").cast("int") + 2 * F.col("is_multiclass").cast("int")).alias("flags"),

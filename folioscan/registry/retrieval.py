@@ -45,7 +45,7 @@ def _stored_terms(spark, sf):
     rows = stored_library(spark, sf).postings.where(F.col("term") != "")
     return rows.groupBy("term").agg(
         F.sum("n_chunks").alias("df"),
-        F.sum(F.aggregate("chunks", F.lit(0).cast("bigint"), lambda n, c: n + c["tf"])).alias("occurrences"),
+        F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda n, c: n + F.shiftright(c, 16))).alias("occurrences"),
         F.max("max_tf").alias("max_tf"),
         F.min("shortest_1").alias("shortest_once"),
     )
