@@ -54,7 +54,8 @@ def later_copies(texts: DataFrame) -> DataFrame:
     hashed = texts.withColumn("hash", F.xxhash64("body"))
     again = cut_lineage(hashed.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1").select("hash"))
     copies = hashed.join(F.broadcast(again) if again.count() <= BROADCAST_HASHES else again, "hash", "left_semi")
-    first = copies.groupBy(F.col("hash").alias("first_hash"), F.col("body").alias("first_body")).agg(F.min("doc_id").alias("first_id"))
+    # Written out, so that the join reads both sides from shuffles of their own and can split a text with very many copies.
+    first = cut_lineage(copies.groupBy(F.col("hash").alias("first_hash"), F.col("body").alias("first_body")).agg(F.min("doc_id").alias("first_id")))
     witness = (F.col("hash") == F.col("first_hash")) & (F.col("body") == F.col("first_body")) & (F.col("first_id") < F.col("doc_id"))
     return copies.join(first, witness, "left_semi").drop("hash")
 
