@@ -365,7 +365,8 @@ def _score_blocks(asked: _Asked, askers: DataFrame, documents: DataFrame, open_p
     query_type = dict(askers.select(F.explode("askers").alias("a")).select("a.query_id").dtypes)["query_id"]
     open_to = open_pairs.groupBy("block").agg(F.collect_set("query_id").alias("open"))
     lists = asked.postings.select("ruleset_id", "term", "block", "places", "counts").join(_small(askers, asked.rows, 96), ["ruleset_id", "term"])
-    lists = lists.join(open_to.select("block"), "block", "left_semi").select("block", "places", "counts", "average_length", "askers")
+    open_blocks = cut_lineage(open_to.select("block"))
+    lists = lists.join(_small(open_blocks, open_blocks.count(), 16), "block", "left_semi").select("block", "places", "counts", "average_length", "askers")
     by_title = titled.groupBy("block", "doc_no").agg(F.collect_set("query_id").alias("titled"))
     side = documents.join(open_to, "block").join(by_title, ["block", "doc_no"], "left").select(
         "block", "doc_no", "priority", (F.col("is_favored").cast("int") + 2 * F.col("is_multiclass").cast("int")).alias("flags"),

@@ -206,6 +206,27 @@ def entry_names(title: Column) -> Column:
     return let(collapse_spaces(title), decide)
 
 
+def blocks_in_spans(blocks: DataFrame, spans: DataFrame, lanes: list[int]) -> DataFrame:
+    """(blocks' columns, lane, start) of each block in each span that holds it: one sweep over a page, no join of ranges.
+
+    spans(doc_id, lane, start, end), ends exclusive. Spans of one lane do not overlap, so the span of a
+    lane that holds a block is the last one that started there, if it has not ended: each block meets
+    at most one span a lane, however many the page has.
+    """
+    open_ = F.struct("start", "end", "lane")
+    marks = spans.groupBy("doc_id", F.col("start").alias("pos")).agg(*(F.max(F.when(F.col("lane") == k, open_)).alias(f"_{k}") for k in lanes))
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = blocks.join(marks, ["doc_id", "pos"], "left")
+    last = F.array(*(F.last(f"_{k}", ignorenulls=True).over(so_far) for k in lanes))
+    held = swept.withColumn("_open", last).select(*blocks.columns, F.explode(F.filter("_open", lambda o: o["end"] > F.col("pos"))).alias("_o"))
+    return held.select(*blocks.columns, F.col("_o.lane").alias("lane"), F.col("_o.start").alias("start"))
+
+
+#: Lanes of entries: heading entries by their level, which nest, and paragraph entries, which follow one another.
+PARAGRAPH_LANE = 7
+LANES = list(range(1, PARAGRAPH_LANE + 1))
+
+
 def entry_spans(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Typed entries of each page: (doc_id, ord, start, end, path, title, entry_type, content, prose).
 
@@ -269,14 +290,12 @@ def entry_spans(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         F.col("text").alias("title"),
         F.when(heading, F.col("path")).otherwise(F.concat("path", F.array("text"))).alias("path"),
         F.when(heading, 0).otherwise(1).alias("round"),
+        F.when(heading, F.least(F.col("level"), F.lit(PARAGRAPH_LANE - 1))).otherwise(PARAGRAPH_LANE).alias("lane"),
         "_full_path",
     )
-    body = (
-        starts.join(blocks.select("doc_id", "pos", "kind", "text"), "doc_id")
-        .where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-        .groupBy("doc_id", "round", "start", "end", "title", "path", "_full_path")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("b"))
-    )
+    inside = blocks_in_spans(blocks.select("doc_id", "pos", "kind", "text"), starts.select("doc_id", "lane", "start", "end"), LANES)
+    gathered = inside.groupBy("doc_id", "lane", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text"))).alias("b"))
+    body = starts.join(gathered, ["doc_id", "lane", "start"])
 
     def text_of(parts: Column, glue: str) -> Column:
         return F.array_join(F.transform(parts, lambda p: p["text"]), glue)
@@ -284,7 +303,7 @@ def entry_spans(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     tail = F.filter("b", lambda p: p["pos"] > F.col("start"))
     texts = settle(
         body.select(
-            "doc_id", "round", "start", "end", "title", "path", "_full_path",
+            "doc_id", "round", "lane", "start", "end", "title", "path", "_full_path",
             strip(text_of(F.filter("b", lambda p: p["text"] != ""), "\n\n")).alias("content"),
             text_of(tail, "\n").alias("_body"),
             strip(text_of(F.filter(tail, lambda p: p["kind"] != "table"), "\n")).alias("prose"),
@@ -309,7 +328,7 @@ def entry_spans(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         typed.withColumn("_c", F.row_number().over(copies))
         .where("_c = 1")
         .withColumn("ord", F.row_number().over(order) - 1)
-        .select("doc_id", "ord", "start", "end", "path", "title", "entry_type", "content")
+        .select("doc_id", "ord", "lane", "start", "end", "path", "title", "entry_type", "content")
     )
 
 
@@ -320,18 +339,15 @@ def split_oversized_entries(entries: DataFrame, blocks: DataFrame, limit: int =
     columns, splits numbered from 10,000.
     """
     large = entries.where(F.length("content") > limit)
-    inside = (
-        large.drop("content", "title")
-        .join(blocks.select("doc_id", "pos", "kind", "text"), "doc_id")
-        .where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    )
+    held = blocks_in_spans(blocks.select("doc_id", "pos", "kind", "text"), large.select("doc_id", "lane", "start", "end"), LANES)
+    inside = held.join(large.drop("content", "title"), ["doc_id", "lane", "start"])
     by_entry = Window.partitionBy("doc_id", "ord").orderBy("pos")
     opener = (F.col("kind") == "paragraph") & F.regexp_like("text", F.lit(rules.FIELD_START))
     seen = inside.withColumn("_o", opener).withColumn("_pk", F.lag("kind").over(by_entry)).withColumn(
         "_pp", F.lag("pos").over(by_entry)
     )
     openers = seen.where("_o").select(
-        "doc_id", "ord", "start", "path", "entry_type",
+        "doc_id", "ord", "lane", F.col("start").alias("_start"), "path", "entry_type",
         F.col("end").alias("_end"),
         "pos",
         F.when(F.col("_pk") == "paragraph", F.col("_pp")).otherwise(F.col("pos")).alias("_from"),
@@ -339,17 +355,19 @@ def split_oversized_entries(entries: DataFrame, blocks: DataFrame, limit: int =
     spans = openers.withColumn("_to", F.coalesce(F.lead("pos").over(by_entry), F.col("_end"))).withColumn(
         "_n", F.row_number().over(by_entry) - 1
     )
-    pieces = (
-        spans.drop("pos")
-        .join(blocks.select("doc_id", "pos", "text"), "doc_id")
-        .where((F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to")))
-        .groupBy("doc_id", "ord", "start", "path", "entry_type", "_from", "_to", "_n")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("b"))
-    )
+    # A piece ends where the next one's field opens and so shares that one's title: neighbours take turns in two lanes.
+    turns = spans.select(
+        "doc_id", "ord", "path", "entry_type", "_n", "_to", F.col("lane").alias("_lane"),
+        (F.col("lane") * 2 + F.col("_n") % 2).cast("int").alias("lane"), F.col("_from").alias("start"), F.col("_to").alias("end"),
+    )
+    parts = blocks_in_spans(blocks.select("doc_id", "pos", "text"), turns.select("doc_id", "lane", "start", "end"), [2 * k + t for k in LANES for t in (0, 1)])
+    gathered = parts.groupBy("doc_id", "lane", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("b"))
+    pieces = turns.join(gathered, ["doc_id", "lane", "start"]).withColumnRenamed("start", "_from")
     title = F.trim(F.split(F.col("b")[0]["text"], "\n")[0])
     split = pieces.select(
         "doc_id",
         (F.lit(1 << 40) + F.col("_n")).alias("ord"),
+        F.col("_lane").alias("lane"),
         F.col("_from").alias("start"),
         F.col("_to").alias("end"),
         F.concat("path", F.array(title)).alias("path"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import facts, grading, state, transcripts
+from folioscan.operators import extractors, facts, grading, state, transcripts
 from folioscan.operators.state import StateRules
 from folioscan.registry.common import LIB, library, query, table
 from folioscan.registry.turns import messages
@@ -432,3 +432,164 @@ def _evaluate_state(spark, sf):
         (c % 5 > 0).alias("revision_ok"), F.when(c % 7 > 0, c % 7 > 1).alias("probe_ok"),
     )
     return grading.evaluate_state(expected, actual, forbidden, overwrites, cases)
+
+
+# --- extractors: each stretch of a source is a ledger, its documents the evidence -----------------
+
+
+def _capitals(goal, evidence):
+    """A fact per document that opens with a capital letter: its first word."""
+    import pandas as pd
+
+    first = evidence["content"].fillna("").str.extract(r"^([A-Z][a-z]*)", expand=False)
+    hit = evidence[first.notna()]
+    return pd.DataFrame({"kind": "opening", "subject": first.dropna(), "value": hit["document_id"], "label": hit["label"], "status": "known"})
+
+
+def _broken(goal, evidence):
+    raise KeyError("a faulty extractor")
+
+
+def _nothing(goal, evidence):
+    return evidence.iloc[:0]
+
+
+def _stray(goal, evidence):
+    return _capitals(goal, evidence).assign(label="no such label")
+
+
+EXTRACTORS = [
+    extractors.Extractor("openings", 1, tuple((f"src{k}", "prose", "1e") for k in range(6)), _capitals),
+    extractors.Extractor("faulty", 1, (("src6", "prose", "1e"),), _broken),
+    extractors.Extractor("old", 1, (("src7", "prose", "1e"),), _capitals, protocol=0),
+    extractors.Extractor("checks", 2, (("src8", "prose", "1e"),), _nothing, evidence_only=True),
+    extractors.Extractor("silent", 1, (("src9", "prose", "1e"),), _nothing),
+    extractors.Extractor("stray", 1, (("src10", "prose", "1e"),), _stray),
+]
+
+
+def _extracted(spark, sf):
+    d = table(spark, sf, "documents")
+    ledger = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 500).cast("string"))
+    ledgers = d.select(ledger.alias("ledger_id"), F.col("source").alias("library_id"), F.lit(" prose ").alias("system"), F.lit("1e").alias("edition"), F.lit("goal").alias("goal")).distinct()
+    evidence = d.select(
+        ledger.alias("ledger_id"), F.concat(F.lit("D"), "doc_id").alias("label"), F.lit("t").alias("title"), F.col("text").alias("content"),
+        F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 1000 == 1, "elsewhere").otherwise(F.col("source")).alias("document_library"),
+    )
+    return extractors.run_extractors(ledgers, evidence, extractors.ExtractorRegistry(EXTRACTORS))
+
+
+_LEDGERS = """e AS (SELECT source || '-' || doc_id // 500 AS ledger_id, source, doc_id, regexp_extract(coalesce(text, ''), '^([A-Z][a-z]*)') AS word, doc_id % 1000 = 1 AS foreign_ FROM documents),
+l AS (SELECT ledger_id, source, bool_or(foreign_) AS bad, count(*) FILTER (word <> '') AS n FROM e GROUP BY ALL),
+s AS (SELECT *, CASE WHEN source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10') THEN 'unregistered' WHEN source = 'src7' THEN 'incompatible'
+    WHEN bad OR source = 'src6' OR (source = 'src10' AND n > 0) THEN 'build_failed' WHEN source = 'src8' THEN 'matched' WHEN source IN ('src9', 'src10') OR n = 0 THEN 'no_facts' ELSE 'matched' END AS status FROM l)"""
+
+
+@query(
+    "extractor_statuses",
+    f"WITH {_LEDGERS} SELECT ledger_id, status, CAST(CASE WHEN status = 'matched' AND source <> 'src8' THEN n ELSE 0 END AS BIGINT) AS records FROM s",
+)
+def _extractor_statuses(spark, sf):
+    return _extracted(spark, sf)[1].select("ledger_id", "status", "records")
+
+
+@query(
+    "extracted_facts",
+    f"WITH {_LEDGERS} SELECT ledger_id, word AS subject, CAST(doc_id AS VARCHAR) AS value, 'D' || doc_id AS label FROM e JOIN s USING (ledger_id) WHERE word <> '' AND status = 'matched' AND s.source <> 'src8'",
+)
+def _extracted_facts(spark, sf):
+    return _extracted(spark, sf)[0].select("ledger_id", "subject", "value", "label")
+
+
+# --- claims about class levels and options: answers made of each row's own numbers --------------------
+
+
+@query(
+    "check_progression",
+    """WITH a AS (SELECT event_id AS answer_id, CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k FROM events),
+    b AS (SELECT answer_id, k % 20 + 1 AS level, k % 9 + 1 AS claimed, least(9, (k % 20 + 2) // 2) AS top, k % 5 AS daily, k % 4 AS circle, [3, 4, 2, 1][k % 4 + 1] AS expected FROM a)
+    SELECT answer_id, 'spell_progression' AS code, concat_ws('|', level, claimed, top) AS detail FROM b WHERE claimed <> top
+    UNION ALL SELECT answer_id, 'spell_slot_count', concat_ws('|', level, circle, daily) FROM b WHERE daily <> expected""",
+)
+def _check_progression(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("answer_id"), (k % 20 + 1).alias("level"), k.alias("k"))
+    top = F.least(F.lit(9), F.floor((F.col("level") + 1) / 2)).cast("string")
+    claim = F.format_string("%d 级法师最高可施展 %d 环。\n%d 级法师每天有 %d 个 %d 环。", "level", F.col("k") % 9 + 1, "level", F.col("k") % 5, F.col("k") % 4)
+    known = rows.select("answer_id", F.lit("class_level").alias("kind"), "level", top.alias("value"), F.lit("3,4,2,1").alias("detail"))
+    return facts.check_progression(rows.select("answer_id", claim.alias("answer")), known)
+
+
+@query(
+    "check_options",
+    """WITH a AS (SELECT doc_id AS answer_id, doc_id AS k, ['猛力攻击', '法术掌握', '一个', '迅捷法术'][doc_id % 4 + 1] AS w FROM documents)
+    SELECT answer_id, 'unsupported_named_option' AS code, w AS detail FROM a
+      WHERE w <> '一个' AND NOT (k % 3 = 0 AND w = '猛力攻击') AND NOT (k % 3 = 1 AND w = '迅捷法术') AND NOT (w = '法术掌握' AND k % 5 <> 0 AND k % 2 = 0)
+    UNION ALL SELECT answer_id, 'bonus_feat_scope', '5|战斗专长' FROM a WHERE k % 5 <> 0 AND k % 7 = 0
+    UNION ALL SELECT answer_id, 'bonus_feat_scope', '5|猛力攻击' FROM a WHERE k % 5 <> 0 AND k % 3 = 0 AND w = '猛力攻击'
+    UNION ALL SELECT answer_id, 'invented_prestige_requirement', '龙脉术士' FROM a WHERE k % 6 <> 0""",
+)
+def _check_options(spark, sf):
+    k = F.col("answer_id")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"))
+    names = F.element_at(F.array(*map(F.lit, ("猛力攻击", "法术掌握", "一个", "迅捷法术"))), (k % 4 + 1).cast("int"))
+    text = F.concat(F.lit("法师在5级奖励专长可选择"), names, F.when(k % 7 == 0, "，属于战斗专长").otherwise(""), F.lit("。\n龙脉术士的进阶条件满足BAB +5"))
+
+    def fact(where, kind, subject, value, detail=None, level=None):
+        return rows.where(where).select("answer_id", F.lit(kind).alias("kind"), F.lit(subject).alias("subject"), F.lit(level).cast("int").alias("level"), value.alias("value"), F.lit(detail).cast("string").alias("detail"))
+
+    known = (
+        fact(k % 3 == 0, "option", "猛力攻击", F.lit("v"), "战斗")
+        .unionByName(fact(k % 3 == 1, "option", "迅捷法术", F.lit("v"), "超魔"))
+        .unionByName(fact(k % 5 != 0, "bonus_scope", "法师", F.when(k % 2 == 0, "法术掌握或超魔").otherwise("超魔"), None, 5))
+        .unionByName(fact(k >= 0, "requirements", "龙脉术士", F.when(k % 6 == 0, "BAB +3").otherwise("施展三环法术")))
+    )
+    return facts.check_options(rows.select("answer_id", F.lit("选专长").alias("goal"), text.alias("answer")), known)
+
+
+@query(
+    "answer_guidance",
+    """WITH q AS (SELECT conv_id, turn, text AS q, CASE WHEN turn % 2 = 0 THEN 'x' ELSE '' END AS v FROM conversations WHERE role = 'user'),
+    spots AS (SELECT conv_id, turn, v, f.field, length(q) - length(string_split(q, f.word)[-1]) - length(f.field) AS place
+      FROM q, (VALUES ('tion', 'tion'), ('ung', 'ung'), ('eaux', 'tion')) f(word, field) WHERE contains(q, f.word)),
+    t AS (SELECT conv_id, turn, v, arg_max(field, struct_pack(a := place, b := field)) AS target_field FROM spots GROUP BY ALL)
+    SELECT conv_id, turn, target_field, CASE WHEN v <> '' THEN 'tion' ELSE '' END AS entities,
+      array_to_string(list_filter(['hue', 'tion', 'ung'], lambda k: k <> target_field AND NOT (k = 'tion' AND v <> '')), ',') AS others FROM t""",
+)
+def _answer_guidance(spark, sf):
+    asked = messages(spark, sf).where("role = 'user'")
+    known = F.create_map(F.lit("hue"), F.lit("red"), F.lit("tion"), F.when(F.col("turn") % 2 == 0, "x").otherwise(""), F.lit("ung"), F.lit("y"))
+    guided = state.answer_guidance(asked.select("conv_id", "turn", F.col("content").alias("question"), known.alias("facts")), RULES)
+    named = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",")
+    return guided.select("conv_id", "turn", "target_field", named("entity_constraints").alias("entities"), named("parallel_state").alias("others"))
+
+
+@query(
+    "fold_state_builds",
+    """WITH m AS (SELECT user_id AS conv_id, event_id AS turn, k, k % 20 + 1 AS l, k % 7 + 1 AS a, k % 5 + 1 AS b FROM (
+      SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS INT) AS k FROM events)),
+    obs AS (
+      SELECT conv_id, turn, 'level' AS kind, '' AS key, CAST(CASE k % 6 WHEN 0 THEN l ELSE a END AS VARCHAR) AS value FROM m WHERE k % 6 IN (0, 1)
+      UNION ALL SELECT conv_id, turn, 'class', unnest(['法师', '战士']), CAST(unnest([a, b]) AS VARCHAR) FROM m WHERE k % 6 = 0
+      UNION ALL SELECT conv_id, turn, 'dip', '盗贼', CAST(a AS VARCHAR) FROM m WHERE k % 6 = 1
+      UNION ALL SELECT conv_id, turn, 'planned', '法师', CAST(l AS VARCHAR) FROM m WHERE k % 6 = 2
+      UNION ALL SELECT conv_id, turn, 'feats', '', '猛力攻击' || chr(1) || '专攻' || l FROM m WHERE k % 6 = 3
+      UNION ALL SELECT conv_id, turn, 'spells', '', '火球术' || chr(1) || '飞行术' FROM m WHERE k % 6 = 4
+      UNION ALL SELECT conv_id, turn, 'preference', '', '更耐打' FROM m WHERE k % 6 = 5
+      UNION ALL SELECT conv_id, turn, 'ability', '力量', CAST(l AS VARCHAR) FROM m WHERE k % 6 = 5)
+    SELECT conv_id, kind, key, arg_max(value, turn) AS value, max(turn) AS turn FROM obs GROUP BY conv_id, kind, key""",
+)
+def _builds(spark, sf):
+    """Each event is a message about a character, in the words of the default rules: level, composition, dip, plan, options, wish."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    level, a, b = k % 20 + 1, k % 7 + 1, k % 5 + 1
+    said = (
+        F.when(k % 6 == 0, F.format_string("角色等级为%d，%d级法师/%d级战士", level, a, b))
+        .when(k % 6 == 1, F.format_string("兼职%d级盗贼", a))
+        .when(k % 6 == 2, F.format_string("计划升法师到%d", level))
+        .when(k % 6 == 3, F.format_string("专长是猛力攻击、专攻%d", level))
+        .when(k % 6 == 4, "火球术、飞行术作为法术")
+        .otherwise(F.format_string("希望更耐打，力量为%d", level))
+    )
+    spoken = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.lit("user").alias("role"), said.alias("content"))
+    return state.fold_observations(state.observations(spoken, ["conv_id"]), ["conv_id"]).select("conv_id", "kind", "key", "value", "turn")

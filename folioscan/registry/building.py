@@ -8,6 +8,7 @@ from folioscan.functions.text import compact_letters
 from folioscan.operators import structure
 from folioscan.operators.chunks import chunk
 from folioscan.registry.common import CHUNKS, LIB, library, query, table
+from folioscan.registry.retrieval import RELEVANT, relevance
 from folioscan.sources import documents, html, library as libs
 
 # --- pages (HTML has no SQL counterpart) ---------------------------------------------------------
@@ -437,6 +438,18 @@ def _audit_summary(spark, sf):
     return structure.audit_summary(_audit(spark, sf))
 
 
+@query(
+    "evaluation_targets",
+    f"""WITH {SIGNALS}, {RELEVANT}, asked AS (SELECT case_id, doc_id FROM rel UNION ALL SELECT DISTINCT case_id, 'no such document' FROM rel),
+    placed AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) - 1 AS position FROM asked)
+    SELECT case_id, position, placed.doc_id, n AS content_length, coalesce(strategy, 'missing') AS strategy FROM placed LEFT JOIN audit USING (doc_id)""",
+)
+def _targets(spark, sf):
+    """Each case lists its documents and one that the library lacks."""
+    found = relevance(spark, sf).groupBy("case_id").agg(F.array_sort(F.array_append(F.collect_set("doc_id"), "no such document")).alias("relevant_ids"))
+    return structure.evaluation_targets(found, _audit(spark, sf)).select("case_id", "position", "doc_id", "content_length", "strategy")
+
+
 @query("transform_corpus")
 def _transform(spark, sf):
     docs, rows = _catalog(spark, sf)

@@ -15,11 +15,12 @@ from folioscan.streaming import limits, turns
 
 @query(
     "metric_windows",
-    f"""WITH {LONG} SELECT date_trunc('hour', e.ts) AS started, metric, count(v) AS count, round(avg(v), 9) AS mean, max(v) AS max
+    f"""WITH {LONG} SELECT date_trunc('hour', e.ts) AS started, metric, count(v) AS count, round(avg(v), 9) AS mean, max(v) AS max,
+      list_sort(list(v))[greatest(1, ceil(0.5 * count(v)))::INT] AS p50, list_sort(list(v))[greatest(1, ceil(0.95 * count(v)))::INT] AS p95
     FROM long JOIN events e USING (event_id) WHERE v IS NOT NULL GROUP BY ALL""",
 )
 def _windows(spark, sf):
-    return turns.metric_windows(turn_metrics(spark, sf)).drop("p50", "p95").withColumn("mean", F.round("mean", 9))
+    return turns.metric_windows(turn_metrics(spark, sf)).withColumn("mean", F.round("mean", 9))
 
 
 WINDOW_MS, LIMIT = 6 * 3600 * 1000, 3

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,15 +222,20 @@ def page_warnings(pages: DataFrame) -> DataFrame:
 
 
 def stage_revision(
-    docs: DataFrame, manifest: dict[str, object], root: str, revision: str
+    docs: DataFrame, manifest: dict[str, object], root: str, revision: str | None = None, report: dict[str, object] | None = None
 ) -> DataFrame:
-    """Check a library build and write it as a new partition; returns its manifest row.
+    """Check a library build and write it as a new revision that no reader sees yet; returns its manifest row.
 
-    Fails on an empty build, a foreign library id, or exact duplicate content.
+    Fails on an empty build, a foreign library id, exact duplicate content, or an import report of
+    another library. The revision is a UTC stamp unless given. Documents come first and the manifest
+    last: without it `publish_revision` refuses, and staging an aborted revision again replaces what it left.
     """
     from folioscan.operators.neardup import exact_duplicates
 
     library_id = str(manifest["id"])
+    revision = revision or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    if report is not None and report.get("libraryId") != library_id:
+        raise ValueError(f"the import report belongs to {report.get('libraryId')}")
     facts = docs.agg(
         F.count("*").alias("n"), F.max(F.when(F.col("ruleset_id") != library_id, F.col("id"))).alias("foreign")
     ).first()
@@ -240,20 +249,36 @@ def stage_revision(
     aliases = [str(a) for a in manifest.get("aliases", [])]  # type: ignore[union-attr]
     if any(not a.strip() for a in aliases):
         raise ValueError("aliases must be non-empty strings")
-    docs.withColumn("library_id", F.lit(library_id)).withColumn("revision", F.lit(revision)).write.mode(
-        "append"
-    ).partitionBy("library_id", "revision").parquet(f"{root}/documents")
+    staged = docs.withColumn("library_id", F.lit(library_id)).withColumn("revision", F.lit(revision))
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("library_id", "revision").parquet(f"{root}/documents")
     row = docs.sparkSession.range(1).select(
         F.lit(library_id).alias("id"),
         *[F.lit(str(manifest[k])).alias(k) for k in ("name", "system", "edition")],
         F.lit(revision).alias("revision"),
         F.lit(facts.n).alias("document_count"),
         F.array(*[F.lit(a) for a in dict.fromkeys(a.strip() for a in aliases)]).cast("array<string>").alias("aliases"),
+        F.lit(None if report is None else json.dumps(report, ensure_ascii=False)).cast("string").alias("import_report"),
     )
     row.write.mode("append").parquet(f"{root}/revisions")
     return row
 
 
+def publish_revision(spark: SparkSession, root: str, library_id: str, revision: str, at: str | None = None) -> None:
+    """Make a staged revision the active one: one appended row. Refuses a revision without a manifest."""
+    known = spark.read.parquet(f"{root}/revisions").where((F.col("id") == library_id) & (F.col("revision") == revision))
+    if known.isEmpty():
+        raise ValueError(f"revision {revision} of {library_id} was not staged")
+    stamp = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    row = spark.range(1).select(F.lit(library_id).alias("library_id"), F.lit(revision).alias("revision"), stamp.alias("activated_at"))
+    row.write.mode("append").parquet(f"{root}/activations")
+
+
+def published_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of all active revisions. The filter is on the partition columns: other revisions are not read."""
+    active = current_revision(spark.read.parquet(f"{root}/activations"))
+    return spark.read.parquet(f"{root}/documents").join(F.broadcast(active), ["library_id", "revision"], "left_semi")  # one row a library
+
+
 def current_revision(activations: DataFrame) -> DataFrame:
     """Active revision per library: the one published last."""
     return activations.groupBy("library_id").agg(F.max_by("revision", "activated_at").alias("revision"))
@@ -281,12 +306,6 @@ def read_catalog(spark: SparkSession, glob: str) -> DataFrame:
 MANIFEST_KEYS = ("ruleset_id", "source_digest", "model", "chunk_size", "chunk_overlap")
 
 
-def manifest_matches(existing: DataFrame, wanted: DataFrame) -> bool:
-    """Whether an index was built from the same source with the same settings."""
-    keys = [k for k in MANIFEST_KEYS if k in existing.columns]
-    return not existing.select(*keys).exceptAll(wanted.select(*keys)).head(1)
-
-
 def new_chunk_vectors(chunks: DataFrame, vectors: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Vector records still missing from the index, with their parents' metadata.
 
@@ -296,17 +315,43 @@ def new_chunk_vectors(chunks: DataFrame, vectors: DataFrame, existing: DataFrame
     return fresh.join(vectors, "chunk_id")
 
 
-def upsert_chunk_vectors(
-    chunks: DataFrame,
-    vectors: DataFrame,
-    path: str,
-    existing: DataFrame | None = None,
-    manifests: tuple[DataFrame, DataFrame] | None = None,
-) -> None:
-    """Append missing vector records; `manifests` (the index's, the wanted one) must agree in source and settings."""
-    if manifests is not None and not manifest_matches(*manifests):
+def upsert_chunk_vectors(chunks: DataFrame, vectors: DataFrame, path: str, manifest: dict[str, object]) -> int:
+    """Bring the vector index under `path` up to date; returns the number of records added.
+
+    `manifest` has MANIFEST_KEYS. An index holds one library and one manifest, which is written first:
+    a build that was cut off goes on where its records end, and one with another source or other
+    settings is refused. `vector_index_status` says whether all records are there.
+    """
+    spark = chunks.sparkSession
+    wanted = tuple(str(manifest[k]) for k in MANIFEST_KEYS)
+    libraries = [r[0] for r in chunks.select("ruleset_id").distinct().limit(2).collect()]
+    if libraries != [manifest["ruleset_id"]]:
+        raise ValueError("an index holds exactly one library, that of its manifest")
+    held = _maybe(spark, f"{path}/manifest")
+    if held is None:
+        schema = ", ".join(f"{k} string" for k in MANIFEST_KEYS)
+        spark.createDataFrame([wanted], schema).coalesce(1).write.parquet(f"{path}/manifest")
+    elif tuple(held.select(*MANIFEST_KEYS).first()) != wanted:
         raise ValueError("the index was built from another source or with other settings; build it anew")
-    libraries = chunks.select("ruleset_id").distinct().limit(2).count()
-    if libraries != 1:
-        raise ValueError("an index holds exactly one library")
-    new_chunk_vectors(chunks, vectors, existing).write.mode("append").parquet(path)
+    records = _maybe(spark, f"{path}/records")
+    before = 0 if records is None else records.count()
+    new_chunk_vectors(chunks, vectors, records).write.mode("append").parquet(f"{path}/records")
+    return spark.read.parquet(f"{path}/records").count() - before
+
+
+def vector_index_status(chunks: DataFrame, path: str) -> dict[str, object]:
+    """Chunks, records, and whether each chunk has one; an index that was never begun has no records."""
+    records = _maybe(chunks.sparkSession, f"{path}/records")
+    expected = chunks.count()
+    missing = expected if records is None else chunks.join(records.select("chunk_id"), "chunk_id", "left_anti").count()
+    return {"chunks": expected, "records": expected - missing, "complete": missing == 0}
+
+
+def _maybe(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under a path, or nothing where none was written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -12,7 +12,9 @@ NAMES = [
     "coordinated_search", "evaluate_retrieval", "exact_duplicates", "corpus_near_duplicates", "rollup_turn_metrics",
     "admit_evidence", "admit_evidence_strict", "trim_history", "route_queries", "decompose", "build_plans", "run_plans",
     "heading_paths", "section_documents", "page_contexts", "fold_state", "grade_answers", "rate_limit", "tool_loop",
-    "tool_timeline", "fold_turn_events", "detect_other_library", "bm25_max_child",
+    "tool_timeline", "fold_turn_events", "detect_other_library", "bm25_max_child", "stored_terms", "knn_recall",
+    "coordinated_hybrid", "paged_blocks", "paged_block_chunks", "metric_windows", "extractor_statuses", "extracted_facts",
+    "check_progression", "check_options", "answer_guidance", "evaluation_targets",
 ]
 
 
