@@ -102,26 +102,31 @@ class ConversationState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         newest = self.composed.get()[0] if self.composed.exists() else None
-        changed = False
+        held = {tuple(at): tuple(v) for at, v in self.values.iterator()}  # a conversation's few values, read and written once
+        before = dict(held)
         for batch in rows:
             for kind, name, turn, pos, value in zip(*(batch[c].tolist() for c in ("kind", "key", "turn", "pos", "value"))):
                 if kind == "class":
                     if newest is not None and turn < newest:
                         continue
                     if newest is None or turn > newest:
-                        for at in [k for k in self.values.keys() if k[0] == "class"]:
-                            self.values.removeKey(at)
+                        held = {at: v for at, v in held.items() if at[0] != "class"}
                         newest = turn
-                        self.composed.update((turn,))
                 at = (kind, name or "")
                 new = (int(turn), int(pos), value)
-                if not self.values.containsKey(at) or new > tuple(self.values.getValue(at)):
-                    self.values.updateValue(at, new)
-                    changed = True
-        if changed:
+                if at not in held or new > held[at]:
+                    held[at] = new
+        for at in before.keys() - held.keys():
+            self.values.removeKey(at)
+        for at, v in held.items():
+            if before.get(at) != v:
+                self.values.updateValue(at, v)
+        if newest is not None:
+            self.composed.update((int(newest),))
+        if held != before:
             version = self.version.get()[0] + 1 if self.version.exists() else 1
             self.version.update((version,))
-            out = [(*key, version, *at, v[2], v[0]) for at, v in self.values.iterator()]
+            out = [(*key, version, *at, v[2], v[0]) for at, v in held.items()]
             yield pd.DataFrame(out, columns=[*self.keys, "version", "kind", "key", "value", "turn"])
 
     def close(self) -> None:

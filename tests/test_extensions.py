@@ -139,6 +139,14 @@ def in_batches(spark, frames):
     return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
+def drain_expiring(df, name, seconds=40):
+    """Expiry by processing time keeps a query running batches without data, so it is stopped after a while."""
+    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).start()
+    query.awaitTermination(seconds)
+    query.stop()
+    return df.sparkSession.table(name)
+
+
 def test_late_rows_of_earlier_batches_give_the_batch_result(spark):
     rows = [("k", s, n) for n, s in enumerate([0, 30, 5, 8, 3, 60, 41, 44, 90, 200, 95, 99, 400, 300, 1000])] + [("m", s, 100 + s) for s in (2, 1, 0, 50, 49)]
     def frame(part):
@@ -161,25 +169,22 @@ def test_ordered_limits_leave_no_state(spark):
 
 
 def test_conversation_state_stream_equals_the_fold(spark):
-    said = messages(spark, SF)
+    said = messages(spark, SF).where("conv_id < 12")
     parts = [said.where(F.pmod(F.xxhash64("turn", "conv_id"), F.lit(3)) == k) for k in (2, 0, 1)]
-    live = drain(ordered.stream_conversation_state(in_batches(spark, parts), ["conv_id"], STATE_RULES), "snapshots")
+    live = drain_expiring(ordered.stream_conversation_state(in_batches(spark, parts), ["conv_id"], STATE_RULES), "snapshots")
     got = ordered.newest_snapshots(live, ["conv_id"]).select("conv_id", "kind", "key", "value", "turn")
     want = turns.current_state(turns.state_values(said, ["conv_id"], STATE_RULES), ["conv_id"]).select("conv_id", "kind", F.coalesce("key", F.lit("")).alias("key"), "value", "turn")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_a_newer_composition_replaces_the_whole(spark):
-    class Rows(dict):
-        pass
-
     schema = "conv_id long, kind string, key string, turn long, pos long, value string"
     observed = [(1, "class", "a", 5, 0, "3"), (1, "class", "b", 5, 1, "2"), (1, "class", "c", 2, 0, "9"), (1, "fact", "x", 1, 0, "old"), (1, "fact", "x", 4, 0, "new"), (1, "class", "d", 7, 0, "6"), (1, "fact", "x", 3, 0, "late")]
     frames = [spark.createDataFrame(observed[k : k + 2], schema) for k in range(0, 7, 2)]
     stateful = in_batches(spark, frames).groupBy("conv_id").transformWithStateInPandas(
         ordered.ConversationState(["conv_id"], ordered.CONVERSATION_TTL_MS), "conv_id long, " + ordered.SNAPSHOT, "Append", "ProcessingTime"
     )
-    got = ordered.newest_snapshots(drain(stateful, "compositions"), ["conv_id"])
+    got = ordered.newest_snapshots(drain_expiring(stateful, "compositions"), ["conv_id"])
     assert sorted((r.kind, r.key, r.value, r.turn) for r in got.collect()) == [("class", "d", "6", 7), ("fact", "x", "new", 4)]
 
 
