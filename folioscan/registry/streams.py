@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscan.registry.answers import RULES as STATE_RULES
-from folioscan.registry.answers import STATE
+from folioscan.registry.answers import STATE, folded
 from folioscan.registry.asking import norm_sql
 from folioscan.registry.audits import LONG, turn_metrics
 from folioscan.registry.common import query, table
@@ -58,7 +58,7 @@ def _sessions(spark, sf):
 
 @query("streamed_state", f"WITH {STATE} SELECT conv_id, kind, key, value, turn FROM folded")
 def _state(spark, sf):
-    return turns.current_state(turns.state_values(messages(spark, sf), ["conv_id"], STATE_RULES), ["conv_id"])
+    return folded(turns.current_state(turns.state_values(messages(spark, sf), ["conv_id"], STATE_RULES), ["conv_id"]))
 
 
 @query(

@@ -96,3 +96,24 @@ def test_tool_entries_keep_errors_and_repeat(spark):
     events = spark.createDataFrame([(*r, "x") for r in rows], "turn_id string, seq long, type string, call_id string, error string, tool_name string")
     got = sorted((r.turn_id, r.seq, r.status, r.error) for r in tool_timeline(events).collect())
     assert got == [("t", 1, "end", "boom"), ("u", 1, "end", None), ("u", 3, "start", None), ("v", 2, "error", "late")]
+
+
+def test_state_queries_match_sql_when_a_planned_class_has_no_level(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    said = [
+        (1, 0, "user", "tzzu den th xx on, the a"), (2, 0, "user", "tzzu den"), (3, 0, "user", "tzzupf 5 an abc"), (4, 0, "user", "tion of wood"),
+    ]
+    schema = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(said, schema).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    docs = spark.createDataFrame([(k, f"src{k}") for k in range(1, 5)], "doc_id long, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("fold_state", "streamed_state", "state_field_count", "enrich_queries", "evaluate_state"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
