@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import MarkerRules, RerankRules
-from folioscan.operators import fusion, lexical, markers, rerank, stored_index, vectors
+from folioscan.operators import fusion, lexical, markers, rerank, scan, stored_index, vectors
 from folioscan.operators.hits import EXCERPT_LIMIT
 
-#: Either form of the lexical index: written and opened again, or tables of the running job.
-Index = lexical.LexicalIndex | stored_index.StoredIndex
+#: The lexical side: an index written and opened again, tables of the running job, or documents that are read for the questions at hand.
+Index = lexical.LexicalIndex | stored_index.StoredIndex | scan.ScannedLibrary
 #: Takes questions, documents, index, limit, sources and marker rules; returns ranked (query_id, doc_id, chunk_index, score, rank).
 Ranker = Callable[[DataFrame, DataFrame, Index, int, list[str] | None, MarkerRules], DataFrame]
 
@@ -45,6 +45,11 @@ def lexical_search(
     queries = require_queries(queries)
     if isinstance(index, stored_index.StoredIndex):
         return stored_index.search_index(queries, index, limit, sources, rules)
+    if isinstance(index, scan.ScannedLibrary):
+        found = scan.search_scan(queries, index, limit, sources, rules)
+        if found is not None:
+            return found
+        index = lexical.build_index(docs, index.size, index.overlap)
     best = lexical.max_child(lexical.bm25_chunk_scores(queries, index, sources))
     doc_side = markers.document_flags(docs, rules).select(
         "doc_id", "priority", "is_reference", "is_favored", "is_multiclass",
@@ -104,7 +109,7 @@ def fusion_rerank(
 def with_excerpts(hits: DataFrame, index: Index) -> DataFrame:
     """Fetch the excerpts of ranked chunks last, so no text travels through the ranking; only chunks of hit documents are joined."""
     wanted = hits.select("doc_id").distinct()
-    chunks = index.chunks_of(wanted) if isinstance(index, stored_index.StoredIndex) else index.chunks.join(wanted, "doc_id", "left_semi")
+    chunks = index.chunks_of(wanted) if isinstance(index, stored_index.StoredIndex | scan.ScannedLibrary) else index.chunks.join(wanted, "doc_id", "left_semi")
     texts = chunks.select(
         "doc_id", "chunk_index", F.substring("content", 1, EXCERPT_LIMIT).alias("excerpt")
     )

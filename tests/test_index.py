@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions.rules import MarkerRules
-from folioscan.operators import ivf, lexical, stored_index, vectors
+from folioscan.operators import ivf, lexical, scan, stored_index, vectors
 from folioscan.plans import search
 from folioscan.schemas import DOCUMENT_COLUMNS, conform
 
@@ -48,6 +48,36 @@ def test_search_equals_full_scoring(spark, written, limit, sources):
     assert listed(got) == listed(search.lexical_search(asked(spark), docs, plain, limit, sources, RULES))
 
 
+def scored(found, value):
+    return sorted((r.query_id, r.doc_id, r.chunk_index, round(r[value], 7)) for r in found.collect())
+
+
+@pytest.mark.parametrize("sources", [None, ["s1", "s2"]])
+def test_scan_equals_joins(spark, written, sources, monkeypatch):
+    docs = written[0]
+    plain, read = lexical.build_index(docs, 200, 20, persist=False), scan.ScannedLibrary(docs, 200, 20)
+    pairs = lexical.bm25_chunk_scores(asked(spark), plain, sources)
+    monkeypatch.setattr(scan, "CHUNK_TILE", 16)
+    monkeypatch.setattr(scan, "QUESTION_TILE", 3)
+    assert scored(scan.chunk_scores(asked(spark), read, sources), "score") == scored(pairs, "score")
+    assert scored(scan.max_child(asked(spark), read, sources), "match_score") == scored(lexical.max_child(pairs), "match_score")
+
+
+@pytest.mark.parametrize("limit, sources, ship", [(3, None, True), (50, None, True), (5, ["s1", "s2"], True), (5, None, False)])
+def test_scanned_search_equals_full_scoring(spark, written, limit, sources, ship, monkeypatch):
+    docs = written[0]
+    monkeypatch.setattr(scan, "CHUNK_TILE", 16)
+    monkeypatch.setattr(scan, "BROADCAST_BYTES", scan.BROADCAST_BYTES if ship else 0)
+    plain, read = lexical.build_index(docs, 200, 20, persist=False), scan.ScannedLibrary(docs, 200, 20)
+    got = search.lexical_search(asked(spark), docs, read, limit, sources, RULES)
+    assert listed(got) == listed(search.lexical_search(asked(spark), docs, plain, limit, sources, RULES))
+    best = scan.max_child(asked(spark), read, sources, limit)
+    order = [F.col("match_score").desc(), F.col("doc_id").asc()]
+    assert scored(lexical.top_k(best, limit, order), "match_score") == scored(
+        lexical.top_k(lexical.max_child(lexical.bm25_chunk_scores(asked(spark), plain, sources)), limit, order), "match_score"
+    )
+
+
 def test_names_as_question_ids(spark, written):
     docs, _, index = written
     named = asked(spark).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
