@@ -1,4 +1,4 @@
-"""Language-model scores: hashed-context bit predictors, mixed in the logistic domain by gated weights and refined adaptively."""
+"""Language-model scores of running text: hashed-context bit predictors, mixed in the logistic domain by gated weights and refined adaptively."""
 
 from __future__ import annotations
 
@@ -15,111 +15,173 @@ from pyspark.sql import functions as F
 from folioscan.llm.quality import fold
 from folioscan.session import cut_lineage
 
-#: Context lengths in bytes of the predictors (-1: the whole word so far), and the table slots of each, as powers of two.
-#: All tables together have a fixed size, about 19 MB of counts.
-ORDERS = (0, 1, 2, 3, 5, -1)
-SLOTS = (8, 16, 18, 19, 19, 20)
+#: Contexts of the predictors: the last 2, 3 and 5 bytes, across words; the word so far, and with it one or two words before it.
+ORDERS = (2, 3, 5, "word", "pair", "triple")
+#: Table slots of each, as powers of two. A line of 16 slots holds a check byte and the 15 nodes of half a byte.
+#: The memory of all tables together is fixed, 28 MB of states; a context that finds no line is as if never seen.
+SLOTS = (20, 21, 22, 22, 23, 23)
 STARTS = np.r_[0, np.cumsum([1 << s for s in SLOTS])].astype(np.int64)
-#: Weight sets: by how often the word so far was seen (powers of two), and three bytes (powers of eight).
+#: Weight sets: by which of the last four predictors know their context, and the bit's place in its half byte.
 GATES = 16 * 4
 BUCKETS = 33
+#: What a state's two halves say about the zeros and the ones seen, at least.
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 16384])
 _CHUNK = 4096
-#: Words that one task learns from, about, and documents that share a row per word.
-WORDS_OF_TASK, BATCH_DOCUMENTS = 300_000, 4_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Documents that share a row per word; bytes of whole documents whose contexts are made at once; bytes of one online step.
+BATCH_DOCUMENTS, STRETCH, STEP = 4_000, 1 << 20, 1 << 15
+_ODD, _MORE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
     x = x * _ODD
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint32(15)
+    x *= _MORE
+    return x ^ (x >> np.uint32(13))
 
 
-def word_bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all words, each closed by a space (the end token, an empty word, by a line feed), and each byte's word."""
-    data = [w.encode("utf-8", "surrogatepass") + b" " if w else b"\n" for w in words]
-    return np.frombuffer(b"".join(data), np.uint8), np.repeat(np.arange(len(data)), [len(x) for x in data])
+def running_text(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all documents, each word closed by a space and each document by a line feed, and each document's size."""
+    joined = pc.binary_join(words, " ")
+    closed = pc.if_else(pc.equal(joined, ""), "\n", pc.binary_join_element_wise(joined, "\n", " "))
+    sizes = pc.binary_length(closed).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer("".join(closed.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8), sizes
 
 
-def contexts(raw: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
-    """A hash per byte and predictor of what stands before it in its word."""
+def word_of_byte(raw: np.ndarray) -> np.ndarray:
+    """Number of the word each byte belongs to; what closes a word is its last byte."""
+    ends = (raw == 32) | (raw == 10)
+    return np.cumsum(ends) - ends
+
+
+def contexts(raw: np.ndarray, owner: np.ndarray, sizes: np.ndarray | None = None) -> list[np.ndarray]:
+    """A hash per byte and predictor of what stands before it in its document, across words.
+
+    `owner` numbers the words; `sizes` are the documents' bytes (one document if not given).
+    """
     size = len(raw)
-    begin = np.r_[True, owner[1:] != owner[:-1]]
-    place = np.arange(size) - np.maximum.accumulate(np.where(begin, np.arange(size), 0))
+    sizes = np.array([size]) if sizes is None else sizes
+    at = np.arange(size, dtype=np.uint32)
+    since = at - np.repeat((np.cumsum(sizes) - sizes).astype(np.uint32), sizes)  # bytes before it in the document
     back = []
-    for k in range(1, max(ORDERS) + 1):
-        before = np.r_[np.zeros(min(k, size), np.uint64), raw[: max(0, size - k)].astype(np.uint64) + np.uint64(1)]
-        back.append(np.where(place >= k, before, np.uint64(0)))
-    with np.errstate(over="ignore"):
-        out = []
-        for order in ORDERS:
-            if order >= 0:
-                h = np.full(size, order + 1, np.uint64)
-                for k in range(order):
-                    h = _spread(h + back[k] * np.uint64(0xD6E8FEB86659FD93))
-            else:  # all bytes so far: a running sum of place-dependent values, less the sum at the word's start
-                term = _spread((raw.astype(np.uint64) + np.uint64(1)) * (_spread(place.astype(np.uint64) + np.uint64(77)) | np.uint64(1)))
-                total = np.cumsum(term) - term
-                first = np.flatnonzero(begin)
-                h = total - np.repeat(total[first], np.diff(np.r_[first, size])) + np.uint64(0x5851F42D)
-            out.append(h)
-    return out
+    for k in range(1, 6):
+        before = np.zeros(size, np.uint32)
+        before[k:] = raw[: max(0, size - k)]
+        before[k:] += np.uint32(1)
+        before[since < k] = 0
+        back.append(before)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if size else np.empty(0, np.int64)
+    lengths = np.diff(np.r_[first, size])
+    place = at - np.repeat(first.astype(np.uint32), lengths)
+    # all bytes of the word so far: a running sum of place-dependent values, less the sum at the word's start
+    term = _spread((raw.astype(np.uint32) + np.uint32(1)) * (_spread(place + np.uint32(77)) | np.uint32(1)))
+    total = np.cumsum(term, dtype=np.uint32)
+    begin = total[first] - term[first]
+    so_far = total - term - np.repeat(begin, lengths)
+    whole = _spread(total[first + lengths - 1] - begin + np.uint32(1))
+    opens = since[first] == 0
+    one = np.r_[np.zeros(1, np.uint32), whole[:-1]][: len(whole)]
+    one[opens] = 0
+    two = np.r_[np.zeros(1, np.uint32), one[:-1]][: len(one)]
+    two[opens] = 0
+    pair = so_far + np.repeat(_spread(one + np.uint32(3)), lengths)
+    byte2 = back[0] | back[1] << np.uint32(9)
+    byte3 = byte2 + back[2] * np.uint32(0x27D4EB2F)
+    byte5 = byte3 + _spread(back[3] | back[4] << np.uint32(9))
+    triple = pair + np.repeat(_spread(two + np.uint32(5)) * _MORE, lengths)
+    return [_spread(x) for x in (byte2, byte3, byte5, so_far, pair, triple)]
+
+
+def lines(hashes: list[np.ndarray], high: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """First slot and check of each predictor's line for the first half of a byte or, after the half `high`, the second."""
+    if high is not None:
+        turn = (high.astype(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE3D)
+        hashes = [_spread(h + turn) for h in hashes]
+    at = [STARTS[k] + ((h >> np.uint32(36 - bits)).astype(np.int64) << 4) for k, (bits, h) in enumerate(zip(SLOTS, hashes))]
+    return at, [np.maximum((h >> np.uint32(3)).astype(np.uint8), 1) for h in hashes]
 
 
 def slots(hashes: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
     """Table indices of each predictor for a byte whose bits so far, after a leading one, are `node`."""
-    with np.errstate(over="ignore"):
-        turn = _spread(node.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        return [
-            STARTS[k] + (_spread(h ^ turn) >> np.uint64(64 - bits)).astype(np.int64) if order else STARTS[k] + (node & 255)
-            for k, (order, bits, h) in enumerate(zip(ORDERS, SLOTS, hashes))
-        ]
+    depth = int(node[0]).bit_length() - 1
+    if depth < 4:
+        return [x + node for x in lines(hashes)[0]]
+    rest = 1 << depth - 4
+    return [x + (rest | node & rest - 1) for x in lines(hashes, node >> (depth - 4) & 15)[0]]
 
 
-class Mixer:
-    """Counts of zeros and ones per slot (2 x slots), weights per gate, and the refining table per gate and bucket (zeros, ones).
+def states_of(counts: np.ndarray) -> np.ndarray:
+    """One byte for each pair of counts (zeros, ones)."""
+    level = [(np.searchsorted(LEVELS, x, "right") - 1).astype(np.uint8) for x in counts]
+    return level[0] << 4 | level[1]
+
+
+_ZEROS, _ONES = LEVELS[np.arange(256) >> 4].astype(float), LEVELS[np.arange(256) & 15].astype(float)
 
-    What a slot predicts and the gate it opens depend on its counts only, so they are tabulated once:
-    [False] with all counts, [True] with one occurrence of the bit at hand (row) taken away.
-    """
+
+def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((np.maximum(ones, 0) + 0.1) / (np.maximum(zeros, 0) + 0.1)), -9, 9)
+
+
+#: What a state predicts: by all that was seen, and less one zero or one one.
+_STRETCHED = np.concatenate([_stretch(_ZEROS, _ONES), _stretch(_ZEROS - 1, _ONES), _stretch(_ZEROS, _ONES - 1)]).astype(np.float32)
+#: Is a context known from a line whose first node has this state; less the occurrence at hand.
+_KNOWN = {False: _ZEROS + _ONES > 0, True: _ZEROS + _ONES > 1}
+
+
+class Mixer:
+    """States of the slots (or counts of zeros and ones, 2 x slots), weights per gate, and the refining table per gate and bucket (zeros, ones)."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None) -> None:
-        self.weights, self.refined, self.size = weights, refined, counts.shape[1]
-        full, less = (np.log(x + np.float32(0.1)) for x in (counts, np.maximum(counts - 1, 0)))
-        self.stretched = {
-            False: np.clip(full[1] - full[0], -9, 9),
-            True: np.clip(np.stack([full[1] - less[0], less[1] - full[0]]), -9, 9).ravel(),
-        }
-        total = counts.sum(axis=0)
-        self.seen = {False: np.log2(total + 1), True: np.log2(np.maximum(total, 1))}
-
-    def inputs(self, at: list[np.ndarray], bit: np.ndarray, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        states = counts if counts.dtype == np.uint8 else states_of(counts)
+        self.states = np.concatenate([states, np.zeros(16, np.uint8)])  # the last line is of contexts never seen
+        self.weights, self.share = weights.astype(np.float32), None
+        if refined is not None:
+            self.share = ((refined[1] + 0.5 * _CENTRES) / (refined.sum(axis=0) + 0.5)).astype(np.float32).ravel()
+
+    def found(self, at: list[np.ndarray], checks: list[np.ndarray], leave_out: bool) -> list[np.ndarray]:
+        """The lines that belong to their contexts; the empty line for the others."""
+        known, none = _KNOWN[leave_out], len(self.states) - 16
+        return [np.where((self.states[x] == c) & known[self.states[x + 1]], x, none) for x, c in zip(at, checks)]
+
+    def gate(self, at: list[np.ndarray]) -> np.ndarray:
+        """Weight set of the first bit in the half byte that any slots `at` belong to."""
+        mask = np.zeros(len(at[0]), np.int64)
+        for k, x in enumerate(at[-4:]):
+            mask |= (self.states[x & -16 | 1] > 0).astype(np.int64) << k
+        return mask * 4
+
+    def inputs(self, at: list[np.ndarray], bit: np.ndarray, leave_out: bool, gate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (predictors and a bias, x bytes) and gates. `leave_out` takes one occurrence of the bit itself away."""
-        shift = bit * self.size if leave_out else 0
-        rows = np.empty((len(at) + 1, len(bit)))
+        gate = self.gate(at) + int(at[0][0] & 15).bit_length() - 1 if gate is None else gate
+        rows = np.empty((len(at) + 1, len(bit)), np.float32)
+        shift = (bit + 1) << 8 if leave_out else None
         for k, slot in enumerate(at):
-            rows[k] = self.stretched[leave_out][slot + shift]
+            state = self.states.take(slot)
+            np.take(_STRETCHED, state + shift if leave_out else state, out=rows[k], mode="clip")
         rows[-1] = 0.3
-        seen = self.seen[leave_out]
-        word = np.minimum(15, seen[at[-1]]).astype(np.int64)
-        three = np.minimum(3, seen[at[3]] / 3).astype(np.int64)
-        return rows, word * 4 + three
+        return rows, gate
 
     def mixed(self, rows: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(gate))
-        for k, row in enumerate(rows):
-            total += self.weights[:, k][gate] * row
-        return np.clip(total, -12, 12)
+        """The weighted sums of each bit's row by its gate; bits of one gate side by side are summed at once."""
+        total = np.empty(len(gate), np.float32)
+        bounds = np.r_[0, np.flatnonzero(gate[1:] != gate[:-1]) + 1, len(gate)]
+        if len(bounds) > 100:
+            return np.clip(np.einsum("kn,nk->n", rows, self.weights[gate]), -12, 12)
+        for low, high in zip(bounds.tolist(), bounds[1:].tolist()):
+            np.dot(self.weights[gate[low]], rows[:, low:high], out=total[low:high])
+        return np.clip(total, -12, 12, out=total)
 
     def final(self, stretched: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixed one, and half of it from the refining table, read between its two nearest buckets."""
         p = 1 / (1 + np.exp(-stretched))
-        if self.refined is not None:
-            share = (self.refined[1] + 0.5 * _CENTRES) / (self.refined.sum(axis=0) + 0.5)
-            place = (stretched + 12) / 24 * (BUCKETS - 1)
+        if self.share is not None:
+            place = (stretched + np.float32(12)) * np.float32((BUCKETS - 1) / 24)
             low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-            part = place - low
-            p = 0.5 * p + 0.5 * (share[gate, low] * (1 - part) + share[gate, low + 1] * part)
-        return np.clip(p, 1e-7, 1 - 1e-7)
+            part = place - low.astype(np.float32)
+            low += gate * BUCKETS
+            below = self.share.take(low)
+            p = np.float32(0.5) * (p + below + part * (self.share.take(low + 1) - below))
+        return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
 
 
 _CENTRES = 1 / (1 + np.exp(-np.linspace(-12, 12, BUCKETS)))[None, :]
@@ -133,62 +195,136 @@ def _bits(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = 2 * node + bit
 
 
-def counted(words: list[str], weights: np.ndarray, counts: np.ndarray) -> None:
-    """Add the bits of `words`, `weights` times each, to `counts`."""
-    raw, owner = word_bytes(words)
-    hashes, weight = contexts(raw, owner), weights[owner].astype(np.float64)
-    for node, bit in _bits(raw):
-        for slot, low, high in zip(slots(hashes, node), STARTS, STARTS[1:]):
-            if high - low <= len(bit):
-                both = np.bincount(2 * (slot - low) + bit, weight, 2 * (high - low))
-                counts[0][low:high] += both[::2]
-                counts[1][low:high] += both[1::2]
-            else:  # a few bits for a large table
-                np.add.at(counts, (bit, slot), weight)
-
-
-def tuned(mixer: Mixer, words: list[str], weights: np.ndarray, curves: np.ndarray, table: np.ndarray) -> None:
-    """One online step: each gate's weights move against the coding error of its bits, by a Newton step over all curvature
-    so far (`curves`); the bits, mixed anew, then go to the two nearest buckets of their gate in the refining `table`."""
-    raw, owner = word_bytes(words)
-    hashes, weight = contexts(raw, owner), weights[owner].astype(np.float64)
-    push, seen = np.zeros_like(mixer.weights), []
-    for node, bit in _bits(raw):
-        rows, gate = mixer.inputs(slots(hashes, node), bit, True)
-        seen.append((rows, gate, bit))
-        p = 1 / (1 + np.exp(-mixer.mixed(rows, gate)))
-        error, curve = weight * (bit - p), weight * np.maximum(p * (1 - p), 1e-4)
-        order = np.argsort(gate, kind="stable")
-        bounds = np.searchsorted(gate[order], np.arange(GATES + 1))
-        sorted_rows, error, curve = rows[:, order], error[order], curve[order]
-        for g in np.flatnonzero(np.diff(bounds)):
-            some = slice(bounds[g], bounds[g + 1])
-            push[g] += sorted_rows[:, some] @ error[some]
-            curves[g] += (sorted_rows[:, some] * curve[some]) @ sorted_rows[:, some].T
-    mixer.weights += np.linalg.solve(curves, push[:, :, None])[:, :, 0]
-    for rows, gate, bit in seen:
-        place = (mixer.mixed(rows, gate) + 12) / 24 * (BUCKETS - 1)
-        low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-        part = place - low
-        for side in (0, 1):
-            w = weight * (bit == side)
-            for at, share in ((low, 1 - part), (low + 1, part)):
-                table[side] += np.bincount(gate * BUCKETS + at, w * share, GATES * BUCKETS).reshape(GATES, BUCKETS)
-
-
-def word_scores(mixer: Mixer, words: list[str]) -> np.ndarray:
-    """log10 probability of each word and what closes it."""
-    raw, owner = word_bytes(words)
-    hashes, total = contexts(raw, owner), np.zeros(len(raw))
-    for node, bit in _bits(raw):
-        rows, gate = mixer.inputs(slots(hashes, node), bit, False)
-        p = mixer.final(mixer.mixed(rows, gate), gate)
-        total += np.log10(np.where(bit == 1, p, 1 - p))
-    return np.bincount(owner, total, len(words))
-
-
-_HEADS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())]))
-_HEAD_TYPE = "array<struct<doc_id:bigint,n_tokens:bigint,bytes:bigint>>"
+def _steps(raw: np.ndarray, hashes: list[np.ndarray], size: int = STEP) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray]]]:
+    for at in range(0, len(raw), size):
+        some = slice(at, at + size)
+        yield some, raw[some], [h[some] for h in hashes]
+
+
+def _halves(raw: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """The two half bytes, with the lines and checks of their contexts."""
+    high = raw >> 4
+    yield (high, *lines(hashes))
+    yield (raw & 15, *lines(hashes, high))
+
+
+class Counts:
+    """What one task has seen: for each line its check, the 16 half bytes that followed, and hits less misses.
+
+    A line counts for one context at a time; a context that misses it more often than it was hit takes it over.
+    """
+
+    def __init__(self) -> None:
+        total = int(STARTS[-1])
+        self.seen = np.zeros(total + 1, np.int32)  # the last slot takes what finds no line
+        self.check, self.worth = np.zeros(total // 16, np.uint8), np.zeros(total // 16, np.int32)
+
+    def add(self, raw: np.ndarray, hashes: list[np.ndarray]) -> None:
+        by_line, nowhere = self.seen[:-1].reshape(-1, 16), len(self.seen) - 1
+        one, ones = np.int32(1), np.ones(STEP, np.int32)
+        for _, some, own in _steps(raw, hashes):
+            for half, at, checks in _halves(some, own):
+                for first, check in zip(at, checks):
+                    line, slot = first >> 4, first + half
+                    hit = self.check.take(line) == check
+                    np.add.at(self.worth, line, np.where(hit, one, -one))
+                    missed = np.flatnonzero(~hit)
+                    if len(missed):
+                        lost = line[missed]
+                        over = self.worth[lost] < 0
+                        taken = lost[over]
+                        self.check[taken] = check[missed[over]]
+                        by_line[taken] = 0
+                        self.worth[taken] = 1
+                        slot = np.where(self.check.take(line) == check, slot, nowhere)
+                    np.add.at(self.seen, slot, ones[: len(slot)])
+
+    def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """Number, checks and counts of each stretch of lines that has any."""
+        for chunk in np.unique(np.flatnonzero(self.check) // _CHUNK).tolist():
+            seen = self.seen[chunk * _CHUNK * 16 : min((chunk + 1) * _CHUNK * 16, len(self.seen) - 1)]
+            yield chunk, self.check[chunk * _CHUNK : (chunk + 1) * _CHUNK].tobytes(), seen.astype("<u2" if seen.max() < 65536 else "<u4").tobytes()
+
+
+def merged(checks: list[bytes], counts: list[bytes]) -> bytes:
+    """States of a stretch of lines that several tasks counted: each line goes to the context seen most by one task, with all its counts."""
+    checks = [np.frombuffer(x, np.uint8) for x in checks]
+    counts = [np.frombuffer(x, "<u2" if len(x) == 32 * len(c) else "<u4").reshape(-1, 16) for x, c in zip(counts, checks)]
+    best, owner = np.zeros(len(checks[0]), np.int64), np.zeros(len(checks[0]), np.uint8)
+    for check, seen in zip(checks, counts):
+        total = seen.sum(axis=1, dtype=np.int64)
+        more = (total > best) | ((total == best) & (check > owner))
+        best[more], owner[more] = total[more], check[more]
+    summed = np.zeros((len(owner), 16), np.int64)
+    for check, seen in zip(checks, counts):
+        summed += np.where((check == owner)[:, None], seen, 0)
+    out = np.zeros((len(owner), 16), np.uint8)
+    out[:, 0] = owner
+    for depth in range(4):
+        sides = summed.reshape(len(owner), 1 << depth, 2, 8 >> depth).sum(axis=3)
+        out[:, 1 << depth : 2 << depth] = states_of(np.moveaxis(sides, 2, 0))
+    return out.tobytes()
+
+
+def _sorted_halves(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], leave_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Order by weight set, half bytes, first gates and lines in that order, for both halves of each byte."""
+    for half, at, checks in _halves(raw, hashes):
+        at = mixer.found(at, checks, leave_out)
+        gate = mixer.gate(at)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        yield order, half.astype(np.int64)[order], gate[order], [x[order] for x in at]
+
+
+def tuned(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], curves: np.ndarray, table: np.ndarray) -> None:
+    """One online step: bits are predicted without their own occurrence and go to the nearest bucket of their gate in the refining
+    `table`; then each gate's weights move against their coding error, by a Newton step over all curvature so far (`curves`)."""
+    push = np.zeros(mixer.weights.shape)
+    for _, half, first, at in _sorted_halves(mixer, raw, hashes, True):
+        bounds = np.searchsorted(first, np.arange(0, GATES + 4, 4))
+        for depth in range(4):
+            node, bit, gate = 1 << depth | half >> (4 - depth), half >> (3 - depth) & 1, first + depth
+            rows, _ = mixer.inputs([x + node for x in at], bit, True, gate)
+            stretched = mixer.mixed(rows, gate)
+            bucket = ((stretched + np.float32(12)) * np.float32((BUCKETS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+            table += np.bincount((bit * GATES + gate) * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
+            p = 1 / (1 + np.exp(-stretched))
+            error, curve = bit.astype(np.float32) - p, np.maximum(p * (1 - p), np.float32(1e-4))
+            for g in np.flatnonzero(np.diff(bounds)).tolist():
+                some = slice(bounds[g], bounds[g + 1])
+                x = rows[:, some]
+                push[g * 4 + depth] += x @ error[some]
+                curves[g * 4 + depth] += (x * curve[some]) @ x.T
+    mixer.weights += np.linalg.solve(curves, push[:, :, None])[:, :, 0].astype(np.float32)
+
+
+def byte_scores(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each byte after what stands before it."""
+    out = np.empty(len(raw))
+    for some, part, own in _steps(raw, hashes):
+        product = np.ones(len(part))
+        for order, half, first, at in _sorted_halves(mixer, part, own, False):
+            chance = 1.0
+            for depth in range(4):
+                bit, gate = half >> (3 - depth) & 1, first + depth
+                rows, _ = mixer.inputs([x + (1 << depth | half >> (4 - depth)) for x in at], bit, False, gate)
+                p = mixer.final(mixer.mixed(rows, gate), gate)
+                chance = chance * np.where(bit == 1, p, 1 - p)
+            product[order] *= chance
+        out[some] = np.log10(product)
+    return out
+
+
+def _stretches(words: pa.ListArray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Bytes, contexts and document sizes of whole documents, about STRETCH bytes at a time."""
+    sizes = pc.binary_length(pc.binary_join(words, " ")).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.empty(0, np.int64)
+    group = np.cumsum(sizes) // STRETCH
+    for start in np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []:
+        raw, own = running_text(words.slice(start, int(np.count_nonzero(group == group[start]))))
+        yield raw, contexts(raw, word_of_byte(raw), own), own
+
+
+_HEADS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("score", pa.float64())]))
+_HEAD_TYPE = "array<struct<doc_id:bigint,n_tokens:bigint,bytes:bigint,score:double>>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +333,22 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_DOCUMENTS)
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Document number and code of each token of a batch, and the words of the codes; code 0 is the end token, of each document once."""
+def _words(batch: pa.RecordBatch) -> pa.ListArray:
+    """The words of each document of a batch."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(1), "")))
+    flat = parts.flatten()
+    real = pc.not_equal(flat, "")
+    kept = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    offsets = kept[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat.filter(real))
+
+
+def _tokens(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Document number and code of each token of a batch, and the words of the codes; code 0 is the end token, of each document once."""
     coded = pa.concat_arrays([pa.array([""]), parts.flatten()]).dictionary_encode()
-    codes = coded.indices.to_numpy()[1:]
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()).astype(np.int64))
-    real = codes > 0
-    doc, codes = np.r_[doc[real], np.arange(batch.num_rows)], np.r_[codes[real], np.zeros(batch.num_rows, codes.dtype)]
-    return doc, codes.astype(np.int64), coded.dictionary.to_pylist()
+    doc = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()).astype(np.int64))
+    codes = np.r_[coded.indices.to_numpy()[1:], np.zeros(len(parts), np.int32)]
+    return np.r_[doc, np.arange(len(parts))], codes.astype(np.int64), coded.dictionary.to_pylist()
 
 
 def _learnt(names: list[int | None], held_out: int, folds: int) -> np.ndarray:
@@ -217,35 +360,40 @@ def word_table(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            doc, codes, words = _tokens(batch)
+            doc, codes, words = _tokens(_words(batch))
             own = _learnt(batch.column(0).to_pylist(), held_out, folds)[doc]
             yield pa.record_batch([pa.array(words, pa.string()), pa.array(np.bincount(codes[own], minlength=len(words)))], ["word", "count"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, model: tuple[Broadcast, np.ndarray, np.ndarray]) -> DataFrame:
     """word, batch, docs, times, heads: for each word of a batch of documents the numbers of those that have it and how often;
-    heads (doc_id, n_tokens and bytes in the order of numbers) stand beside the end token only."""
+    heads (doc_id, n_tokens, bytes and the score of the running text, in the order of numbers) stand beside the end token only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, mixer = TaskContext.get().partitionId() << 32, Mixer(model[0].value, *model[1:])
         for batch in _parts(batches):
             number += 1
-            doc, codes, words = _tokens(batch)
+            parts = _words(batch)
+            size, score = [], []
+            for raw, hashes, own in _stretches(parts):
+                size.append(own)
+                score.append(np.bincount(np.repeat(np.arange(len(own)), own), byte_scores(mixer, raw, hashes), len(own)))
+            doc, codes, words = _tokens(parts)
             tokens = np.bincount(doc, minlength=batch.num_rows)
-            sizes = np.array([len(x.encode()) + 1 for x in words])
-            heads = [{"doc_id": i, "n_tokens": n, "bytes": b} for i, n, b in zip(batch.column(0).to_pylist(), tokens.tolist(), np.bincount(doc, sizes[codes], batch.num_rows).astype(int).tolist())]
+            columns = [batch.column(0), pa.array(tokens), pa.array(np.concatenate(size)), pa.array(np.concatenate(score))]
+            heads = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _HEADS.value_type)], fields=list(_HEADS.value_type))
+            heads = pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), heads)
             key, times = np.unique(codes * batch.num_rows + doc, return_counts=True)
             code, doc = key // batch.num_rows, key % batch.num_rows
             offsets = pa.array(np.searchsorted(code, np.arange(len(words) + 1)).astype(np.int32))
-            heads = pa.array([heads], _HEADS)
             rows = [
                 pa.array(words, pa.string()),
                 pa.array(np.full(len(words), number)),
                 pa.ListArray.from_arrays(offsets, pa.array(doc.astype(np.int32))),
                 pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                pa.concat_arrays([heads, pa.nulls(len(words) - 1, _HEADS)]),
+                pa.concat_arrays([heads.cast(_HEADS), pa.nulls(len(words) - 1, _HEADS)]),
             ]
             for at in range(0, len(words), 20_000):
                 yield pa.record_batch([x.slice(at, 20_000) for x in rows], ["word", "batch", "docs", "times", "heads"])
@@ -253,74 +401,77 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"word string, batch bigint, docs array<int>, times array<int>, heads {_HEAD_TYPE}")
 
 
-def fit_mixer(words: DataFrame, tasks: int, step_words: int = 2_000) -> tuple[Broadcast, np.ndarray, np.ndarray]:
-    """Learn from all words of `words` (word, count), as often as they count.
+def fit_mixer(docs: DataFrame, held_out: int = 2, folds: int = 7) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """Learn from the running text of all documents outside the fold `held_out`.
 
-    Two passes: counts of all contexts' bits, added up by chunk of slots; then mixing weights and the
-    refining table, learnt online by each task and averaged by its tokens or added up. The second
-    leaves the bit at hand out of its own counts. What reaches the driver has the fixed size of the tables.
-    Returns the counts (broadcast once), weights and refining table of a Mixer.
+    Two passes: what follows each context, counted by tasks and merged by stretch of lines; then mixing
+    weights and the refining table, learnt online by each task in document order and averaged by its bytes
+    or added up. The second leaves the occurrence at hand out of its own counts. What reaches the driver
+    has the fixed size of the tables. Returns the states (broadcast once), weights and refining table of a Mixer.
     """
-    spark = words.sparkSession
-    known = words.where("count > 0").repartition(tasks, "word").sortWithinPartitions(F.xxhash64("word"), "word")
-    total = int(STARTS[-1])
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", "text")
 
-    def portions(batches: Iterator[pa.RecordBatch], rows: int = step_words) -> Iterator[tuple[list[str], np.ndarray]]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                yield part.column(0).to_pylist(), part.column(1).to_numpy()
+    def training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        for batch in _parts(batches):
+            yield from _stretches(_words(batch.filter(pa.array(_learnt(batch.column(0).to_pylist(), held_out, folds)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, total))
-        for some, weights in portions(batches, 10_000):
-            counted(some, weights, counts)
-        for chunk in np.unique(np.flatnonzero(counts.any(axis=0)) // _CHUNK).tolist():
-            data = counts[:, chunk * _CHUNK : (chunk + 1) * _CHUNK].astype("<f4").tobytes()
-            yield pa.record_batch([pa.array([chunk]), pa.array([data], pa.binary())], ["chunk", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        summed = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) for x in table.column("data")).astype("<f4")
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([summed.tobytes()], pa.binary())})
-
-    chunks = known.mapInArrow(count, "chunk bigint, data binary").groupBy("chunk").applyInArrow(add, "chunk bigint, data binary").toArrow()
-    counts = np.zeros((2, total), np.float32)
+        counts = None
+        for raw, hashes, _ in training(batches):
+            counts = counts or Counts()
+            counts.add(raw, hashes)
+        for chunk, check, seen in counts.chunks() if counts else ():
+            yield pa.record_batch([pa.array([chunk]), pa.array([check], pa.binary()), pa.array([seen], pa.binary())], ["chunk", "checks", "seen"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        data = merged(table.column("checks").to_pylist(), table.column("seen").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([data], pa.binary())})
+
+    counted = texts.mapInArrow(count, "chunk bigint, checks binary, seen binary")
+    chunks = counted.groupBy("chunk").applyInArrow(merge, "chunk bigint, data binary").toArrow()
+    states = np.zeros(int(STARTS[-1]), np.uint8)
     for chunk, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data")):
-        counts[:, chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(data.as_py(), "<f4").reshape(2, -1)
-    shared = spark.sparkContext.broadcast(counts)
+        part = np.frombuffer(data.as_py(), np.uint8)
+        states[chunk * _CHUNK * 16 : chunk * _CHUNK * 16 + len(part)] = part
+    shared = spark.sparkContext.broadcast(states)
     initial = np.full((GATES, len(ORDERS) + 1), 0.2)
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, weight = Mixer(shared.value, initial.copy()), 0.0
+        mixer, weight, step = Mixer(shared.value, initial), 0.0, 0
         table = np.zeros((2, GATES, BUCKETS))
         curves = np.tile(20.0 * np.eye(initial.shape[1]), (GATES, 1, 1))
-        for step, (some, weights) in enumerate(portions(batches), 1):
-            if step & (step - 1) == 0:
-                table[:] = 0  # the table starts anew at every doubling: it forgets what weights far from the last ones gave
-            tuned(mixer, some, weights, curves, table)
-            weight += float(weights.sum())
+        flat = table.reshape(-1)
+        for raw, hashes, _ in training(batches):
+            for _, some, own in _steps(raw, hashes):
+                step += 1
+                if step & (step - 1) == 0:
+                    flat[:] = 0  # the table starts anew at every doubling: it forgets what weights far from the last ones gave
+                tuned(mixer, some, own, curves, flat)
+                weight += len(some)
         if weight:
             learnt = (mixer.weights.astype("<f8").tobytes(), table.astype("<f8").tobytes())
             yield pa.record_batch([pa.array([weight]), *(pa.array([x], pa.binary()) for x in learnt)], ["weight", "data", "table"])
 
-    parts = known.mapInArrow(tune, "weight double, data binary, table binary").toArrow()
+    parts = texts.mapInArrow(tune, "weight double, data binary, table binary").toArrow()
     weight = np.array(parts.column("weight").to_pylist())
     learnt = [np.frombuffer(x.as_py(), "<f8").reshape(initial.shape) for x in parts.column("data")]
-    weights_all = np.average(learnt, axis=0, weights=weight) if learnt else initial
-
+    weights = np.average(learnt, axis=0, weights=weight) if learnt else initial
     refined = sum((np.frombuffer(x.as_py(), "<f8").reshape(2, GATES, BUCKETS) for x in parts.column("table")), np.zeros((2, GATES, BUCKETS)))
-    return shared, weights_all, refined
+    return shared, weights, refined
 
 
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Tokens are words of lower-cased whole texts and one end per document. base_score is the add-one
-    unigram score; score is the mixer's log10 probability of the same tokens, each word's bytes with
-    the space after it and the end as a line feed; bits_per_byte is its cost over these bytes.
-    Both are learnt from all documents outside the fold `held_out`. A document's words meet their
-    scores by word: a batch of documents is one row per word, so no word, however common, has more
-    rows than there are batches, and sums are formed before they are shuffled by document.
+    unigram score; score is the mixer's log10 probability of the running text, the same words in their
+    order, each with a space after it, and the end as a line feed; bits_per_byte is its cost over these
+    bytes. Both are learnt from all documents outside the fold `held_out`. For the base a document's
+    words meet their counts by word: a batch of documents is one row per word, so no word, however
+    common, has more rows than there are batches, and sums are formed before they are shuffled by document.
+    The mixer's contexts reach two words back; their tables have a fixed size (SLOTS), so in large
+    tables only contexts seen often keep a line. A document's contexts are made at once, in memory.
 
     Null and empty texts have the end token only; a null doc_id is neither learnt from nor held out;
     repeated rows are scored one by one (and learnt from as often); other columns are ignored; an
@@ -328,30 +479,18 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7) -> DataF
     """
     words = cut_lineage(word_table(docs, held_out, folds))
     totals = words.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    counts, weights, refined = fit_mixer(words, max(8, -(-int(totals[1]) // WORDS_OF_TASK)))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(counts.value, weights, refined)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                part = batch.slice(at, 5_000)
-                some = part.column(0).to_pylist()
-                yield pa.record_batch([*part.columns, pa.array(word_scores(mixer, some))], ["word", "count", "score"])
-
-    per_word = words.mapInArrow(scored, "word string, count bigint, score double")
     seen, kinds = int(totals[0]), int(totals[1])
     least = F.log10(F.lit(float(seen + kinds + 1)))
     pairs = (
-        postings(docs)
-        .join(per_word, "word")
-        .select("batch", "count", "score", F.inline(F.arrays_zip("docs", "times", F.coalesce("heads", F.array().cast(_HEAD_TYPE)).alias("head"))))
+        postings(docs, fit_mixer(docs, held_out, folds))
+        .join(words, "word")
+        .select("batch", "count", F.inline(F.arrays_zip("docs", "times", F.coalesce("heads", F.array().cast(_HEAD_TYPE)).alias("head"))))
     )
     n = F.col("times").cast("bigint")
     summed = pairs.groupBy("batch", "docs").agg(
-        *(F.max(f"head.{c}").alias(c) for c in ("doc_id", "n_tokens", "bytes")),
+        *(F.max(f"head.{c}").alias(c) for c in ("doc_id", "n_tokens", "bytes", "score")),
         F.sum(F.when(F.col("count") > 0, n).otherwise(0)).alias("n_known"),
         F.sum(n * (F.log10(F.col("count").cast("double") + 1) - least)).alias("base_score"),
-        F.sum(n * F.col("score")).alias("score"),
     )
     return summed.select(
         "doc_id",
