@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions.scale import settle
 from folioscan.functions.text import collapse_spaces
 
 # --- Fixed values: source codes and priorities by top-level label -----------------------------
@@ -148,7 +149,7 @@ def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFram
     `pages` has file, source_title, page, raw_text, tables. The text is cut at the headings of its
     layout into structural blocks, and headings hold from page to page.
     """
-    from folioscan.operators.structure import page_blocks, page_headings
+    from folioscan.operators.structure import cut_pages, with_labels
 
     rendered = F.filter(
         F.transform(
@@ -166,9 +167,9 @@ def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFram
     )
     rows = pages.withColumn("_tables", rendered).withColumn("content", F.array_join(parts, "\n\n"))
     page_label = F.concat(F.lit("第 "), F.col("page"), F.lit(" 页"))
-    full = rows.where(F.col("content") != "").select("file", "page", "source_title", "content", "_tables")
-    cut = page_blocks(full.drop("_tables"), page_headings(pages.select("file", "page", "raw_text")))
-    return full.join(cut, ["file", "page"]).select(
+    full = settle(rows.where(F.col("content") != "").select("file", "page", "source_title", "raw_text", "content", F.size("_tables").alias("_tables")))
+    cut = cut_pages(with_labels(full).drop("raw_text"))
+    return cut.select(
         F.concat(
             F.lit(f"{library_id}:pdf:"),
             F.substring(F.sha2(F.concat_ws(":", "file", F.col("page").cast("string")), 256), 1, 16),
@@ -183,7 +184,7 @@ def paged_documents(pages: DataFrame, library_id: str, edition: str) -> DataFram
         F.lit(0).alias("priority"),
         "file",
         "page",
-        F.size("_tables").alias("table_count"),
+        F.col("_tables").alias("table_count"),
         F.lit(2).alias("structure_version"),
         "heading_path",
         "inherited_headings",
