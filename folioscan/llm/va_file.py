@@ -24,12 +24,16 @@ LARGEST = 1 << 26
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component, for vectors without null or non-finite ones."""
+    """vec_id, v: floor(scale * x) of each component, for vectors without null or non-finite ones.
+
+    The column itself is null for the others: the optimizer may evaluate it before a filter that would drop them.
+    """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     small = F.forall("v", lambda x: F.abs(x) <= LARGEST)
-    checked = F.when(small, F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit(f"a component exceeds {LARGEST}")))
-    return vectors.where(F.coalesce(finite, F.lit(False))).select("vec_id", scaled.alias("v")).select("vec_id", checked.alias("v"))
+    checked = F.when(F.col("v").isNull(), None).when(small, F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit(f"a component exceeds {LARGEST}")))
+    known = vectors.select("vec_id", F.when(F.coalesce(finite, F.lit(False)), scaled).alias("v"))
+    return known.select("vec_id", checked.alias("v")).where(F.col("v").isNotNull())
 
 
 def vector_classes(rows: DataFrame, every: int, k: int) -> DataFrame:
