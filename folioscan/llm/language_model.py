@@ -27,8 +27,15 @@ BUCKETS = 33
 #: What a state's two halves say about the zeros and the ones seen, at least.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 16384])
 _CHUNK = 4096
-#: Documents that share a row per word; bytes of whole documents whose contexts are made at once; bytes of one online step.
-BATCH_DOCUMENTS, STRETCH, STEP = 4_000, 1 << 20, 1 << 15
+#: Documents that share a row per word; bytes of whole documents whose contexts are made at once; bytes of one online step; bytes scored at once.
+BATCH_DOCUMENTS, STRETCH, STEP, PASS = 4_000, 1 << 18, 1 << 15, 1 << 14
+#: Half codes of the bytes: these end with the first half, the next 48 with the second, all others are a mark and their two half
+#: bytes. The choice suits Latin lower case; elsewhere bytes only cost more halves. A code holds third half, first and second.
+SHORT = b" etaoinrshd\xc3"
+LONGER = b"ulcmpfgvbywkjxzq0123456789\n.,!-'\xa9\xa8\xb3\xbc\xa4\xb6\xb1\xaa\xa7\x9f\xad\"%()?"
+CODES = np.array([b % 16 << 8 | 0xF0 | b >> 4 for b in range(256)], np.uint16)
+CODES[list(SHORT)] = np.arange(len(SHORT)) << 4
+CODES[list(LONGER)] = np.arange(len(LONGER)) + (len(SHORT) << 4)
 _ODD, _MORE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
@@ -124,24 +131,32 @@ def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 #: What a state predicts: by all that was seen, and less one zero or one one.
 _STRETCHED = np.concatenate([_stretch(_ZEROS, _ONES), _stretch(_ZEROS - 1, _ONES), _stretch(_ZEROS, _ONES - 1)]).astype(np.float32)
-#: Is a context known from a line whose first node has this state; less the occurrence at hand.
-_KNOWN = {False: _ZEROS + _ONES > 0, True: _ZEROS + _ONES > 1}
 
 
 class Mixer:
     """States of the slots (or counts of zeros and ones, 2 x slots), weights per gate, and the refining table per gate and bucket (zeros, ones)."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None) -> None:
-        states = counts if counts.dtype == np.uint8 else states_of(counts)
-        self.states = np.concatenate([states, np.zeros(16, np.uint8)])  # the last line is of contexts never seen
+        self.states = counts if counts.dtype == np.uint8 else states_of(counts)  # not copied: tasks share what was broadcast
         self.weights, self.share = weights.astype(np.float32), None
         if refined is not None:
             self.share = ((refined[1] + 0.5 * _CENTRES) / (refined.sum(axis=0) + 0.5)).astype(np.float32).ravel()
 
-    def found(self, at: list[np.ndarray], checks: list[np.ndarray], leave_out: bool) -> list[np.ndarray]:
-        """The lines that belong to their contexts; the empty line for the others."""
-        known, none = _KNOWN[leave_out], len(self.states) - 16
-        return [np.where((self.states[x] == c) & known[self.states[x + 1]], x, none) for x, c in zip(at, checks)]
+    def found(self, at: list[np.ndarray], checks: list[np.ndarray], leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
+        """Copies of the lines that belong to their contexts, one after the other and empty for the others, and the weight sets
+        of the first bits. A line is fetched from the large table once; its bits are then read from the copy."""
+        whole = self.states.view(np.complex128)  # items of 16 bytes, only copied
+        copies, mask = [], np.zeros(len(at[0]), np.uint8)
+        for k, (x, c) in enumerate(zip(at, checks)):
+            line = whole.take(x >> 4)
+            states = line.view(np.uint8)
+            first = states[1::16]
+            known = (states[::16] == c) & ((first > 1) & (first != 16) if leave_out else first > 0)
+            line[~known] = 0
+            copies.append(states)
+            if k >= len(at) - 4:
+                mask |= known.view(np.uint8) << np.uint8(k - len(at) + 4)
+        return copies, mask << np.uint8(2)
 
     def gate(self, at: list[np.ndarray]) -> np.ndarray:
         """Weight set of the first bit in the half byte that any slots `at` belong to."""
@@ -201,15 +216,23 @@ def _steps(raw: np.ndarray, hashes: list[np.ndarray], size: int = STEP) -> Itera
         yield some, raw[some], [h[some] for h in hashes]
 
 
-def _halves(raw: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """The two half bytes, with the lines and checks of their contexts."""
-    high = raw >> 4
-    yield (high, *lines(hashes))
-    yield (raw & 15, *lines(hashes, high))
+def _halves(coded: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray | slice, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """First, second and third half codes: of which bytes, the halves, and the lines and checks of their contexts."""
+    first = (coded >> 4 & 15).astype(np.uint8)
+    yield (slice(None), first, *lines(hashes))
+    some = np.flatnonzero(first >= len(SHORT))
+    if len(some):
+        hashes, before, coded = [h.take(some) for h in hashes], first.take(some), coded.take(some)
+        second = (coded & 15).astype(np.uint8)
+        yield (some, second, *lines(hashes, before))
+        rest = np.flatnonzero(before == 15)
+        if len(rest):
+            third = (coded.take(rest).astype(np.uint16) >> 8).astype(np.uint8)
+            yield (some.take(rest), third, *lines([h.take(rest) for h in hashes], second.take(rest) + np.uint8(16)))
 
 
 class Counts:
-    """What one task has seen: for each line its check, the 16 half bytes that followed, and hits less misses.
+    """What one task has seen: for each line its check, the 16 half codes that followed, and hits less misses.
 
     A line counts for one context at a time; a context that misses it more often than it was hit takes it over.
     """
@@ -221,22 +244,25 @@ class Counts:
 
     def add(self, raw: np.ndarray, hashes: list[np.ndarray]) -> None:
         by_line, nowhere = self.seen[:-1].reshape(-1, 16), len(self.seen) - 1
-        one, ones = np.int32(1), np.ones(STEP, np.int32)
+        ones = np.ones(STEP, np.int32)
         for _, some, own in _steps(raw, hashes):
-            for half, at, checks in _halves(some, own):
+            for _, half, at, checks in _halves(some, own):
+                half = half.astype(np.int64)
                 for first, check in zip(at, checks):
                     line, slot = first >> 4, first + half
                     hit = self.check.take(line) == check
-                    np.add.at(self.worth, line, np.where(hit, one, -one))
+                    np.add.at(self.worth, line, (hit.view(np.int8) * np.int8(2) - np.int8(1)).astype(np.int32))
                     missed = np.flatnonzero(~hit)
                     if len(missed):
-                        lost = line[missed]
-                        over = self.worth[lost] < 0
-                        taken = lost[over]
-                        self.check[taken] = check[missed[over]]
-                        by_line[taken] = 0
-                        self.worth[taken] = 1
-                        slot = np.where(self.check.take(line) == check, slot, nowhere)
+                        lost = line.take(missed)
+                        over = np.flatnonzero(self.worth.take(lost) < 0)
+                        if len(over):
+                            taken = lost.take(over)
+                            self.check[taken] = check.take(missed.take(over))
+                            by_line[taken] = 0
+                            self.worth[taken] = 1
+                            missed = np.flatnonzero(self.check.take(line) != check)
+                        slot[missed] = nowhere
                     np.add.at(self.seen, slot, ones[: len(slot)])
 
     def chunks(self) -> Iterator[tuple[int, bytes, bytes]]:
@@ -266,24 +292,32 @@ def merged(checks: list[bytes], counts: list[bytes]) -> bytes:
     return out.tobytes()
 
 
-def _sorted_halves(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], leave_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Order by weight set, half bytes, first gates and lines in that order, for both halves of each byte."""
-    for half, at, checks in _halves(raw, hashes):
-        at = mixer.found(at, checks, leave_out)
-        gate = mixer.gate(at)
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        yield order, half.astype(np.int64)[order], gate[order], [x[order] for x in at]
+def _sorted_halves(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], leave_out: bool) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Of which bytes; order by weight set; half codes and first gates in that order; lines (Mixer.found), for all halves of each byte."""
+    for some, half, at, checks in _halves(raw, hashes):
+        copies, gate = mixer.found(at, checks, leave_out)
+        order = np.argsort(gate, kind="stable")
+        yield some, order, half.take(order).astype(np.int64), gate.take(order).astype(np.int64), copies
+
+
+def _rows(copies: list[np.ndarray], slot: np.ndarray, shift: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """What Mixer.inputs gives, from copies of lines: all predictors share the places `slot` of their bits."""
+    for k, states in enumerate(copies):
+        state = states.take(slot)
+        np.take(_STRETCHED, state if shift is None else state + shift, out=rows[k], mode="clip")
+    return rows
 
 
 def tuned(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], curves: np.ndarray, table: np.ndarray) -> None:
     """One online step: bits are predicted without their own occurrence and go to the nearest bucket of their gate in the refining
     `table`; then each gate's weights move against their coding error, by a Newton step over all curvature so far (`curves`)."""
     push = np.zeros(mixer.weights.shape)
-    for _, half, first, at in _sorted_halves(mixer, raw, hashes, True):
-        bounds = np.searchsorted(first, np.arange(0, GATES + 4, 4))
+    space = np.full((len(ORDERS) + 1, len(raw)), 0.3, np.float32)
+    for _, order, half, first, copies in _sorted_halves(mixer, raw, hashes, True):
+        bounds, place = np.searchsorted(first, np.arange(0, GATES + 4, 4)), order << 4
         for depth in range(4):
-            node, bit, gate = 1 << depth | half >> (4 - depth), half >> (3 - depth) & 1, first + depth
-            rows, _ = mixer.inputs([x + node for x in at], bit, True, gate)
+            bit, gate = half >> (3 - depth) & 1, first + depth
+            rows = _rows(copies, place + (1 << depth | half >> (4 - depth)), (bit + 1) << 8, space[:, : len(half)])
             stretched = mixer.mixed(rows, gate)
             bucket = ((stretched + np.float32(12)) * np.float32((BUCKETS - 1) / 24) + np.float32(0.5)).astype(np.int64)
             table += np.bincount((bit * GATES + gate) * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
@@ -300,27 +334,29 @@ def tuned(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray], curves: np.nd
 def byte_scores(mixer: Mixer, raw: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each byte after what stands before it."""
     out = np.empty(len(raw))
-    for some, part, own in _steps(raw, hashes):
+    space = np.full((len(ORDERS) + 1, PASS), 0.3, np.float32)
+    for some, part, own in _steps(raw, hashes, PASS):
         product = np.ones(len(part))
-        for order, half, first, at in _sorted_halves(mixer, part, own, False):
-            chance = 1.0
+        for which, order, half, first, copies in _sorted_halves(mixer, part, own, False):
+            chance, place, rows, each = np.float32(1), order << 4, space[:, : len(half)], np.empty(len(half))
             for depth in range(4):
-                bit, gate = half >> (3 - depth) & 1, first + depth
-                rows, _ = mixer.inputs([x + (1 << depth | half >> (4 - depth)) for x in at], bit, False, gate)
+                gate = first + depth
+                _rows(copies, place + (1 << depth | half >> (4 - depth)), None, rows)
                 p = mixer.final(mixer.mixed(rows, gate), gate)
-                chance = chance * np.where(bit == 1, p, 1 - p)
-            product[order] *= chance
+                chance = chance * np.where(half & 8 >> depth, p, 1 - p)
+            each[order] = chance
+            product[which] *= each
         out[some] = np.log10(product)
     return out
 
 
 def _stretches(words: pa.ListArray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Bytes, contexts and document sizes of whole documents, about STRETCH bytes at a time."""
+    """Codes of the bytes, contexts and document sizes of whole documents, about STRETCH bytes at a time."""
     sizes = pc.binary_length(pc.binary_join(words, " ")).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.empty(0, np.int64)
     group = np.cumsum(sizes) // STRETCH
     for start in np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []:
         raw, own = running_text(words.slice(start, int(np.count_nonzero(group == group[start]))))
-        yield raw, contexts(raw, word_of_byte(raw), own), own
+        yield CODES.take(raw), contexts(raw, word_of_byte(raw), own), own
 
 
 _HEADS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64()), ("score", pa.float64())]))
