@@ -18,6 +18,8 @@ from folioscan.session import cut_lineage
 TRIE_ROWS = 1024
 #: Pairs that one traversal may meet at most.
 TRIE_PAIRS = 4_000_000
+#: Units that one step takes from a batch, so that its arrays stay small when units are full.
+UNITS = 1024
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -94,34 +96,24 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, errors:
 
 
 def _trie_links(batches: Iterator[pa.RecordBatch], errors: int) -> Iterator[pa.RecordBatch]:
-    """Rows unit, fp, node, sorted by unit, to links (a, b) that span the near ones of each unit."""
-
-    def joined(unit: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        value = fp.view(np.uint64)
-        order = np.lexsort((value, unit))
-        unit, value, node = unit[order], value[order], node[order]
-        starts, ends = groups_of(unit)
-        cost = np.cumsum((ends - starts) ** 2)
-        part = cost // TRIE_PAIRS
-        for lo, hi in zip(*groups_of(part)):
-            some = slice(starts[lo], ends[hi - 1])
-            left, right = trie_pairs(value[some], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo], errors)
-            roots = local_roots(some.stop - some.start, left, right)
-            moved = np.flatnonzero(roots != np.arange(len(roots)))
-            if len(moved):
-                yield pa.record_batch([pa.array(node[some][moved]), pa.array(node[some][roots[moved]])], ["a", "b"])
-
-    held: list[tuple[np.ndarray, ...]] = []
+    """Rows of members (fp, node), one row a unit, to links (a, b) that span the near ones of each unit."""
     for batch in batches:
-        held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
-        if sum(len(x[0]) for x in held) < 200_000:
-            continue
-        unit, fp, node = (np.concatenate(x) for x in zip(*held))
-        cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
-        yield from joined(unit[:cut], fp[:cut], node[:cut])
-        held = [(unit[cut:], fp[cut:], node[cut:])]
-    if held:
-        yield from joined(*(np.concatenate(x) for x in zip(*held)))
+        for at in range(0, batch.num_rows, UNITS):
+            members = batch.column(0).slice(at, UNITS)
+            fp, node = (x.to_numpy(zero_copy_only=False) for x in members.flatten().flatten())
+            bounds = members.offsets.to_numpy() - members.offsets[0].as_py()
+            starts, ends = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
+            value = fp.view(np.uint64)
+            order = np.lexsort((value, np.repeat(np.arange(len(starts)), ends - starts)))
+            value, node = value[order], node[order]
+            cost = np.cumsum((ends - starts) ** 2)
+            for lo, hi in zip(*groups_of(cost // TRIE_PAIRS)):
+                some = slice(starts[lo], ends[hi - 1])
+                left, right = trie_pairs(value[some], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo], errors)
+                roots = local_roots(some.stop - some.start, left, right)
+                moved = np.flatnonzero(roots != np.arange(len(roots)))
+                if len(moved):
+                    yield pa.record_batch([pa.array(node[some][moved]), pa.array(node[some][roots[moved]])], ["a", "b"])
 
 
 def _bits(fp: Column, shift: int, width: int) -> Column:
@@ -165,7 +157,10 @@ def near_links(prints: DataFrame, errors: int = 3, trie_rows: int = TRIE_ROWS) -
         "node", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "unit", "own"
     ).select("node", "fp", F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
     units = small.select("unit", "fp", "node").unionByName(small_second.select("unit", "fp", "node")).unionByName(pairs.select("unit", "fp", "node"))
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: _trie_links(batches, errors), "a bigint, b bigint")
+    # Each unit becomes one row. Sorting by unit after a `repartition` is not enough: adaptive execution drops that exchange when
+    # the joins below deal by unit already, and then may read their shuffles in another deal, which tears the units apart.
+    whole = units.groupBy("unit").agg(F.collect_list(F.struct("fp", "node")).alias("members")).where(F.size("members") > 1)
+    return whole.select("members").mapInArrow(lambda batches: _trie_links(batches, errors), "a bigint, b bigint")
 
 
 def _by_size(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import embeddings, pii, simhash, syncmers, token_output
+from folioscan.llm.components import components
 from test_operators import KEY
 
 
@@ -73,3 +74,23 @@ def test_labels_of_any_type_keep_vectors_apart(spark, kind, labels):
     rows = [(1, v, labels[0]), (2, v, labels[1]), (3, v, labels[0]), (4, v, None)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
     assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
+def test_units_of_fingerprints_stay_whole_between_crowded_and_small_ones(spark):
+    """With crowded units but none that had to be dealt into chunks, the exchange by unit was dropped and units fell apart."""
+    rng = np.random.default_rng(6)
+    seeds = rng.integers(-(2**63), 2**63, 1500, dtype=np.int64)
+    seeds[:40] = (seeds[:40] & ~0xFFFF) | 0x1234  # one crowded block
+    seeds = np.unique(seeds)
+    near = seeds ^ (np.int64(1) << rng.integers(0, 62, len(seeds)))
+    values = np.unique(np.concatenate([seeds, near]))
+    at = {v: k for k, v in enumerate(values.tolist())}
+    prints = spark.createDataFrame([(k, v) for v, k in at.items()], "node long, fp long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as large tables have
+    try:
+        links = simhash.near_links(prints, 3, trie_rows=32)
+        group = {r.node: r.component for r in components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    torn = [(a, b) for a, b in zip(seeds.tolist(), near.tolist()) if group.get(at[a], at[a]) != group.get(at[b], at[b])]
+    assert torn == []
